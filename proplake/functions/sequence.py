@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since the epoch of a timestamp with or without zone (read as UTC)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def time_bucket(ts: Column | str, seconds: float) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000))).cast("long")
+    return F.floor(micros(ts) / F.lit(int(seconds * 1_000_000))).cast("long")
 
 
 def with_previous(df: DataFrame, columns: list[str], key: str = "uid", order: tuple[str, ...] = ("ts", "event_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def first_known(items: Column) -> Column:
     return F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often the expression mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def to_int(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("int")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proplake.config import SQM_TO_SQFT
 from proplake.functions import patterns as P
-from proplake.functions.text import extract, first_known, strip, to_int
+from proplake.functions.text import bind, extract, first_known, strip, to_int
 
 
 def _bullets(features: Column) -> Column:
@@ -95,51 +95,62 @@ MONTH_NUMBERS = {
 }
 
 
+MONTHS_RE = "|".join(sorted(MONTH_NUMBERS, key=len, reverse=True))
+NUMERIC_SHAPES = [  # (pattern, year group, month group, day group)
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 1, 2, 3),
+    (r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", 3, 2, 1),
+]
+NAMED_SHAPES = [
+    (rf"^(\d{{1,2}})\s+({MONTHS_RE})\s+(\d{{4}})$", 3, 2, 1),
+    (rf"^({MONTHS_RE})\s+(\d{{1,2}})\s+(\d{{4}})$", 3, 1, 2),
+    (rf"^({MONTHS_RE})\s+(\d{{4}})$", 2, 1, None),
+]
+YEARLESS = rf"^(\d{{1,2}})\s+({MONTHS_RE})$"
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """A real calendar date or NULL."""
+    text = F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.try_to_date(text, "yyyy-MM-dd")
+
+
 def available_iso(raw: Column, today: str) -> Column:
     """Free-form availability -> ISO date text, NULL when it is not a readable date.
 
     A day and month without a year mean the next such day on or after ``today``.
     """
     now = F.lit(today).cast("date")
-    value = strip(F.lower(F.regexp_replace(F.replace(raw, F.lit("\x00"), F.lit(" ")), r"(?U)\s+", " ")))
-    value = strip(F.regexp_replace(value, r"^available(?:\s+from)?(?:\s*:\s*|\s+)", ""))
-    immediate = value.isin("now", "immediately", "from now", "asap")
-    unknown = value.isin("", "tbc", "available soon")
-    value = F.regexp_replace(F.regexp_replace(value, r"\b(\d{1,2})(?:st|nd|rd|th)\b", "$1"), r"\bof\s+", "")
-    value = F.regexp_replace(value, r"^[ ,.;:]+|[ ,.;:]+$", "")
-
-    months = "|".join(sorted(MONTH_NUMBERS, key=len, reverse=True))
     number = F.create_map(*[F.lit(x) for pair in MONTH_NUMBERS.items() for x in pair])
 
-    def date_of(year: Column, month: Column, day: Column) -> Column:
-        padded = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-        return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(padded, "yyyy-MM-dd"))
-
-    def month_of(pattern: str, group: int) -> Column:
-        return F.try_element_at(number, F.regexp_extract(value, pattern, group)).cast("string")
-
-    def shaped(pattern: str, year: int | None, month: int, day: int | None, named: bool) -> Column:
-        part = lambda g: extract(value, pattern, g)
-        m = month_of(pattern, month) if named else part(month)
-        d = part(day) if day else F.when(m.isNotNull(), F.lit("1"))
-        return date_of(part(year), m, d)
-
-    numeric = [
-        shaped(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 1, 2, 3, False),
-        shaped(r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", 3, 2, 1, False),
-    ]
-    named = [
-        shaped(rf"^(\d{{1,2}})\s+({months})\s+(\d{{4}})$", 3, 2, 1, True),
-        shaped(rf"^({months})\s+(\d{{1,2}})\s+(\d{{4}})$", 3, 1, 2, True),
-        shaped(rf"^({months})\s+(\d{{4}})$", 2, 1, None, True),
-    ]
-    yearless = rf"^(\d{{1,2}})\s+({months})$"
-    day, month = extract(value, yearless, 1), month_of(yearless, 2)
-    this_year = date_of(F.year(now).cast("string"), month, day)
-    next_year = date_of((F.year(now) + 1).cast("string"), month, day)
-    upcoming = F.when(this_year >= now, this_year).when(this_year < now, next_year)
-    result = F.when(unknown, F.lit(None).cast("date")).when(immediate, now).otherwise(F.coalesce(*numeric, *named, upcoming))
-    return F.date_format(result, "yyyy-MM-dd")
+    def month_number(name: Column) -> Column:
+        return F.try_element_at(number, name).cast("string")
+
+    def dated(value: Column) -> Column:
+        numeric = [_date(extract(value, p, y), extract(value, p, m), extract(value, p, d)) for p, y, m, d in NUMERIC_SHAPES]
+        named = [
+            _date(extract(value, p, y), month_number(extract(value, p, m)), extract(value, p, d) if d else F.lit("1"))
+            for p, y, m, d in NAMED_SHAPES
+        ]
+        day, month = extract(value, YEARLESS, 1), month_number(extract(value, YEARLESS, 2))
+        this_year = _date(F.year(now).cast("string"), month, day)
+        next_year = _date((F.year(now) + 1).cast("string"), month, day)
+        upcoming = F.when(this_year >= now, this_year).when(this_year < now, next_year)
+        return F.coalesce(*numeric, *named, upcoming)
+
+    def tidy(value: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(value, r"\b(\d{1,2})(?:st|nd|rd|th)\b", "$1"), r"\bof\s+", "")
+        return F.regexp_replace(value, r"^[ ,.;:]+|[ ,.;:]+$", "")
+
+    def read(value: Column) -> Column:
+        return (
+            F.when(value.isin("", "tbc", "available soon"), F.lit(None).cast("date"))
+            .when(value.isin("now", "immediately", "from now", "asap"), now)
+            .otherwise(bind(tidy(value), dated))
+        )
+
+    squeezed = strip(F.lower(F.regexp_replace(F.replace(raw, F.lit("\x00"), F.lit(" ")), r"(?U)\s+", " ")))
+    subject = strip(F.regexp_replace(squeezed, r"^available(?:\s+from)?(?:\s*:\s*|\s+)", ""))
+    return F.date_format(bind(subject, read), "yyyy-MM-dd")
 
 
 def extract_text_features(df: DataFrame) -> DataFrame:

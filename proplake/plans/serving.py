@@ -189,10 +189,10 @@ def export_top1000_json(t):
     return top_listings(t.listings, {"tag_natural_light": "high"}, AS_OF).select("uid", "score")
 
 
-@query("backfill_counts", """
-SELECT count(*) AS n_rows, count(*) FILTER (WHERE images IS NULL OR images='' OR (json_valid(images) AND (json_type(images)='ARRAY' OR json_type(json_extract(images,'$.urls'))='ARRAY'))) AS photo_count,
- count(*) FILTER (WHERE lower(trim(floor_level)) IN ('ground','ground floor','gr','g') OR regexp_matches(trim(floor_level),'^-?\\d')) AS floor_level_int,
- count(*) FILTER (WHERE regexp_matches(title,'(?i)\\blet\\s*agreed\\b|\\bunder\\s*offer\\b|\\blet\\s*by\\b|\\bnow\\s*let\\b|\\btenanted\\b')) AS let_agreed
+@query("backfill_counts", r"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE images IS NULL OR images='' OR CASE WHEN json_valid(images) THEN coalesce(json_type(images)='ARRAY' OR json_type(json_extract(images,'$.urls'))='ARRAY',FALSE) ELSE FALSE END) AS photo_count,
+ count(*) FILTER (WHERE lower(trim(floor_level)) IN ('ground','ground floor','gr','g') OR regexp_matches(trim(floor_level),'^-?\d')) AS floor_level_int,
+ count(*) FILTER (WHERE regexp_matches(title,'(?i)\blet\s*agreed\b|\bunder\s*offer\b|\blet\s*by\b|\bnow\s*let\b|\btenanted\b')) AS let_agreed
 FROM listings""", "listings")
 def backfill_counts(t):
     from proplake.functions.text import floor_level_int

@@ -135,7 +135,8 @@ SELECT portal||':'||CAST(k AS STRING) AS uid, portal, CAST(k AS STRING) AS prope
       WHEN 5 THEN '{{"rooms":[{{"name":"Master Bedroom","size_sqft":'||CAST(100+c%300 AS STRING)||'}},{{"name":"Kitchen/Living","size_sqft":'||CAST(120+k%200 AS STRING)||'}},{{"name":"Shower Room","size_sqft":null}}]}}'
       ELSE '{{"total_size_sqft":null,"total_area_sqft":'||CAST(350+k%400 AS STRING)||',"rooms":[{{"name":"Lounge"}},{{"name":"Kitchen"}},{{"name":"Hall"}},{{"name":"WC"}}]}}' END AS floorplan_data,
  {tags},
- CASE WHEN k%5=3 THEN d END AS tags_extracted_at
+ CASE WHEN k%5=3 THEN d END AS tags_extracted_at,
+ CASE WHEN k%21=0 THEN NULL ELSE c END AS cluster_id
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p, o_orderdate AS d,
       CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'portal_c' END AS portal FROM orders) t"""
 
@@ -370,13 +371,23 @@ SELECT CAST(o_orderkey AS STRING) AS uid, CASE o_orderkey%3 WHEN 0 THEN 'portal_
 FROM orders"""
 
 
-@_view("labelled_pairs", "orders")
+@_view("labelled_pairs", "listings")
 def _labelled_pairs(d: Any) -> str:
-    """Labelled pairs of listings one tenth of the table apart in key order, so both classes occur."""
+    """Labelled pairs of neighbours on the price line of one block, so both verdicts occur."""
     return """
-SELECT a.uid AS uid_a, b.uid AS uid_b, CASE WHEN a.k%3=0 THEN 'duplicate' ELSE 'distinct' END AS label
-FROM (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS uid FROM orders) a
-JOIN (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS uid FROM orders) b ON b.k=a.k+1"""
+SELECT uid_a, uid_b, CASE WHEN (price_numeric - price_before) * 30 <= price_before OR CAST(property_id AS BIGINT)%7=0 THEN 'duplicate' ELSE 'distinct' END AS label
+FROM (SELECT uid AS uid_b, property_id, price_numeric, lag(uid) OVER (PARTITION BY bedrooms, postcode ORDER BY price_numeric, uid) AS uid_a,
+       lag(price_numeric) OVER (PARTITION BY bedrooms, postcode ORDER BY price_numeric, uid) AS price_before
+      FROM listings WHERE bedrooms IS NOT NULL AND postcode IS NOT NULL AND price_numeric IS NOT NULL) t
+WHERE uid_a IS NOT NULL"""
+
+
+@_view("arrivals", "listings")
+def _arrivals(d: Any) -> str:
+    """One newly crawled advert per known listing, with a slightly drifted price."""
+    return """
+SELECT 'new:'||uid AS uid, portal, postcode, bedrooms, price_numeric + (CAST(property_id AS BIGINT)%5)*1500 AS price_numeric, latitude, longitude,
+ first_seen, last_scraped FROM listings"""
 
 
 def view_names() -> list[str]:

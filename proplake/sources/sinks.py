@@ -28,7 +28,9 @@ def write_snapshot(df: DataFrame, root: str, version: int | str | None = None, s
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     name = spark.read.parquet(f"{root.rstrip('/')}/_current").first()["version"]
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    # a partition folder's name carries no boolean type
+    return df.withColumn("is_active", F.col("is_active").cast("boolean")) if "is_active" in df.columns else df
 
 
 def append_events(df: DataFrame, path: str, batch_id: int | None = None) -> None:
