@@ -15,7 +15,7 @@ from proplake.config import EARTH_RADIUS_M
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float = EARTH_RADIUS_M) -> Column:
     half_lat, half_lng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lng) * F.sin(half_lng)
-    return F.asin(F.least(F.lit(1.0), F.sqrt(a))) * F.lit(2 * radius)
+    return F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a))) * F.lit(2 * radius)
 
 
 def cell(lat: Column, lng: Column, edge: float, radius: float = EARTH_RADIUS_M) -> Column:

@@ -42,7 +42,7 @@ def _proper(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; the component is named by its smallest node.
 
-    ``edges`` has columns (node, other). Every round is checkpointed to shared storage. Converged when a round
+    ``edges`` has columns (node, other). Every round is written to shared storage. Converged when a round
     leaves the edge set unchanged; raises when that does not happen within ``max_rounds``.
     """
     current = cut_lineage(_proper(edges.select("node", "other")))

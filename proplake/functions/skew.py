@@ -16,7 +16,7 @@ def join_by_weight(rows: DataFrame, lookup: DataFrame, keys: list[str], weight:
 
     The ``heavy_keys`` most frequent keys are looked up by broadcast, a table of that many rows by construction. Any
     other key holds at most 1/``heavy_keys`` of all rows, so the shuffle join of the rest has no hot partition.
-    ``materialise`` writes the lookup to the checkpoint folder first, for lookups that are costly to derive.
+    ``materialise`` writes the lookup to shared storage first, for lookups that are costly to derive.
     """
     if materialise:
         lookup = cut_lineage(lookup)

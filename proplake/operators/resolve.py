@@ -17,6 +17,7 @@ from proplake.functions.sequence import micros
 from proplake.functions.skew import join_by_weight
 from proplake.functions.text import normal_postcode
 from proplake.operators.gate import price_pcm
+from proplake.session import cut_lineage
 
 FINE_EDGE_M = DUPLICATE_RADIUS_M / 3 ** 0.5 * 0.999  # any two points of one such cube are within the radius
 ENRICHMENT_FIELDS = ("size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary")
@@ -37,12 +38,13 @@ def _bucket_reach(pcm: Column) -> Column:
     return F.sequence(_price_bucket(low), _price_bucket(high))
 
 
-def match_keys(df: DataFrame, outcode_only: tuple[str, ...] = OUTCODE_ONLY_PORTALS) -> DataFrame:
+def match_keys(df: DataFrame, outcode_only: tuple[str, ...] = OUTCODE_ONLY_PORTALS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(uid, bedrooms, pcm, postcode, latitude, longitude, kind): ``P`` matches by postcode, ``G`` by place only."""
     pc = F.when(~F.coalesce(F.col("portal").isin(list(outcode_only)), F.lit(False)), normal_postcode(F.col("postcode")))
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     usable = F.col("bedrooms").isNotNull() & (F.col("pcm") > 0)
-    return df.select("uid", "bedrooms", price_pcm(F.col("price_numeric")).alias("pcm"), pc.alias("pc"), "latitude", "longitude").withColumn(
+    return df.select("uid", "bedrooms", price_pcm(F.col("price_numeric")).alias("pcm"), pc.alias("pc"), "latitude", "longitude",
+                     *keep).withColumn(
         "kind", F.when(usable & F.col("pc").isNotNull(), "P").when(usable & located, "G")
     )
 
@@ -104,7 +106,7 @@ def dup_pairs(df: DataFrame) -> DataFrame:
     Postcode branch: distinct prices of a block are paired, which integer pounds bound. Place branch: distinct points.
     The number of listing pairs follows from the group sizes, so a block of any size never lists its pairs.
     """
-    keys = match_keys(df)
+    keys = cut_lineage(match_keys(df))
     groups = keys.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.count("*").alias("n"))
     a = groups.withColumn("bucket", F.explode(_bucket_reach(F.col("pcm")))).alias("a")
     b = groups.withColumn("bucket", _price_bucket(F.col("pcm"))).alias("b")
@@ -115,7 +117,7 @@ def dup_pairs(df: DataFrame) -> DataFrame:
         F.when(F.col("a.pcm") == F.col("b.pcm"), F.floor(F.col("a.n") * (F.col("a.n") - 1) / 2))
         .otherwise(F.col("a.n") * F.col("b.n")).cast("long").alias("pairs"),
     )
-    points = match_points(keys)
+    points = cut_lineage(match_points(keys))
     # a G point counts each unordered pair from one side: against P points, against later G points, and inside itself
     order = lambda s: F.struct(f"{s}.pcm", f"{s}.latitude", f"{s}.longitude")
     g = points.filter("kind = 'G'")
@@ -134,7 +136,7 @@ def dup_pairs(df: DataFrame) -> DataFrame:
 
 def dup_match_counts(df: DataFrame) -> DataFrame:
     """(uid, n_matches): how many other listings each listing matches; listings without a match are left out."""
-    keys = match_keys(df)
+    keys = cut_lineage(match_keys(df))
     groups = keys.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.count("*").alias("n"))
     a = groups.withColumn("bucket", F.explode(_bucket_reach(F.col("pcm")))).alias("a")
     b = groups.withColumn("bucket", _price_bucket(F.col("pcm"))).alias("b")
@@ -143,7 +145,7 @@ def dup_match_counts(df: DataFrame) -> DataFrame:
     ).agg((F.sum("b.n") - 1).alias("hits"), F.first("a.n").alias("n"))
     p_rows = join_by_weight(keys.filter("kind = 'P'"), group_hits, ["bedrooms", "pc", "pcm"], "n").select("uid", "hits")
 
-    points = match_points(keys)
+    points = cut_lineage(match_points(keys))
     spot = ["bedrooms", "pcm", "latitude", "longitude", "kind", "pc"]
     usable = (F.col("p.kind") == "G") | (F.col("t.kind") == "G")
     itself = (F.col("p.kind") == "G") & (F.col("t.kind") == "G") & (F.col("p.pcm") == F.col("t.pcm")) \
@@ -163,10 +165,10 @@ def dup_clusters(df: DataFrame) -> DataFrame:
 
     The closure runs over price runs (one node per run), not over listings, so a block with a third of all rows is one node.
     """
-    keys = match_keys(df)
-    by_postcode = postcode_runs(keys)
-    points = match_points(keys)
-    by_place = place_runs(points)
+    keys = cut_lineage(match_keys(df))  # narrow, and read by every step below
+    by_postcode = cut_lineage(postcode_runs(keys))
+    points = cut_lineage(match_points(keys))
+    by_place = cut_lineage(place_runs(points))
     g_points = points.filter("kind = 'G'").drop("n", "rep").join(by_place.drop("rep", "n"), ["bedrooms", "fine", "pcm"])
     p_points = points.filter("kind = 'P'").drop("n", "rep").join(by_postcode.drop("rep", "n"), ["bedrooms", "pc", "pcm"])
     edges = near_candidates(g_points.unionByName(p_points.select(*g_points.columns)), g_points).select(
@@ -254,8 +256,9 @@ def matching_cluster(arrivals: DataFrame, clustered: DataFrame) -> DataFrame:
 
     Existing members collapse to one row per (block, price) or place, keeping only their smallest cluster.
     """
-    new = match_keys(arrivals)
-    known = match_keys(clustered).join(clustered.select("uid", "cluster_id"), "uid")
+    new = cut_lineage(match_keys(arrivals))
+    members = clustered.select("uid", "portal", "postcode", "bedrooms", "price_numeric", "latitude", "longitude", "cluster_id")
+    known = cut_lineage(match_keys(members, keep=("cluster_id",)))
     groups = known.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.min("cluster_id").alias("cluster_id"))
     asks = new.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.count("*").alias("n"))
     a = asks.withColumn("bucket", F.explode(_bucket_reach(F.col("pcm")))).alias("a")
@@ -281,7 +284,7 @@ def cluster_assign_incremental(arrivals: DataFrame, clustered: DataFrame) -> Dat
 
     Existing clusters are not merged here; a later full ``dup_clusters`` heals bridges.
     """
-    joined = matching_cluster(arrivals, clustered)
+    joined = cut_lineage(matching_cluster(arrivals, clustered))
     rest = arrivals.join(joined, "uid", "left_anti")
     return joined.withColumn("is_new", F.lit(False)).unionByName(dup_clusters(rest).withColumn("is_new", F.lit(True)))
 

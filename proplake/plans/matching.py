@@ -56,7 +56,7 @@ RANK = """-(CAST(size_sqft IS NOT NULL AS INT)+CAST(coalesce(epc_rating,'')<>''
  -epoch_us(first_seen), CASE WHEN portal='portal_a' THEN 0 ELSE 1 END, uid"""
 PRIMARY = f"primaries AS (SELECT cluster_id, uid AS primary_uid FROM (SELECT cluster_id, uid, row_number() OVER (PARTITION BY cluster_id ORDER BY {RANK}) AS rn FROM clustered) WHERE rn=1)"
 CENTROID = f"""
-far AS (SELECT DISTINCT a.cluster_id FROM clustered a JOIN clustered b ON a.cluster_id=b.cluster_id AND a.uid<b.uid AND {METRES}>50),
+far AS (SELECT DISTINCT a.cluster_id FROM clustered a JOIN clustered b ON a.cluster_id=b.cluster_id AND a.uid<b.uid AND a.latitude IS NOT NULL AND b.latitude IS NOT NULL AND {METRES}>50),
 centres AS (SELECT cluster_id, CASE WHEN cluster_id NOT IN (SELECT cluster_id FROM far) THEN round(avg(latitude),6) END AS centroid_lat,
   CASE WHEN cluster_id NOT IN (SELECT cluster_id FROM far) THEN round(avg(longitude),6) END AS centroid_lng FROM clustered GROUP BY cluster_id)"""
 

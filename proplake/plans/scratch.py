@@ -1,4 +1,4 @@
-"""A fresh folder for queries that exercise a writer: beside the checkpoints on a cluster, a temp folder in local mode."""
+"""A fresh folder for queries that exercise a writer."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from proplake.session import ensure_checkpoint_dir
+from proplake.session import shared_folder
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
