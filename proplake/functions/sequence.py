@@ -43,6 +43,16 @@ def with_previous(df: DataFrame, columns: list[str], key: str = "uid", order: tu
     )
 
 
+def numbered(df: DataFrame, order: str, key: str = "uid", width: int = 1_000, name: str = "number") -> DataFrame:
+    """Add 1, 2, ... per key in order of a whole-number column, counting per (key, slice of ``width``) plus offsets."""
+    cut = df.withColumn("_slice", F.floor(F.col(order) / width))
+    sizes = cut.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(key, "_slice").orderBy(order)
+    return cut.join(offsets, [key, "_slice"]).withColumn(name, F.row_number().over(inner) + F.col("_offset")).drop("_slice", "_offset")
+
+
 def sorted_stream(df: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
     """Rows of one key combination contiguous and in order inside one partition, ready for a streaming fold."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proplake.config import EARTH_RADIUS_M, EARTH_RADIUS_MILES
 from proplake.functions.geo import cell, haversine, neighbour_cells
+from proplake.session import cut_lineage
 
 MAX_LITERAL_CENTROIDS = 2_000
 RINGS_KM = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 32768.0)
@@ -39,11 +40,12 @@ def nearest_region_rings(df: DataFrame, centroids: DataFrame, rings_km: tuple[fl
     """Same result by rings of growing cubes, for centroid tables too big for a literal.
 
     Distinct coordinates are resolved once. In each ring only the points without a centroid inside the previous radius
-    remain, so the cubes they probe hold few centroids; a hit within the ring's edge is provably the nearest.
+    remain, so the cubes they probe hold few centroids; a hit within the ring's edge is provably the nearest. Points still
+    open are written out after each ring, and the loop ends when none are left.
     """
     points = df.select("latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
     spots = centroids.select("name", "lat", "lng", "ord")
-    open_points, solved = points, None
+    open_points, solved = cut_lineage(points), None
     for km in rings_km:
         edge = km * 1000.0
         probe = open_points.withColumn("c", F.explode(neighbour_cells(cell(F.col("latitude"), F.col("longitude"), edge))))
@@ -52,9 +54,11 @@ def nearest_region_rings(df: DataFrame, centroids: DataFrame, rings_km: tuple[fl
         hits = probe.join(grid, "c").withColumn(
             "dist", F.round(haversine(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"), EARTH_RADIUS_MILES), 9)
         ).filter(F.col("dist") <= F.lit(edge * EARTH_RADIUS_MILES / EARTH_RADIUS_M))
-        best = hits.groupBy("latitude", "longitude").agg(F.min_by("name", F.struct("dist", "ord")).alias("region"))
+        best = cut_lineage(hits.groupBy("latitude", "longitude").agg(F.min_by("name", F.struct("dist", "ord")).alias("region")))
         solved = best if solved is None else solved.unionByName(best)
-        open_points = open_points.join(best, ["latitude", "longitude"], "left_anti")
+        open_points = cut_lineage(open_points.join(best, ["latitude", "longitude"], "left_anti"))
+        if open_points.isEmpty():
+            break
     return df.drop("region").join(solved, ["latitude", "longitude"], "left")
 
 

@@ -216,7 +216,7 @@ def listing_detail(df: DataFrame, uid: str, history: DataFrame, clusters: DataFr
     """One listing with its ordered history and the other members of its cluster."""
     one = df.filter(F.col("uid") == uid)
     log = history.filter(F.col("uid") == uid).groupBy("uid").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "id", "from_status", "to_status", "reason"))).alias("history")
+        F.array_sort(F.collect_list(F.struct("ts", "id", "from_status", "to_status", "reason", "accepted"))).alias("history")
     )
     out = one.join(log, "uid", "left")
     if clusters is not None:

@@ -390,6 +390,16 @@ SELECT 'new:'||uid AS uid, portal, postcode, bedrooms, price_numeric + (CAST(pro
  first_seen, last_scraped FROM listings"""
 
 
+@_view("listing_labels", "orders")
+def _listing_labels(d: Any) -> str:
+    return f"""
+SELECT CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'portal_c' END||':'||CAST(CASE WHEN o_orderkey%31=0 THEN o_orderkey+9000000000 ELSE o_orderkey END AS STRING) AS uid,
+ CAST(1+o_custkey%3 AS INT) AS session_id, CAST(o_orderkey%50 AS INT) AS position,
+ {pick('(o_orderkey*7+o_custkey)%9', 'best', 'good', 'bad', 'worse', 'best', 'good', 'bad', 'worse', 'unsure')} AS tier,
+ {pick('o_orderkey%8', 'Nice but basement', 'too dark', None, '', 'carpets in both rooms', 'bad layout, no door', 'lovely', '  let agreed already ')} AS reasoning
+FROM orders"""
+
+
 def view_names() -> list[str]:
     return list(_VIEWS)
 
