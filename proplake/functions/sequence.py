@@ -58,19 +58,6 @@ def sorted_stream(df: DataFrame, keys: list[str], order: tuple[str, ...]) -> Dat
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def grouped_runs(batches: Iterator[Any], keys: list[str]) -> Iterator[tuple[tuple, Any, bool]]:
-    """Yield (key, frame, starts_new_key) pieces from a sorted Arrow stream; a long key comes in several pieces."""
-    current: tuple | None = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        changed = (pdf[keys] != pdf[keys].shift()).any(axis=1).cumsum()
-        for _, piece in pdf.groupby(changed, sort=False):
-            key = tuple(piece.iloc[0][k] for k in keys)
-            yield key, piece, key != current
-            current = key
-
-
 def bucketed_fold(
     df: DataFrame,
     *,
@@ -83,6 +70,7 @@ def bucketed_fold(
     replay: Callable[[Iterator[Any]], Iterator[Any]],
     out_schema: str,
     key: str = "uid",
+    thread_order: tuple[str, ...] = ("bucket",),
 ) -> DataFrame:
     """Three-step ordered fold: summarise each (key, bucket); thread the summaries per key; replay each bucket.
 
@@ -92,5 +80,5 @@ def bucketed_fold(
     cut = df.withColumn("bucket", time_bucket(order[0], bucket_seconds))
     keys = [key, "bucket"]
     summaries = sorted_stream(cut, keys, order).mapInPandas(summarise, summary_schema)
-    entries = sorted_stream(summaries, [key], ("bucket",)).mapInPandas(thread, entry_schema)
+    entries = sorted_stream(summaries, [key], thread_order).mapInPandas(thread, entry_schema)
     return sorted_stream(cut.join(entries, keys), keys, order).mapInPandas(replay, out_schema)

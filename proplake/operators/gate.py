@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proplake.config import DEFAULTS, RATING_ORDER, REJECT_STATES
-from proplake.functions.sequence import bucketed_fold, grouped_runs, with_previous
+from proplake.functions.sequence import bucketed_fold, with_previous
 
 LET_AGREED_TITLE = r"(?i)\blet\s*agreed\b|\bunder\s*offer\b|\blet\s*by\b|\bnow\s*let\b|\btenanted\b"
 
@@ -149,85 +149,64 @@ def freshness_replay_fixed(sightings: DataFrame, hours: float, horizons_per_buck
     def micros(column: Any) -> Any:
         return column.astype("datetime64[us]").astype("int64").to_numpy()
 
+    def steps(key, held):
+        stamps = np.unique(np.asarray(held, dtype="int64"))
+        follower = np.searchsorted(stamps, stamps + span, side="right")
+        final = stamps.copy()
+        for i in range(len(stamps) - 1, -1, -1):
+            if follower[i] < len(stamps):
+                final[i] = final[follower[i]]
+        reach = min(int(np.searchsorted(stamps, stamps[0] + span, side="right")) + 1, len(stamps))
+        # keep the last row of each run of equal exits: a bisect on it still finds the right exit
+        last = np.append(final[1:reach] != final[:reach - 1], True)
+        return [(*key, int(a), int(b)) for a, b in zip(stamps[:reach][last], final[:reach][last])]
+
     def summarise(batches):
-        def emit(key, stamps):
-            stamps = np.unique(np.concatenate(stamps))
-            follower = np.searchsorted(stamps, stamps + span, side="right")
-            final = stamps.copy()
-            for i in range(len(stamps) - 1, -1, -1):
-                if follower[i] < len(stamps):
-                    final[i] = final[follower[i]]
-            reach = min(int(np.searchsorted(stamps, stamps[0] + span, side="right")) + 1, len(stamps))
-            # keep the last row of each run of equal exits: a bisect on it still finds the right exit
-            last = np.append(final[1:reach] != final[:reach - 1], True)
-            return pd.DataFrame({"uid": key[0], "bucket": key[1], "stamp": stamps[:reach][last], "final": final[:reach][last]})
-
-        held: list = []
-        held_key = None
-        for key, piece, new in grouped_runs(batches, ["uid", "bucket"]):
-            if new and held:
-                yield emit(held_key, held)
-                held = []
-            held_key = key
-            held.append(np.unique(micros(piece["ts"])))
+        key, held = None, []
+        for pdf in batches:
+            rows = []
+            for uid, bucket, stamp in zip(pdf["uid"], pdf["bucket"], micros(pdf["ts"])):
+                if (uid, bucket) != key:
+                    if held:
+                        rows.extend(steps(key, held))
+                    key, held = (uid, bucket), []
+                held.append(stamp)
+            yield pd.DataFrame(rows, columns=["uid", "bucket", "stamp", "final"])
         if held:
-            yield emit(held_key, held)
+            yield pd.DataFrame(steps(key, held), columns=["uid", "bucket", "stamp", "final"])
 
     def thread(batches):
-        def rows(groups):
-            uid, clock = None, None
-            for (u, bucket), steps in groups:
-                if u != uid:
-                    uid, clock = u, None
-                yield u, bucket, clock
-                stamps = [s for s, _ in steps]
-                at = 0 if clock is None else int(np.searchsorted(stamps, clock + span, side="right"))
-                if at < len(steps):
-                    clock = steps[at][1]
-
-        def buckets():
-            held, held_key = [], None
-            for key, piece, new in grouped_runs(batches, ["uid", "bucket"]):
-                if new and held:
-                    yield held_key, sorted(held)
-                    held = []
-                held_key = key
-                held.extend(zip(piece["stamp"], piece["final"]))
-            if held:
-                yield held_key, sorted(held)
-
-        chunk = []
-        for row in rows(buckets()):
-            chunk.append(row)
-            if len(chunk) >= 10_000:
-                yield frame(chunk)
-                chunk = []
-        if chunk:
-            yield frame(chunk)
-
-    def frame(chunk):
-        out = pd.DataFrame(chunk, columns=["uid", "bucket", "clock"])
-        out["clock"] = out["clock"].astype("Int64")
-        return out
+        key, clock, leave, settled = None, None, None, True
+        for pdf in batches:
+            rows = []
+            for uid, bucket, stamp, final in zip(pdf["uid"], pdf["bucket"], pdf["stamp"], pdf["final"]):
+                if (uid, bucket) != key:
+                    clock = None if key is None or uid != key[0] else leave
+                    key, leave, settled = (uid, bucket), clock, False
+                    rows.append((uid, bucket, clock))
+                if not settled and (clock is None or stamp > clock + span):
+                    leave, settled = int(final), True
+            out = pd.DataFrame(rows, columns=["uid", "bucket", "clock"])
+            yield out.astype({"clock": "Int64"})
 
     names = sightings.columns
 
     def replay(batches):
-        clock = None
-        for _, piece, new in grouped_runs(batches, ["uid", "bucket"]):
-            if new:
-                first = piece["clock"].iloc[0]
-                clock = None if pd.isna(first) else int(first)
+        key, clock = None, None
+        for pdf in batches:
             keep = []
-            for i, stamp in enumerate(micros(piece["ts"])):
-                if clock is None or stamp > clock + span:
+            for uid, bucket, entry, stamp in zip(pdf["uid"], pdf["bucket"], pdf["clock"], micros(pdf["ts"])):
+                if (uid, bucket) != key:
+                    key, clock = (uid, bucket), None if pd.isna(entry) else int(entry)
+                due = clock is None or stamp > clock + span
+                if due:
                     clock = int(stamp)
-                    keep.append(i)
-            yield piece.iloc[keep][names]
+                keep.append(due)
+            yield pdf.loc[keep, names]
 
     return bucketed_fold(
         sightings, order=("ts", "event_id"), bucket_seconds=hours * 3600.0 * horizons_per_bucket,
         summarise=summarise, summary_schema="uid string, bucket long, stamp long, final long",
         thread=thread, entry_schema="uid string, bucket long, clock long",
-        replay=replay, out_schema=sightings.schema,
+        replay=replay, out_schema=sightings.schema, thread_order=("bucket", "stamp"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proplake.config import LEGAL_TRANSITIONS, REJECT_STATES, STATES
 from proplake.functions import patterns as P
-from proplake.functions.sequence import bucketed_fold, grouped_runs
+from proplake.functions.sequence import bucketed_fold
 from proplake.functions.text import strip
 
 
@@ -37,15 +37,18 @@ def transition_fold(requests: DataFrame, bucket_seconds: float = 86_400.0) -> Da
     allowed = [{number[t] for t in LEGAL_TRANSITIONS[s]} for s in STATES]
 
     def summarise(batches):
-        ends, held = list(range(len(STATES))), None
-        for key, piece, new in grouped_runs(batches, ["uid", "bucket"]):
-            if new:
-                if held:
-                    yield pd.DataFrame([(*held, ends)], columns=["uid", "bucket", "ends"])
-                ends, held = list(range(len(STATES))), key
-            for target in piece["to_status"].map(number):
-                if target == target:  # known state
-                    ends = [int(target) if target in allowed[e] else e for e in ends]
+        held, ends = None, []
+        for pdf in batches:
+            rows = []
+            for uid, bucket, status in zip(pdf["uid"], pdf["bucket"], pdf["to_status"]):
+                if (uid, bucket) != held:
+                    if held:
+                        rows.append((*held, ends))
+                    held, ends = (uid, bucket), list(range(len(STATES)))
+                target = number.get(status)
+                if target is not None:
+                    ends = [target if target in allowed[e] else e for e in ends]
+            yield pd.DataFrame(rows, columns=["uid", "bucket", "ends"])
         if held:
             yield pd.DataFrame([(*held, ends)], columns=["uid", "bucket", "ends"])
 
@@ -63,18 +66,19 @@ def transition_fold(requests: DataFrame, bucket_seconds: float = 86_400.0) -> Da
     names = requests.columns
 
     def replay(batches):
-        state = 0
-        for _, piece, new in grouped_runs(batches, ["uid", "bucket"]):
-            if new:
-                state = int(piece["entry"].iloc[0])
+        held, state = None, 0
+        for pdf in batches:
             before, fine = [], []
-            for target in piece["to_status"].map(number):
+            for uid, bucket, entry, status in zip(pdf["uid"], pdf["bucket"], pdf["entry"], pdf["to_status"]):
+                if (uid, bucket) != held:
+                    held, state = (uid, bucket), int(entry)
+                target = number.get(status)
+                legal = target is not None and target in allowed[state]
                 before.append(STATES[state])
-                legal = target == target and target in allowed[state]
-                fine.append(bool(legal))
+                fine.append(legal)
                 if legal:
-                    state = int(target)
-            yield piece[names].assign(from_status=before, accepted=fine)
+                    state = target
+            yield pdf[names].assign(from_status=before, accepted=fine)
 
     return bucketed_fold(
         requests, order=("ts", "id"), bucket_seconds=bucket_seconds, summarise=summarise,

@@ -36,8 +36,8 @@ def transition_fold(t):
 
 
 @query("transition_final_states", """
-SELECT uid, coalesce(status,'new') AS current_status, at AS last_transition_at, coalesce(status,'new') NOT IN ('triage_reject','final_reject','not_contacted') AS is_active
-FROM (SELECT uid, arg_max(to_status, rn) FILTER (WHERE accepted) AS status, max(ts) FILTER (WHERE accepted) AS at FROM fold GROUP BY uid)""",
+SELECT uid, coalesce(status,'new') AS current_status, moved AS last_transition_at, coalesce(status,'new') NOT IN ('triage_reject','final_reject','not_contacted') AS is_active
+FROM (SELECT uid, arg_max(to_status, rn) FILTER (WHERE accepted) AS status, max(ts) FILTER (WHERE accepted) AS moved FROM fold GROUP BY uid)""",
        "transitions", ctes=FOLD, recursive=True)
 def transition_final_states(t):
     return L.current_states(L.transition_fold(t.transitions))

@@ -400,6 +400,80 @@ SELECT CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'por
 FROM orders"""
 
 
+def _page_text(template: str) -> str:
+    """SQL text from a template: ``<<expr>>`` inserts a whole-number expression, a backslash is spelled chr(92)."""
+    out = template.replace("'", "''").replace("\\", "'||chr(92)||'")
+    return "'" + out.replace("<<", "'||CAST(").replace(">>", " AS STRING)||'") + "'"
+
+
+PAGE_PARTS = [  # (condition on p = page_id, or None for every page; text)
+    ("p%3=0 AND p%33<>0", '<script id="__ZAD_TARGETING__" type="application/json">{"listing_id":"<<p>>","display_address":"<<p%90+1>> Foo Road, Hackney",'
+     '"outcode":"n7","incode":"<<p%9>>ab","num_beds":"<<p%4>>","num_baths":1,"price_actual":<<1500+p>>,"property_type":"flat",'
+     '"furnished_state":"part_furnished","size_sq_feet":"<<400+p>>"}</script>'),
+    ("p%33=0", '<script id="__ZAD_TARGETING__" type="application/json">{broken</script>'),
+    ("p%8=1", '<script type="application/ld+json">{"@type":"BreadcrumbList","name":"crumbs"}</script>'),
+    ("p%4<>0", '<script data-x="1" type="application/ld+json">{"@type":"RealEstateListing","name":"Ld name <<p>>, N1","description":"<b>Bright</b> flat &amp; &quot;roomy  home&quot; <i><<p%3>></i> bathroom",'
+     '"offers":{"price":"<<1900+p>>","availability":"https://schema.org/InStock"}}</script>'),
+    ("p%20=4", '<script type="application/ld+json">{"@type":"RealEstateListing","offers":{"availability":"https://schema.org/SoldOut"}}</script>'),
+    ("p%2=0", '<script>push("{\\"displayAddress\\":\\"<<p%50+1>> Hyd Street, Camden\\",\\"outcode\\":\\"e8\\",\\"numBedrooms\\":<<1+p%3>>,\\"numBathrooms\\":<<1+p%2>>,'
+     '\\"latitude\\":51.<<5000+p>>,\\"longitude\\":-0.<<1000+p>>,\\"furnished_state\\":\\"unfurnished\\",\\"label\\":\\"£<<1+p%3>>,<<100+p%800>> pcm\\"}")</script>'),
+    ("p%2=1 AND p%5<>0", '<script>{"displayAddress":"<<p%50+1>> Plain Row","outcode":"w1","incode":"1aa","numBeds":<<p%5>>,"numBaths":1,"latitude":51.<<4000+p>>,"longitude":0.<<1000+p>>}</script>'),
+    ("p%6=0", '<script>"\\"bullets\\":[\\"Private garden\\",\\"EPC rating C\\",\\"<<500+p>> sq ft\\",\\"Gas \\u0026 water\\"]"</script>'),
+    ("p%3<>1", '<script>\\"filename\\":\\"<<h>>aaaaaaaa.jpg\\",\\"filename\\":\\"<<h>>bbbbbbbb.png\\",\\"filename\\":\\"<<h>>aaaaaaaa.jpg\\"</script>'),
+    ("p%3=1", '<img src="/u/480/360/<<h>>cccccccc.jpeg"><img src="/u/1024/768/<<h>>dddddddd.webp"><img src="/u/480/360/<<h>>cccccccc.jpeg">'),
+    ("p%9=0", '<script>\\"epc\\":{\\"image\\":[{\\"caption\\":\\"EPC\\",\\"filename\\":\\"<<h>>bbbbbbbb.png\\"}]},\\"epcRating\\":\\"C\\"</script>'),
+    ("p%9=1", '<script>"epc":{"image":[{"caption":"EPC","filename":"<<h>>eeeeeeee.jpg"}]},"epcRating":"E"</script>'),
+    ("p%9=2", '<script>"epc":{"image":null}</script><img src="https://media2.rightmove.co.uk/dir/<<p>>_EPCGRAPH_00.png">'),
+    ("p%7=0", '<script>\\"floorPlan\\":[{\\"original\\":\\"https://lc.zoocdn.com/<<p>>.pdf\\"}]</script>'),
+    ("p%7=1", '<script>\\"floorPlan\\":{\\"image\\":[{\\"x\\":1,\\"filename\\":\\"<<h>>ffffffff.jpg\\"}]}</script>'),
+    ("p%7=2", '<script>\\"floorPlan\\":[{\\"original\\":\\"https://www.foxtons.co.uk/<<p>>/large_floorplan.jpg\\"}]</script>'),
+    ("p%7=3", '<a href="https://media.rightmove.co.uk/property-floorplan/<<p>>.gif">plan</a><a href="https://media.rightmove.co.uk/property-floorplan/<<p>>.gif">plan</a>'),
+    ("p%4=1", '<script>var PROPERTYIDS = [<<p>>, x, <<p+1000>>, -4];\nvar PROPERTYLISTLATITUDES = [51.<<5000+p>>, bad, 51.6, 51.7];\nvar PROPERTYLISTLONGITUDES = [-0.1, -0.<<1000+p>>];'
+     'var NUMBEROFPROPERTIES = <<p*3>>; var PROPERTYBYID = {<<p>> : 0, <<p+1000>> : 1, oops : 2, 7 : z};</script>'),
+    (None, '<a href="/to-rent/details/<<p+100>>/">a</a><a href="/to-rent/details/<<p%7>>">b</a><a href="/to-rent/details/<<p+100>>/">a</a>'),
+    ("p%2=0", '<a href="/properties/<<p+5>>#/">c</a><a href="/properties/<<p%3>>">d</a>'),
+    ("p%2=1", '<table><tr><td>Rent PCM</td><td>£<<1+p%2>>,<<100+p>>.50</td></tr><tr><td>Deposit</td><td>£<<500+p>></td></tr><tr class="r"><td>Garden</td><td><svg class="icon text-success"></svg></td></tr>'
+     '<tr><td>Parking</td><td><svg class="icon text-danger"></svg></td></tr><tr><td>Fireplace</td><td><svg class="icon"></svg></td></tr><tr><td>EPC Rating</td><td>D</td></tr><tr><td>EPC Rating</td><td>B</td></tr>'
+     '<tr><td>Furnishing</td><td> Furnished </td></tr><tr><td>Available From</td><td>0<<1+p%9>> June, 2026</td></tr><tr><td>Bills Included</td><td><svg class="text-danger"></svg></td></tr>'
+     '<tr><td>Pets Allowed</td><td><svg class="text-success"></svg></td></tr><tr><td>one</td><td>two</td><td>three</td></tr></table>'),
+    ("p%5=0", '<span data-testid="price">£<<1+p%4>>,<<100+p>> pcm</span>'),
+    ("p%5=1", '<div data-testid="property-details">A <<p%4>> bedroom home, <<1+p%2>> bathroom, part furnished</div>'),
+    ("p%5=2", '<div data-testid="property-details">Unfurnished, <<p%4>> bedroom</div>'),
+    ("p%5=3", '<ul data-testid="property-features"><li>Garden <<p>></li><li>ok</li><li> Lift </li><li>Lift</li></ul>'),
+    ("p%5=4", '<div data-testid="property-description">Lovely   flat number <<p>> close to shops</div><a data-testid="agent-phone" href="x">Tel: +44 (20) 7946-<<1000+p>></a>'),
+    ("p%6=1", '<script>window.__PAGE_MODEL = {"data":"[{\\"propertyData\\":1},{\\"status\\":2,\\"displayStatus\\":5,\\"lettings\\":6,\\"bedrooms\\":7},{\\"published\\":3,\\"archived\\":4},true,false,\\"For rent\\",{\\"letAgreed\\":3},<<p%5>>]","encoding":"on"};</script>'),
+    ("p%6=3", '<script>window.__PAGE_MODEL = {"data":"[{\\"propertyData\\":1},{\\"status\\":2,\\"displayStatus\\":5},{\\"published\\":4,\\"archived\\":4},true,false,\\"Let Agreed\\"]","encoding":"on"};</script>'),
+    ("p%6=5", '<script>window.PAGE_MODEL = {"propertyData":{"status":{"published":true,"archived":<<p%1>>},"bedrooms":<<p%5>>}};</script>'),
+    ("p%17=0", "<p>Sorry, this listing has been Removed.</p>"),
+    ("p%19=0", '<div class="galleryBadge x"> Now  let </div>'),
+    ("p%23=0", '<div class="alert alert-warning"><b>Let Agreed</b></div>'),
+    ("p%3=2", '<section><h2>London, N<<p%20>></h2><span>Angel</span><span>7 min walk</span><span>Bank</span><span>Oval</span><span><<p%30>> mins</span><span>9 mins</span></section>'),
+    ("p%3=2", '<div class="swiper-slide"><img alt="" src="//imagescdn.openrent.co.uk/listings/<<p>>/1.jpg"></div><div class="swiper-slide"><img src="https://cdn.test/x.jpg"></div>'),
+    ("p%12=0", '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"searchResults":{"properties":[{"id":<<p+1>>,"propertyUrl":"/properties/<<p+1>>#x"},{"propertyId":"<<p+2>>"},{"other":1}],"resultCount":"1,234"}}}}</script>'),
+    ("p%3=2", '<section><h2>About This Property</h2><p>Quiet  <<1+p%3>>-bathroom flat <<p>>, private garden</p></section>'),
+    ("p%4=2", '<img src="https://media.rightmove.co.uk/property-photo/<<p>>/1.jpg"><img src="https://media.rightmove.co.uk/logo.png"><img data-src="https://media.rightmove.co.uk/property-photo/<<p>>/1.jpg">'),
+    ("p%10=3", '<iframe src="https://maps.test/embed?zoom=3&q=51.<<5000+p>>,-0.12"></iframe>'),
+    ("p%10=7", "<p>at 48.8566,2.3522 or 51.<<50000+p>> , -0.<<10000+p>></p>"),
+]
+
+
+@_view("listing_pages", "pages")
+def _listing_pages(d: Any) -> str:
+    """The given pages, whole, with listing markup of three portals added before and after."""
+    title = pick("p%5", "3 bedroom flat to rent in Foo Road, N7 | Site", "Studio apartment for rent in Bar Street",
+                 "2 bed maisonette let agreed in Quux Lane, E8 6AB", "Office unit", "1 Bedroom House To Rent in  Baz Way,  n19 3jq , | Site")
+    h1 = pick("p%4", "2 Bed Flat, Camden Road, NW1", "Studio, Old Street, EC1V", "1 Bed Flat, Somewhere", "Room in a Shared House, SW1A")
+    tail = "||".join(f"CASE WHEN {cond} THEN {_page_text(text)} ELSE '' END" if cond else _page_text(text) for cond, text in PAGE_PARTS)
+    tail = tail.replace("CAST(h AS STRING)", "h")
+    return f"""
+SELECT p AS page_id, {pick('p%3', 'portal_b', 'portal_a', 'portal_c')} AS portal, url,
+ 'https://b.test/to-rent/details/'||CAST(p AS STRING)||'/' AS requested_url,
+ CASE WHEN p%13=0 THEN 'https://b.test/to-rent/search' WHEN p%13=1 THEN 'https://b.test/to-rent/details/'||CAST(p+1 AS STRING)||'/'
+  WHEN p%13=2 THEN NULL ELSE 'https://b.test/to-rent/details/'||CAST(p AS STRING)||'/?x=1' END AS final_url,
+ {title} AS listing_title, '<title>'||{title}||'</title><h1>'||{h1}||'</h1>'||html||{tail} AS html
+FROM (SELECT page_id AS p, url, html, md5(CAST(page_id AS STRING)) AS h FROM pages) t"""
+
+
 def view_names() -> list[str]:
     return list(_VIEWS)
 
