@@ -119,7 +119,7 @@ def cell_text(cell: str) -> str:
 
 
 GRID = f"""
-cells AS (SELECT page_id, tds, row_number() OVER (PARTITION BY page_id) AS n FROM (SELECT page_id, {every('<td[^>]*>([\\s\\S]*?)</td>', 'tr')} AS tds FROM (SELECT page_id, unnest({every('<tr[^>]*>([\\s\\S]*?)</tr>')}) AS tr FROM listing_pages)) WHERE len(tds)=2),
+cells AS (SELECT page_id, tds, n FROM (SELECT page_id, n, {every('<td[^>]*>([\\s\\S]*?)</td>', 'tr')} AS tds FROM (SELECT page_id, unnest(trs) AS tr, generate_subscripts(trs,1) AS n FROM (SELECT page_id, {every('<tr[^>]*>([\\s\\S]*?)</tr>')} AS trs FROM listing_pages))) WHERE len(tds)=2),
 grid AS (SELECT page_id, n, {cell_text('tds[1]')} AS label, CASE WHEN contains(tds[2],'<svg') THEN CASE WHEN contains(tds[2],'text-success') THEN 'true' WHEN contains(tds[2],'text-danger') THEN 'false' END ELSE {cell_text('tds[2]')} END AS value FROM cells),
 labels AS (SELECT page_id, label, arg_max(coalesce(value,'-'), n) AS value FROM grid GROUP BY page_id, label)"""
 
