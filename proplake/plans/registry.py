@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None, *views: str, ctes: str = "", recurs
     return register
 
 
-MODULES = ["scoring", "serving", "features", "snapshots", "matching", "enrichment", "lifecycle", "calibration", "pages"]
+MODULES = ["scoring", "serving", "features", "snapshots", "matching", "enrichment", "lifecycle", "calibration", "pages", "streams"]
 
 
 def load_all() -> None:
