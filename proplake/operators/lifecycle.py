@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from proplake.config import LEGAL_TRANSITIONS, REJECT_STATES, STATES
 from proplake.functions import patterns as P
@@ -64,6 +65,7 @@ def transition_fold(requests: DataFrame, bucket_seconds: float = 86_400.0) -> Da
             yield pd.DataFrame(rows, columns=["uid", "bucket", "entry"])
 
     names = requests.columns
+    out_schema = StructType([*requests.schema.fields, StructField("from_status", StringType()), StructField("accepted", BooleanType())])
 
     def replay(batches):
         held, state = None, 0
@@ -83,7 +85,7 @@ def transition_fold(requests: DataFrame, bucket_seconds: float = 86_400.0) -> Da
     return bucketed_fold(
         requests, order=("ts", "id"), bucket_seconds=bucket_seconds, summarise=summarise,
         summary_schema="uid string, bucket long, ends array<int>", thread=thread, entry_schema="uid string, bucket long, entry int",
-        replay=replay, out_schema=requests.schema.add("from_status", "string").add("accepted", "boolean"),
+        replay=replay, out_schema=out_schema,
     )
 
 

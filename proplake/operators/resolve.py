@@ -245,10 +245,18 @@ def cluster_table(clustered: DataFrame, preferred: str = PREFERRED_PORTAL) -> Da
 
 
 def with_cluster_number(clusters: DataFrame) -> DataFrame:
-    """Dense numbers 1, 2, ... in order of cluster_id, from sorted partition offsets rather than one global window."""
-    ordered = clusters.orderBy("cluster_id")
-    numbered = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
-    return clusters.sparkSession.createDataFrame(numbered, clusters.schema.add("cluster_number", "long"))
+    """Dense numbers 1, 2, ... in order of cluster_id, from partition offsets of a sorted, written-out table."""
+    spark = clusters.sparkSession
+    ordered = cut_lineage(clusters.orderBy("cluster_id").withColumn("_part", F.spark_partition_id()))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one small row per partition
+    offsets, total = [], 0
+    for row in sorted(sizes, key=lambda r: r["_part"]):
+        offsets.append((row["_part"], total))
+        total += row["n"]
+    table = spark.createDataFrame(offsets, "_part int, _offset long")
+    inside = Window.partitionBy("_part").orderBy("cluster_id")
+    return ordered.join(F.broadcast(table), "_part").withColumn(
+        "cluster_number", F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
 
 
 def matching_cluster(arrivals: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -131,3 +131,9 @@ SELECT tp, fp, fn, tn, coalesce(tp/nullif(tp+fp,0),0.0) AS precision, coalesce(t
  FROM labelled_pairs p JOIN clusters a ON a.uid=p.uid_a JOIN clusters b ON b.uid=p.uid_b)""", "listings", "labelled_pairs", ctes=CLOSURE, recursive=True)
 def pair_precision_recall(t):
     return R.pair_precision_recall(t.labelled_pairs, R.dup_clusters(t.listings.drop("cluster_id")))
+
+
+@query("cluster_numbers", "SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS cluster_number FROM (SELECT DISTINCT cluster_id FROM clusters)",
+       "listings", ctes=CLOSURE, recursive=True)
+def cluster_numbers(t):
+    return R.with_cluster_number(R.dup_clusters(t.listings.drop("cluster_id")).select("cluster_id").distinct())
