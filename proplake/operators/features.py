@@ -29,25 +29,35 @@ def _mentions(bullets: Column, *needles: str) -> Column:
     return F.exists(bullets, lambda b: F.greatest(*[b.contains(n) for n in needles]) if len(needles) > 1 else b.contains(needles[0]))
 
 
-def _verdict(by_bullet: Column, prose: Column, no: list[str], yes: list[str]) -> Column:
+def _names_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Cheap test for words without which none of a pattern list can match; it spares most texts the regex scan."""
+    low = F.lower(text)
+    tests = [low.contains(w) for w in words]
+    return F.greatest(*tests) if len(tests) > 1 else tests[0]
+
+
+def _verdict(by_bullet: Column, prose: Column, words: tuple[str, ...], no: list[str], yes: list[str]) -> Column:
     """Bullets win, then a denial in the prose, then an affirmation; silence means False."""
-    return F.when(by_bullet, True).when(prose.rlike(P.any_of(no)), False).otherwise(prose.rlike(P.any_of(yes)))
+    return (
+        F.when(by_bullet, True).when(~_names_any(prose, words), False).when(prose.rlike(P.any_of(no)), False)
+        .otherwise(prose.rlike(P.any_of(yes)))
+    )
 
 
 def garden(description: Column, features: Column, title: Column) -> Column:
     bullets = _bullets(features)
     claimed = _mentions(bullets, "garden") & ~_mentions(bullets, "no garden", "without garden")
-    return _verdict(claimed, _prose(description, title), P.GARDEN_NO, P.GARDEN_YES)
+    return _verdict(claimed, _prose(description, title), ("garden", "outdoor"), P.GARDEN_NO, P.GARDEN_YES)
 
 
 def balcony(description: Column, features: Column, title: Column) -> Column:
     claimed = _mentions(_bullets(features), "balcony", "terrace", "patio")
-    return _verdict(claimed, _prose(description, title), P.BALCONY_NO, P.BALCONY_YES)
+    return _verdict(claimed, _prose(description, title), ("balcony", "terrace", "patio"), P.BALCONY_NO, P.BALCONY_YES)
 
 
 def bills_included(description: Column, features: Column, title: Column) -> Column:
     claimed = _mentions(_bullets(features), "bills included", "bills inc", "all bills")
-    return _verdict(claimed, _prose(description, title), P.BILLS_NO, P.BILLS_YES)
+    return _verdict(claimed, _prose(description, title), ("bill", "includ"), P.BILLS_NO, P.BILLS_YES)
 
 
 def furnished(description: Column, features: Column, title: Column) -> Column:
@@ -56,21 +66,25 @@ def furnished(description: Column, features: Column, title: Column) -> Column:
         return F.coalesce(*[F.when(bullet.contains(needle), value) for needle, value in P.FURNISHED_BULLETS])
 
     prose = _prose(description, title)
-    in_text = [F.when(prose.rlike(P.insensitive(pattern)), value) for pattern, value in P.FURNISHED_TEXT]
+    named = _names_any(prose, ("furni",))
+    in_text = [F.when(named & prose.rlike(P.insensitive(pattern)), value) for pattern, value in P.FURNISHED_TEXT]
     return F.coalesce(first_known(F.transform(_bullets(features), state)), *in_text, F.lit("unknown"))
 
 
-def first_match(sources: Column, patterns: list[str]) -> Column:
+def first_match(sources: Column, words: tuple[str, ...], patterns: list[str]) -> Column:
     """First source with any match; within it the earliest pattern of the list."""
-    return first_known(F.transform(sources, lambda s: F.coalesce(*[extract(s, P.insensitive(p)) for p in patterns])))
+    def match(source: Column) -> Column:
+        return F.when(_names_any(source, words), F.coalesce(*[extract(source, P.insensitive(p)) for p in patterns]))
+
+    return first_known(F.transform(sources, match))
 
 
 def council_band(description: Column, features: Column, title: Column) -> Column:
-    return F.upper(first_match(_sources(features, description, title), P.COUNCIL_BAND))
+    return F.upper(first_match(_sources(features, description, title), ("tax band", "ctb"), P.COUNCIL_BAND))
 
 
 def available_raw(description: Column, features: Column, title: Column) -> Column:
-    return strip(first_match(_sources(features, description, title), P.AVAILABLE))
+    return strip(first_match(_sources(features, description, title), ("available",), P.AVAILABLE))
 
 
 def size_sqft(description: Column, features: Column) -> Column:
@@ -84,7 +98,7 @@ def size_sqft(description: Column, features: Column) -> Column:
 
 
 def rating_letter(description: Column, features: Column) -> Column:
-    return F.upper(first_match(_sources(features, description), P.RATING))
+    return F.upper(first_match(_sources(features, description), ("epc", "energy"), P.RATING))
 
 
 MONTH_NUMBERS = {
