@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 255
+from proplake.session import cut_lineage
+
+CUTS = 63
 
 
 def value_positions(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -14,7 +16,7 @@ def value_positions(df: DataFrame, value: str, groups: tuple[str, ...] = ()) ->
     Equal values combine first. Distinct values are split at at most ``CUTS`` approximate quantiles; positions run inside a
     slice and the slices' totals are added. Any cut points give the same exact result.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")))
     fractions = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     row = counts.agg(F.percentile_approx(value, fractions, 10_000).alias("cuts")).first()
     cuts = sorted(set(row["cuts"] or []))
@@ -24,8 +26,8 @@ def value_positions(df: DataFrame, value: str, groups: tuple[str, ...] = ()) ->
     earlier = Window.partitionBy(*groups, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "slice", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*groups, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return sliced.join(offsets, [*groups, "slice"]).select(
-        *groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"))
+    return cut_lineage(sliced.join(offsets, [*groups, "slice"]).select(
+        *groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")))
 
 
 def value_at(position: Column, value: str) -> Column:
