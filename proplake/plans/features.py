@@ -8,14 +8,13 @@ from proplake.functions import patterns as P
 from proplake.functions import text as X
 from proplake.operators import features as T
 from proplake.plans.registry import query
-from proplake.sources.adapters import TODAY, _VIEWS  # noqa: F401
+from proplake.sources.adapters import TODAY
 
 
 def texts(t):
     return t.texts.withColumn("features", F.filter(F.array("bullet_1", "bullet_2"), lambda b: b.isNotNull()))
 
 
-D, FE, TI = F.col, None, None
 PROSE = "description||' '||coalesce(title,'')"
 B = "lower(coalesce(bullet_1,'')||chr(10)||coalesce(bullet_2,''))"
 
