@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, secrets, sharding
+from proplake.llm import bpe, parsing, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,5 @@ def _query(name: str, table: str, sql: str | None = None):
 _query("op6_hypergeometric_sharding", "documents")(sharding.shard_digest)
 _query("op1_structural_secret_scan", "documents")(secrets.secret_digest)
 _query("op9_chunk_reuse_bpe", "documents")(bpe.round_trip)
+_query("op2_locally_consistent_fingerprints", "documents")(parsing.fingerprint_digest)
+_query("op10_plane_token_files", "documents")(tokenfiles.token_file_digest)
