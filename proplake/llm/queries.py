@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, parsing, secrets, sharding, tokenfiles
+from proplake.llm import bpe, maxscore, packing, parsing, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,5 @@ _query("op1_structural_secret_scan", "documents")(secrets.secret_digest)
 _query("op9_chunk_reuse_bpe", "documents")(bpe.round_trip)
 _query("op2_locally_consistent_fingerprints", "documents")(parsing.fingerprint_digest)
 _query("op10_plane_token_files", "documents")(tokenfiles.token_file_digest)
+_query("op5_maxscore_search", "embeddings", maxscore.SEARCH_SQL)(maxscore.search_digest)
+_query("op8_conflict_best_fit", "documents")(packing.packing_digest)
