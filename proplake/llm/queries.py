@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, maxscore, packing, parsing, secrets, sharding, tokenfiles
+from proplake.llm import bpe, maxscore, packing, parsing, resampling, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(DataFrame) -> DataFrame`` over one whole table of the data folder."""
-    def register(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _query(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn(DataFrame, ...) -> DataFrame`` over whole tables of the data folder."""
+    def register(fn: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables])
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -28,5 +28,6 @@ _query("op1_structural_secret_scan", "documents")(secrets.secret_digest)
 _query("op9_chunk_reuse_bpe", "documents")(bpe.round_trip)
 _query("op2_locally_consistent_fingerprints", "documents")(parsing.fingerprint_digest)
 _query("op10_plane_token_files", "documents")(tokenfiles.token_file_digest)
-_query("op5_maxscore_search", "embeddings", maxscore.SEARCH_SQL)(maxscore.search_digest)
+_query("op5_maxscore_search", "embeddings", sql=maxscore.SEARCH_SQL)(maxscore.search_digest)
 _query("op8_conflict_best_fit", "documents")(packing.packing_digest)
+_query("op4_importance_resampling", "documents", "labels")(resampling.resampling_digest)
