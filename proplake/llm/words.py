@@ -1,7 +1,7 @@
 """Byte-level BPE of texts by way of their words, each distinct word encoded by the tokenizers library once.
 
-A space that follows a character other than white space always starts a new pre-token, whatever stands around it, and no
-earlier pre-token looks past it. Cutting a text before such spaces therefore changes no id.
+A space or line end that follows a character other than white space always starts a new pre-token, whatever stands around
+it, and no earlier pre-token looks past it. Cutting a text there therefore changes no id.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import re
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 JOINED_WORDS = 2_000
-UNSAFE = re.compile(r"\s ")
+UNSAFE = re.compile(r"\s[ \n]")  # white space before a space or line end: such texts are encoded whole
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -24,21 +24,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Recent(dict):
-    """A dictionary that keeps between ``most`` / 2 and ``most`` of the entries used last."""
+    """A dictionary that keeps between ``most`` / 2 and ``most`` of the entries used last.
+
+    ``get`` sees the younger half alone and costs what a plain dictionary's does; ``find`` also brings back older entries.
+    """
 
     def __init__(self, most: int):
         self.most, self.older = most, {}
 
-    def __missing__(self, key):
-        value = self.older.pop(key)  # KeyError where it is in neither
-        self[key] = value
-        return value
-
     def find(self, key):
-        try:
-            return self[key]
-        except KeyError:
-            return None
+        value = self.get(key)
+        if value is None:
+            value = self.older.pop(key, None)
+            if value is not None:
+                self[key] = value
+        return value
 
     def add(self, found: dict) -> None:
         if len(self) > self.most // 2:
@@ -57,20 +57,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Recent(most_words)  # word -> ids of " " + word
-        self.heads = Recent(most_words // 8)  # what stands before the first space
+        self.words = Recent(most_words)  # what follows a space -> ids of both; what begins with a line end -> its ids
+        self.heads = Recent(most_words // 8)  # what begins a text or a line
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.signs = {sign: self.whole(sign) for sign in ",.\n"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encode new words, many in one text: each word's ids begin where an id begins with a space."""
-        alone = {w for w in words if not w or w[-1].isspace()}
-        found = {w: self.whole(" " + w) for w in alone}
-        rest = list(words - alone)
-        groups = [rest[i:i + JOINED_WORDS] for i in range(0, len(rest), JOINED_WORDS)]
+    def _head(self, word: str) -> bytes:
+        ids = self.heads.find(word)
+        if ids is None:
+            ids = self.whole(word)
+            self.heads.add({word: ids})
+        return ids
+
+    def _spaced_words(self, words: list[str]) -> dict[str, bytes]:
+        """Many words in one text: each word's ids begin where an id begins with a space."""
+        found = {}
+        groups = [words[i:i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(encoded.ids, dtype="<u4")
             starts = np.flatnonzero(self.spaced[ids]) * 4
@@ -80,23 +86,46 @@ class WordEncoder:
             found.update(zip(group, map(data.__getitem__, map(slice, starts.tolist(), ends))))
         return found
 
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not met lately. A comma or full stop after a letter, and a line end before a word, are pre-tokens of
+        their own, so such words are put together from known parts."""
+        found, stems, wanted = {}, {}, set()
+        for w in words:
+            known = self.words.find(w)
+            if known is not None:
+                found[w] = known
+            elif w[:1] == "\n":
+                found[w] = self.signs["\n"] + self._head(w[1:])
+            elif not w or w[-1].isspace():
+                found[w] = self.whole(" " + w)
+            elif w[-1] in ",." and w[-2:-1].isalpha():
+                stems[w] = w[:-1]
+            else:
+                wanted.add(w)
+        for stem in set(stems.values()) - wanted:
+            known = self.words.find(stem)
+            if known is None:
+                wanted.add(stem)
+            else:
+                found[stem] = known
+        found.update(self._spaced_words(list(wanted)))
+        found.update((w, found[stem] + self.signs[w[-1]]) for w, stem in stems.items())
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not t or UNSAFE.search(t) else t.split(" ") for t in texts]
-        words = [list(map(self.words.find, c[1:])) if c else [] for c in cut]
-        new = {w for c, known in zip(cut, words) if c and None in known for w, ids in zip(c[1:], known) if ids is None}
+        cut = [None if not t or UNSAFE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        words = [list(map(self.words.get, c)) if c else [] for c in cut]
+        new = {w for c, known in zip(cut, words) if c for w, ids in zip(c[1:], known[1:]) if ids is None}
         learnt = self._learn(new)
         out = []
         for text, c, known in zip(texts, cut, words):
             if c is None:
                 out.append(self.whole(text) if text else b"")
                 continue
+            known[0] = self._head(c[0])
             if None in known:
-                known = [learnt[w] if ids is None else ids for w, ids in zip(c[1:], known)]
-            head = self.heads.find(c[0])
-            if head is None:
-                head = self.whole(c[0])
-                self.heads.add({c[0]: head})
-            out.append(head + b"".join(known))
+                known = [learnt[w] if ids is None else ids for w, ids in zip(c, known)]
+            out.append(b"".join(known))
         self.words.add(learnt)
         return out
 
