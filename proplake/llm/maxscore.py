@@ -38,15 +38,16 @@ class Shard:
         lead = (lead[::-1] if query[strongest] > 0 else lead)[:4 * k]
         lead = lead[self.ids[lead] != own]
         floor = np.sort(self.vectors[lead] @ query)[-k] if len(lead) >= k else None
-        essential = len(terms) if floor is None else int(np.searchsorted(-rest, -floor, side="right"))  # rest[essential] < floor
+        reachable = floor is not None and floor > 0  # else a vector may compete without any term
+        essential = int(np.searchsorted(-rest, -floor, side="right")) if reachable else len(terms)  # rest[essential] < floor
         first = terms[:essential]
-        hit = np.zeros(len(self.ids), dtype=bool)
+        hit = np.full(len(self.ids), not reachable)
         for t in first:
-            column = self.vectors[:, t]
-            hit |= column > 0 if query[t] > 0 else column < 0
             if hit.all():
                 break
-        alive = np.flatnonzero(hit & (self.ids != own)) if floor is not None else np.flatnonzero(self.ids != own)
+            column = self.vectors[:, t]
+            hit |= column > 0 if query[t] > 0 else column < 0
+        alive = np.flatnonzero(hit & (self.ids != own))
         score = self.vectors[np.ix_(alive, first)] @ query[first]
         at = essential
         while True:
