@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, maxscore, neardup, packing, parsing, resampling, secrets, sharding, tokenfiles
+from proplake.llm import bpe, maxscore, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,4 @@ _query("op5_maxscore_search", "embeddings", sql=maxscore.SEARCH_SQL)(maxscore.se
 _query("op8_conflict_best_fit", "documents")(packing.packing_digest)
 _query("op4_importance_resampling", "documents", "labels")(resampling.resampling_digest)
 _query("op7_minhash_inverted_join", "documents")(neardup.neardup_digest)
+_query("op3_hash_suffix_dedup", "documents")(repeats.repeats_digest)
