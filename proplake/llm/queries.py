@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from proplake.llm import bpe, maxscore, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
@@ -33,3 +34,7 @@ _query("op8_conflict_best_fit", "documents")(packing.packing_digest)
 _query("op4_importance_resampling", "documents", "labels")(resampling.resampling_digest)
 _query("op7_minhash_inverted_join", "documents")(neardup.neardup_digest)
 _query("op3_hash_suffix_dedup", "documents")(repeats.repeats_digest)
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -220,6 +220,16 @@ def scan(df: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     return df.withColumn(into, secret_spans(F.col(text)))
 
 
+def redacted(documents: DataFrame) -> DataFrame:
+    """``documents``, every row kept, with the spans found in ``text`` replaced and ``n_chars`` counted anew where text changed."""
+    clean = documents.withColumn("_clean", without_secrets(F.col("text")))
+    new = {"text": F.col("_clean")}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
+    return clean.select(*[new[c].alias(c) if c in new else c for c in documents.columns])
+
+
 def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
