@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proplake.llm.batches import pieces
+from proplake.llm.batches import PIECE_BYTES, pieces
 from proplake.llm.hashing import follow, word_hashes
 from proplake.session import cut_lineage
 
@@ -52,8 +52,15 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_weights(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
-    owner, bucket = buckets(texts)
-    return np.bincount(owner, weights=ratio[bucket], minlength=len(texts)).round(9)
+    """The log weight of each text; the arrays behind it span about PIECE_BYTES of text at a time."""
+    out, start, held = [], 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= PIECE_BYTES or end == len(texts):
+            owner, bucket = buckets(texts[start:end])
+            out.append(np.bincount(owner, weights=ratio[bucket], minlength=end - start))
+            start, held = end, 0
+    return np.concatenate(out).round(9) if out else np.zeros(0)
 
 
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
