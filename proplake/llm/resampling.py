@@ -1,8 +1,10 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word unigrams and bigrams are counted: the target model over labelled good documents, the raw
-model over all documents. The log ratio of both, summed over a document's n-grams, is its log importance weight. Documents are
-sampled without replacement by Gumbel top-k: the k largest of log weight / temperature + Gumbel noise.
+model over all documents. They tell how likely a document is to hold an n-gram; how often it holds it does not count, since
+the occurrences in one long or repetitive document say too little about others. The log ratio of both, summed over a
+document's n-grams, is its log importance weight. Documents are sampled without replacement by Gumbel top-k: the k largest of
+log weight / temperature + Gumbel noise.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proplake.llm.batches import PIECE_BYTES, pieces
-from proplake.llm.hashing import follow, word_hashes
+from proplake.llm.hashing import follow, mix, word_hashes
 from proplake.session import cut_lineage
 
-BITS = 18  # of a bucket number, for unigrams and bigrams each
-SLICE = 1 << 12
+BITS = 20  # of a bucket number, for unigrams and bigrams each
+SLICE = 1 << 13
+AGAIN = 0x5BD1E995  # stands for "the same word again"
 MOST_LABELLED = 65_536  # labelled documents used at most: one half to count the target model, one half to set the threshold
 PSEUDO = 2.0
-SIGNIFICANT = 2.0  # n-grams whose target count is within so many standard deviations of what raw text predicts weigh nothing
+#: N-grams whose target count is within so many standard deviations of what raw text predicts weigh nothing. Few documents
+#: show little and many show chance effects too, so the value is chosen on the held-out documents.
+SIGNIFICANT = (1.5, 2.0, 3.0, 4.0, 6.0)
 LOST = 0.005  # share of held-out good documents that may fall below the threshold
 TEMPERATURE = 0.25
 SEED = 4_711
@@ -39,16 +44,26 @@ class Model:
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, bucket) of every unigram and bigram of the texts."""
+    """(owner, bucket) of the distinct unigrams and bigrams of each text, ascending.
+
+    Of a word that follows itself the bigram says only how often it has done so by now, as a power of two: which word is
+    repeated tells nothing, that one is repeated much.
+    """
     edges, words = word_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(edges))
-    first = np.zeros(0, np.int64)
-    if len(words) > 1:
-        inside = owner[1:] == owner[:-1]
-        first = np.flatnonzero(inside)
+    if not len(words):
+        return owner, np.zeros(0, np.int64)
     shift = np.uint64(64 - BITS)
-    pairs = (follow(words, 2)[first] >> shift).astype(np.int64) + (1 << BITS)
-    return np.concatenate((owner, owner[first])), np.concatenate(((words >> shift).astype(np.int64), pairs))
+    unigrams = (words >> shift).astype(np.int64)
+    first = np.flatnonzero(owner[1:] == owner[:-1])
+    again = words[first] == words[first + 1]
+    place = np.arange(len(first))
+    times = place - np.maximum.accumulate(np.where(again, -1, place))  # 1, 2, ... inside a run of one word
+    pairs = follow(words, 2)[first] if len(words) > 1 else words[:0]
+    pairs = np.where(again, mix(np.uint64(AGAIN) + np.log2(np.maximum(times, 1)).astype(np.uint64)), pairs)
+    both = np.concatenate((owner << BITS + 1 | unigrams, owner[first] << BITS + 1 | 1 << BITS | (pairs >> shift).astype(np.int64)))
+    both = np.unique(both)
+    return both >> BITS + 1, both & (2 << BITS) - 1
 
 
 def log_weights(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
@@ -78,7 +93,7 @@ def labelled(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
 
 
 def _count(documents: DataFrame, marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every bucket over all documents and over good ones: one small table, whatever the size of the corpus."""
+    """Documents that hold each bucket, of all and of good ones: one small table, whatever the size of the corpus."""
     size = 2 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +125,12 @@ def _count(documents: DataFrame, marked: DataFrame) -> tuple[np.ndarray, np.ndar
     return counts[0], counts[1]
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_ratio(raw: np.ndarray, target: np.ndarray, significant: float) -> np.ndarray:
     """Log of target over expected counts, for unigrams and bigrams apart; 0 where they do not differ significantly."""
-    ratio = np.zeros(len(raw), dtype=np.float64)
+    ratio = np.zeros(len(raw), dtype=np.float32)
     for part in (slice(0, len(raw) // 2), slice(len(raw) // 2, None)):
         expected = raw[part] * (target[part].sum() / max(1, raw[part].sum()))
-        differs = np.abs(target[part] - expected) > SIGNIFICANT * np.sqrt(expected)
+        differs = np.abs(target[part] - expected) > significant * np.sqrt(expected)
         ratio[part] = np.where(differs, np.log((target[part] + PSEUDO) / (expected + PSEUDO)), 0)
     return ratio
 
@@ -134,16 +149,32 @@ def weighed(documents: DataFrame, model: Model, into: str = "log_weight") -> Dat
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Count both models and choose the threshold that keeps all but LOST of the held-out good documents.
+    """Count both models, and choose on the held-out documents what counts as significant and where the threshold lies.
 
+    The threshold keeps all but LOST of the held-out good documents; the choice is that which then rejects most bad ones.
     Without labelled good documents every weight is 0 and everything is accepted.
     """
     marked = labelled(labels)
     raw, target = _count(documents, marked)
-    model = Model(log_ratio(raw, target) if target.any() else np.zeros(len(raw)), float("-inf"))
-    held = documents.select("doc_id", "text").join(F.broadcast(marked.filter("held AND good")), "doc_id")
-    weights = np.sort([r[0] for r in weighed(held, model).select("log_weight").collect()])  # a part of MOST_LABELLED numbers
-    return Model(model.ratio, float(weights[int(LOST * len(weights))]) if len(weights) else float("-inf"))
+    if not target.any():
+        return Model(np.zeros(len(raw), np.float32), float("-inf"))
+    ratios = [log_ratio(raw, target, s) for s in SIGNIFICANT]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            texts = _encoded(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("good"), *[pa.array(log_weights(texts, r)) for r in ratios]], names=["good", *[f"w{i}" for i in range(len(ratios))]])
+
+    held = documents.select("doc_id", "text").join(F.broadcast(marked.filter("held")), "doc_id").select("text", "good")
+    rows = held.mapInArrow(weigh, "good boolean, " + ", ".join(f"w{i} double" for i in range(len(ratios)))).collect()  # half of MOST_LABELLED at most
+    best = None
+    for i, ratio in enumerate(ratios):
+        good = np.sort([r[f"w{i}"] for r in rows if r["good"]])
+        threshold = float(good[int(LOST * len(good))]) if len(good) else float("-inf")
+        rejected = sum(r[f"w{i}"] < threshold for r in rows if not r["good"])
+        if best is None or rejected > best[0]:
+            best = (rejected, Model(ratio, threshold))
+    return best[1]
 
 
 def gumbel(*identity: str, seed: int = SEED) -> Column:
