@@ -158,11 +158,44 @@ def _edges_of(docs: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"node": docs[pairs[:, 0]], "other": docs[pairs[:, 1]]})
 
 
-def _count_list(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidate edges of one posting list: agreements of whole signatures, by their low bytes, which can only add some."""
-    docs = rows["doc_id"].to_numpy()
-    low = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint32).reshape(-1, WIDTH).astype(np.uint8)
-    return _edges_of(docs, reach(len(docs), lambda node, others: others[(low[others] == low[node]).sum(axis=1) >= MATCHES]))
+def list_edges(docs: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Candidate edges inside posting lists that begin at ``starts``: agreements of whole signatures are counted, by their low
+    bytes, which can only add some. Lists of two are compared all at once, as most are."""
+    size = np.diff(np.append(starts, len(docs)))
+    first = starts[size == 2]
+    agree = first[(low[first] == low[first + 1]).sum(axis=1) >= MATCHES]
+    edges = [np.stack((docs[agree], docs[agree + 1]), axis=1)]
+    for begin, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
+        own, own_docs = low[begin:begin + n], docs[begin:begin + n]
+        if n <= 64:  # a small table of all agreements is quicker than a search
+            agrees = (own[:, None, :] == own[None, :, :]).sum(axis=2) >= MATCHES
+            found = reach(n, lambda node, others: others[agrees[node, others]])
+        else:
+            found = reach(n, lambda node, others: others[(own[others] == own[node]).sum(axis=1) >= MATCHES])
+        if found:
+            edges.append(own_docs[np.array(found)])
+    return np.concatenate(edges)
+
+
+def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of sorted posting lists; the list at a batch's end waits for the next batch."""
+    def edges(keys: np.ndarray, docs: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
+        found = np.unique(list_edges(docs, low, starts), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "other"])
+
+    keys, docs, low = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty((0, WIDTH), np.uint8)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.concatenate((keys, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "high")], axis=1)))
+        docs = np.concatenate((docs, batch.column("doc_id").to_numpy()))
+        packed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
+        low = np.concatenate((low, packed.astype(np.uint8)))
+        open_from = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])
+        yield edges(keys[:open_from], docs[:open_from], low[:open_from])
+        keys, docs, low = keys[open_from:], docs[open_from:], low[open_from:]
+    yield edges(keys, docs, low)
 
 
 def candidate_classes(distinct: DataFrame) -> DataFrame:
@@ -171,7 +204,8 @@ def candidate_classes(distinct: DataFrame) -> DataFrame:
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posted.join(lists, "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).drop("n")
     rows = in_blocks(shared, "token", "blocks", "doc_id").join(distinct.select("doc_id", "signature"), "doc_id")
-    edges = rows.groupBy("token", "low", "high").applyInPandas(_count_list, "node bigint, other bigint").distinct()
+    sorted_lists = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    edges = sorted_lists.select("token", "low", "high", "doc_id", "signature").mapInArrow(_count_lists, "node bigint, other bigint").distinct()
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
 
 
