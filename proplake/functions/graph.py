@@ -10,10 +10,13 @@ from proplake.session import cut_lineage
 
 
 def _hook(directed: DataFrame) -> DataFrame:
-    """(node, other) -> (node, other, low): the smallest label among a node and its neighbours, hot nodes included."""
+    """(node, other) -> (node, other, low): the smallest label among a node and its neighbours, hot nodes included.
+
+    The labels are written once; ``directed`` should be cheap to read again.
+    """
     low = directed.groupBy("node").agg(F.min("other").alias("low"), F.count("*").alias("degree"))
     low = low.withColumn("low", F.least("low", "node"))
-    return join_by_weight(directed, low, ["node"], "degree").drop("degree")
+    return join_by_weight(directed, low, ["node"], "degree", materialise=True).drop("degree")
 
 
 def _pair(node: str, other: str) -> Column:
@@ -54,7 +57,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     current = cut_lineage(_proper(edges.select("node", "other")))
     for _ in range(max_rounds):
-        current = cut_lineage(_proper(_small_star(_large_star(current))))
+        current = cut_lineage(_proper(_small_star(cut_lineage(_large_star(current)))))
         if _is_stars(current):
             named = _spread(current, _pair("node", "other"), _pair("other", "other")).distinct()
             return named.withColumnRenamed("other", "component")

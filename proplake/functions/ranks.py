@@ -35,12 +35,23 @@ def value_at(position: Column, value: str) -> Column:
     return F.max(F.when((F.col("before") < position) & (F.col("before") + F.col("n") >= position), F.col(value)))
 
 
+def with_position(df: DataFrame, keys: list[Column], into: str, first: int = 1) -> DataFrame:
+    """``df`` plus the place of each row in the order of ``keys``, from partition offsets of a sorted, written-out table."""
+    ordered = cut_lineage(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # one small row per partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + (first - 1)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    return ordered.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, rho, t): rank correlation with average ranks for ties, from counts of distinct pairs."""
     from proplake.functions.skew import join_by_weight
 
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = F.col("before") + (F.col("n") + 1) / 2
+    n_rows = known.count()
+    rank = F.col("before") - F.lit(n_rows / 2) + F.col("n") / 2  # centred: sums of products of raw ranks would cancel
 
     def ranks(column: str, name: str) -> DataFrame:
         return value_positions(known, column).select(column, rank.alias(name), F.col("n").alias(f"{name}_n"))

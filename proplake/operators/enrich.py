@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from proplake.config import CARPET_ROOMS, LIVING_ROOMS, MATCH_THRESHOLD, RATING_ORDER, SAP_BUCKETS, SIZE_TRUST, SQM_TO_SQFT, TAG_AXES
 from proplake.functions.fuzzy import token_set_ratio
 from proplake.functions.jsoncols import FLOORPLAN  # noqa: F401  (re-exported for callers that parse floorplans)
+from proplake.functions.skew import left_join_spread
 from proplake.functions.text import extract, strip
 
 CERT_TEXT = (
@@ -75,7 +76,7 @@ def cert_latest_by_postcode(listings: DataFrame, certs: DataFrame) -> DataFrame:
     """Rating of the newest certificate of the postcode, with no look at the address."""
     newest = certs.groupBy(F.upper(strip(F.col("postcode"))).alias("_pc")).agg(
         F.max_by("rating", F.struct("lodgement_date", "cert_id")).alias("latest_rating"))
-    return listings.withColumn("_pc", F.upper(strip(F.col("postcode")))).join(newest, "_pc", "left").drop("_pc")
+    return left_join_spread(listings.withColumn("_pc", F.upper(strip(F.col("postcode")))), newest, ["_pc"]).drop("_pc")
 
 
 def rating_priority(scraper: Column, text: Column, cert: Column, read: Column, read_confidence: Column) -> dict[str, Column]:

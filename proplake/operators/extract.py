@@ -230,10 +230,11 @@ def photo_urls(html: Column) -> Column:
     return F.filter(F.transform(names, lambda n: F.concat(F.lit(PHOTO_BASE), n)), lambda u: u != chart)
 
 
-def gallery_urls(html: Column, cap: int = 10) -> Column:
-    """The first ten distinct property photos among the image tags."""
+def gallery_urls(html: Column, most: int | None = None) -> Column:
+    """The distinct property photos among the image tags; the first ``most`` of them where a gallery form asks for that."""
     tags = extract_all(html, r'<img[^>]*?(?:data-)?src="([^"]*)"')
-    return F.slice(F.array_distinct(F.filter(tags, lambda u: u.contains("property-photo") & u.contains("rightmove.co.uk"))), 1, cap)
+    photos = F.array_distinct(F.filter(tags, lambda u: u.contains("property-photo") & u.contains("rightmove.co.uk")))
+    return photos if most is None else F.slice(photos, 1, most)
 
 
 def slide_urls(html: Column) -> Column:
@@ -302,10 +303,10 @@ def stations(html: Column) -> Column:
     return F.aggregate(F.coalesce(tokens, F.array().cast("array<string>")), start, step)["pairs"]
 
 
-def about_text(html: Column, cut: int = 4000) -> Column:
-    """Description under the portal's heading, at most ``cut`` characters as the portal's readers expect."""
+def about_text(html: Column) -> Column:
+    """The whole description under the portal's heading."""
     body = extract(html, r"About This Property([\s\S]*?)</section>")
-    return F.substring(truthy(html_to_text(body)), 1, cut)
+    return truthy(html_to_text(body))
 
 
 def about_bathrooms(about: Column) -> Column:

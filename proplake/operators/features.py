@@ -178,10 +178,9 @@ def extract_text_features(df: DataFrame) -> DataFrame:
 
 
 def extraction_misses(df: DataFrame) -> DataFrame:
-    """Rows lacking size or rating, with which are missing and the opening of the description."""
+    """Rows lacking size or rating, whole, with which of them are missing."""
     missing = F.concat_ws("+", F.when(F.col("size_sqft").isNull(), "size"), F.when(F.col("epc_rating").isNull(), "epc"))
-    excerpt = strip(F.substring(F.coalesce("description", F.lit("")), 1, 120))
-    return df.withColumns({"missing": missing, "excerpt": excerpt}).filter(F.col("missing") != "")
+    return df.withColumn("missing", missing).filter(F.col("missing") != "")
 
 
 def extraction_miss_report(df: DataFrame) -> DataFrame:

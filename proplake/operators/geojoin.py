@@ -7,41 +7,19 @@ from pyspark.sql import functions as F
 
 from proplake.config import EARTH_RADIUS_M, EARTH_RADIUS_MILES
 from proplake.functions.geo import cell, haversine, neighbour_cells
+from proplake.functions.skew import left_join_spread
 from proplake.session import cut_lineage
 
-MAX_LITERAL_CENTROIDS = 2_000
 RINGS_KM = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 32768.0)
 
 
-def nearest_region(df: DataFrame, centroids: DataFrame, max_literal: int = MAX_LITERAL_CENTROIDS) -> DataFrame:
+def nearest_region(df: DataFrame, centroids: DataFrame, rings_km: tuple[float, ...] = RINGS_KM) -> DataFrame:
     """Add ``region``: name of the nearest centroid (lowest ``ord`` on equal distance), NULL without coordinates.
 
-    Up to ``max_literal`` centroids are folded into the projection as one literal array: no join, no shuffle. The
-    size is checked with a bounded take; larger centroid tables go through the grid-ring join.
-    """
-    rows = centroids.select("name", "lat", "lng", "ord").orderBy("ord").limit(max_literal + 1).collect()
-    if len(rows) > max_literal:
-        return nearest_region_rings(df, centroids)
-    if not rows:
-        return df.withColumn("region", F.lit(None).cast("string"))
-    names = F.array(*[F.lit(r["name"]) for r in rows])
-    points = F.array(*[
-        F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lng"])).alias("lng"), F.lit(i).alias("i"))
-        for i, r in enumerate(rows)
-    ])
-    best = F.array_min(F.transform(points, lambda p: F.struct(
-        F.round(haversine(p["lat"], p["lng"], F.col("latitude"), F.col("longitude"), EARTH_RADIUS_MILES), 9).alias("dist"),
-        p["i"].alias("i"))))
-    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    return df.withColumn("region", F.when(located, F.get(names, best["i"])))
-
-
-def nearest_region_rings(df: DataFrame, centroids: DataFrame, rings_km: tuple[float, ...] = RINGS_KM) -> DataFrame:
-    """Same result by rings of growing cubes, for centroid tables too big for a literal.
-
-    Distinct coordinates are resolved once. In each ring only the points without a centroid inside the previous radius
-    remain, so the cubes they probe hold few centroids; a hit within the ring's edge is provably the nearest. Points still
-    open are written out after each ring, and the loop ends when none are left.
+    Distinct coordinates are resolved once, by rings of growing cubes, for any number of centroids. In each ring only the
+    points without a centroid inside the previous radius remain, so the cubes they probe hold few centroids; a hit within
+    the ring's edge is provably the nearest. Points still open are written out after each ring, and the loop ends when none
+    are left.
     """
     points = df.select("latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
     spots = centroids.select("name", "lat", "lng", "ord")
@@ -50,7 +28,6 @@ def nearest_region_rings(df: DataFrame, centroids: DataFrame, rings_km: tuple[fl
         edge = km * 1000.0
         probe = open_points.withColumn("c", F.explode(neighbour_cells(cell(F.col("latitude"), F.col("longitude"), edge))))
         grid = spots.withColumn("c", cell(F.col("lat"), F.col("lng"), edge))
-        # the reported distance uses miles, like the literal form, so that ties round alike
         hits = probe.join(grid, "c").withColumn(
             "dist", F.round(haversine(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"), EARTH_RADIUS_MILES), 9)
         ).filter(F.col("dist") <= F.lit(edge * EARTH_RADIUS_MILES / EARTH_RADIUS_M))
@@ -59,7 +36,7 @@ def nearest_region_rings(df: DataFrame, centroids: DataFrame, rings_km: tuple[fl
         open_points = cut_lineage(open_points.join(best, ["latitude", "longitude"], "left_anti"))
         if open_points.isEmpty():
             break
-    return df.drop("region").join(solved, ["latitude", "longitude"], "left")
+    return left_join_spread(df.drop("region"), solved, ["latitude", "longitude"])
 
 
 def radius_prune(df: DataFrame, centroids: DataFrame, km: float) -> DataFrame:
@@ -92,4 +69,4 @@ def nearest_station(df: DataFrame, stations: DataFrame, radius_m: float = 1200.0
         F.greatest(F.lit(1), F.bround(F.col("best.metres") / metres_per_minute, 0).cast("int")).alias("tube_distance"),
         zones.try_cast("int").alias("tfl_zone"),
     )
-    return df.drop("nearest_station", "tube_distance", "tfl_zone").join(found, ["latitude", "longitude"], "left")
+    return left_join_spread(df.drop("nearest_station", "tube_distance", "tfl_zone"), found, ["latitude", "longitude"])

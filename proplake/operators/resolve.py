@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from proplake.config import DUPLICATE_RADIUS_M, EARTH_RADIUS_M, OUTCODE_ONLY_PORTALS, PREFERRED_PORTAL, PRICE_BAND
 from proplake.functions.geo import cell, haversine, neighbour_cells
 from proplake.functions.graph import connected_components
+from proplake.functions.ranks import with_position
 from proplake.functions.sequence import micros
 from proplake.functions.skew import join_by_weight
 from proplake.functions.text import normal_postcode
@@ -245,18 +246,8 @@ def cluster_table(clustered: DataFrame, preferred: str = PREFERRED_PORTAL) -> Da
 
 
 def with_cluster_number(clusters: DataFrame) -> DataFrame:
-    """Dense numbers 1, 2, ... in order of cluster_id, from partition offsets of a sorted, written-out table."""
-    spark = clusters.sparkSession
-    ordered = cut_lineage(clusters.orderBy("cluster_id").withColumn("_part", F.spark_partition_id()))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one small row per partition
-    offsets, total = [], 0
-    for row in sorted(sizes, key=lambda r: r["_part"]):
-        offsets.append((row["_part"], total))
-        total += row["n"]
-    table = spark.createDataFrame(offsets, "_part int, _offset long")
-    inside = Window.partitionBy("_part").orderBy("cluster_id")
-    return ordered.join(F.broadcast(table), "_part").withColumn(
-        "cluster_number", F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
+    """Dense numbers 1, 2, ... in order of cluster_id."""
+    return with_position(clusters, [F.asc("cluster_id")], "cluster_number")
 
 
 def matching_cluster(arrivals: DataFrame, clustered: DataFrame) -> DataFrame:

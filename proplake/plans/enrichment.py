@@ -98,9 +98,9 @@ STATION_POINTS = """spots AS (SELECT station AS name, lat, lng, CAST(row_number(
 @query("nearest_region_rings", f"SELECT l.uid, r.region FROM (SELECT latitude, longitude, CASE WHEN latitude IS NOT NULL THEN {NEAREST.replace('texts.', 'p.').replace('centroids c', 'spots c')} END AS region FROM (SELECT DISTINCT latitude, longitude FROM listings) p) r JOIN listings l ON l.latitude IS NOT DISTINCT FROM r.latitude AND l.longitude IS NOT DISTINCT FROM r.longitude",
        "listings", "stations", ctes=STATION_POINTS)
 def nearest_region_rings(t):
-    # the table-size form of nearest_region, against a point table that grows with the data
+    # against a point table that grows with the data
     spots = t.stations.select(F.col("station").alias("name"), "lat", "lng", F.expr("cast(substring(station, 10) as int)").alias("ord"))
-    return G.nearest_region_rings(t.listings, spots).select("uid", "region")
+    return G.nearest_region(t.listings, spots).select("uid", "region")
 
 
 METRES = "2*6371000.0*asin(sqrt(power(sin(radians(l.latitude-s.lat)/2),2)+cos(radians(s.lat))*cos(radians(l.latitude))*power(sin(radians(l.longitude-s.lng)/2),2)))"

@@ -100,12 +100,12 @@ def cluster_assign_incremental(t):
     return done.select("uid", F.when(~F.col("is_new"), F.col("cluster_id")).alias("joined_cluster"), "is_new")
 
 
-STORED = "stored AS (SELECT c_custkey AS cluster_id, CAST(1+c_nationkey AS BIGINT) AS member_count FROM customer WHERE c_acctbal>2000)"
+STORED = "stored AS (SELECT c_custkey AS cluster_id, CASE WHEN c_acctbal>2000 THEN CAST(1+c_nationkey AS BIGINT) END AS member_count FROM customer)"
 
 
 def stored(t):
-    return t.customer.filter("c_acctbal > 2000").select(
-        F.col("c_custkey").alias("cluster_id"), (F.col("c_nationkey") + 1).cast("long").alias("member_count"))
+    return t.customer.select(
+        F.col("c_custkey").alias("cluster_id"), F.when(F.col("c_acctbal") > 2000, F.col("c_nationkey") + 1).cast("long").alias("member_count"))
 
 
 @query("cluster_member_counts", """

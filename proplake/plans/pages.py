@@ -139,7 +139,7 @@ GALLERY = f"list_filter({every(IMG)}, lambda u: contains(u,'property-photo') AND
 
 @query("page_bullets_photos", f"""
 SELECT page_id, coalesce(array_to_string(list_transform({every(P.BULLET, f"regexp_extract(html,'{P.BULLETS}',1)")}, lambda b: replace(replace(b,'\\u0026','&'),chr(92)||'"','"')),'|'),'') AS bullets,
- array_to_string(list_filter(list_transform({NAMES}, lambda n: '{P.PHOTO_BASE}'||n), lambda u: u<>coalesce({CHART},'')),',') AS photos, array_to_string({distinct(GALLERY)}[1:10],',') AS gallery,
+ array_to_string(list_filter(list_transform({NAMES}, lambda n: '{P.PHOTO_BASE}'||n), lambda u: u<>coalesce({CHART},'')),',') AS photos, array_to_string({distinct(GALLERY)},',') AS gallery,
  coalesce(array_to_string(list_filter(list_transform({every('<div class="swiper-slide"><img[^>]*?src="([^"]*)"')}, lambda u: CASE WHEN starts_with(u,'//') THEN 'https:'||u ELSE u END), lambda u: contains(u,'{P.LISTING_IMAGE}')),','),'') AS slides FROM listing_pages""", "listing_pages")
 def page_bullets_photos(t):
     html = F.col("html")
@@ -188,7 +188,7 @@ ABOUT = f"trim(regexp_replace(replace(replace(regexp_replace({x(ABOUT_RE)},'<[^>
 
 @query("page_stations_and_prefs", f"""
 SELECT p.page_id, CASE WHEN p.page_id%3=2 THEN 'Angel~7 min walk,Oval~'||CAST(p.page_id%30 AS STRING)||' mins' ELSE '' END AS stations, CASE WHEN l.value='true' THEN TRUE WHEN l.value='false' THEN FALSE END AS pets_allowed,
- nullif(substr({ABOUT},1,4000),'') AS about, TRY_CAST({x('(?i)(\\d+)[\\-\\s]?bathroom', 1, ABOUT)} AS INT) AS bathrooms FROM listing_pages p LEFT JOIN labels l ON l.page_id=p.page_id AND l.label='Pets Allowed'""", "listing_pages", ctes=GRID)
+ nullif({ABOUT},'') AS about, TRY_CAST({x('(?i)(\\d+)[\\-\\s]?bathroom', 1, ABOUT)} AS INT) AS bathrooms FROM listing_pages p LEFT JOIN labels l ON l.page_id=p.page_id AND l.label='Pets Allowed'""", "listing_pages", ctes=GRID)
 def page_stations_and_prefs(t):
     html = F.col("html")
     pairs = F.transform(P.stations(html), lambda s: F.concat_ws("~", s["station"], s["duration"]))

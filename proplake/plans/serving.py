@@ -26,7 +26,7 @@ def scan_listing_tolerant(t):
 SELECT uid, CASE WHEN images IS NULL OR images='' OR NOT json_valid(images) OR json_type(images)<>'ARRAY' THEN 0
    ELSE len(list_filter(CAST(json_extract_string(images,'$[*]') AS VARCHAR[]), lambda x: x IS NOT NULL AND x<>'')) END AS n_images,
  CASE WHEN score_breakdown IS NULL OR NOT json_valid(score_breakdown) THEN 0 ELSE
-   1 + 1 + 1 END AS n_components,
+   len(list_filter(json_keys(score_breakdown), lambda k: TRY_CAST(json_extract_string(score_breakdown, '$."'||k||'"') AS DOUBLE) IS NOT NULL)) END AS n_components,
  CASE WHEN json_valid(score_breakdown) THEN CAST(round_even(CAST(json_extract_string(score_breakdown,'$.size') AS DOUBLE),0) AS INT) END AS size_component,
  CASE WHEN floorplan_data IS NOT NULL AND floorplan_data<>'' AND json_valid(floorplan_data) AND json_extract_string(floorplan_data,'$.error') IS NULL
    THEN coalesce(json_array_length(floorplan_data,'$.rooms'),-1) END AS n_rooms
@@ -40,16 +40,18 @@ def decode_json_columns(t):
 
 @query("encode_json_columns", """
 SELECT uid, CASE WHEN images IS NULL OR images='' OR NOT json_valid(images) OR json_type(images)<>'ARRAY' THEN '[]'
-  ELSE '["'||array_to_string(list_filter(CAST(json_extract_string(images,'$[*]') AS VARCHAR[]), lambda x: x IS NOT NULL AND x<>''),'","')||'"]' END AS images_json
-FROM listings WHERE images IS NULL OR images<>'[]'""", "listings")
+  ELSE coalesce('["'||nullif(array_to_string(list_filter(CAST(json_extract_string(images,'$[*]') AS VARCHAR[]), lambda x: x IS NOT NULL AND x<>''),'","'),'')||'"]', '[]') END AS images_json,
+ CASE WHEN json_valid(score_breakdown) THEN CAST(json_extract_string(score_breakdown,'$.price') AS INT) END AS price_back FROM listings""", "listings")
 def encode_json_columns(t):
-    decoded = t.listings.filter("images IS NULL OR images<>'[]'").select("uid", J.string_array(F.col("images")).alias("images"))
-    return decoded.select("uid", F.to_json("images").alias("images_json"))
+    """Arrays to text, and a map to text and back."""
+    decoded = t.listings.select("uid", J.string_array(F.col("images")).alias("images"), J.int_map(F.col("score_breakdown")).alias("breakdown"))
+    back = J.int_map(F.to_json("breakdown"))
+    return decoded.select("uid", F.to_json("images").alias("images_json"), F.try_element_at(back, F.lit("price")).alias("price_back"))
 
 
 FILTER_CASES = {
-    "view_filters": ({"tab": "main", "source": "Portal_A", "max_price": "2600", "min_sqft": "450", "beds": "2", "epc": "c"},
-                     f"{MAIN} AND upper(portal)='PORTAL_A' AND (price_numeric IS NULL OR price_numeric<=260000) AND (size_sqft IS NULL OR size_sqft>=450) AND bedrooms=2 AND upper(epc_rating)='C'"),
+    "view_filters": ({"tab": "main", "source": "Portal_A", "max_price": "3400", "min_sqft": "320", "beds": "2", "epc": "c"},
+                     f"{MAIN} AND upper(portal)='PORTAL_A' AND (price_numeric IS NULL OR price_numeric<=340000) AND (size_sqft IS NULL OR size_sqft>=320) AND bedrooms=2 AND upper(epc_rating)='C'"),
     "view_filters_text": ({"region": "highbury, north london", "glazing": "DOUBLE", "min_score": "40", "beds": "two", "max_price": ""},
                           f"{MAIN} AND lower(region)='highbury, north london' AND lower(windows_description) LIKE '%double%' AND score>=40"),
     "view_filters_built_form": ({"tab": "rejected", "built_form": "DETACHED"},
@@ -93,16 +95,19 @@ SORTED = {
     "first_seen_desc": "first_seen DESC NULLS LAST", "transition_desc": "last_transition_at DESC NULLS LAST",
     "transition_asc": "last_transition_at ASC NULLS LAST",
 }
-ARM = "(SELECT '{s}' AS sort, uid FROM listings WHERE is_active ORDER BY {o}, uid LIMIT 15)"
+ARM = "SELECT '{s}' AS sort, uid, row_number() OVER (ORDER BY {o}, uid) AS position FROM listings WHERE is_active"
 
 
 @query("view_sort", " UNION ALL ".join(ARM.format(s=s, o=o) for s, o in SORTED.items()), "listings")
 def view_sort(t):
-    arms = [t.listings.filter("is_active").orderBy(*views.sort_keys(s)).limit(15).select(F.lit(s).alias("sort"), "uid") for s in SORTED]
-    out = arms[0]
-    for arm in arms[1:]:
-        out = out.unionAll(arm)
-    return out
+    """Every active listing with its place under every sort."""
+    from functools import reduce
+
+    from proplake.functions.ranks import with_position
+
+    rows = t.listings.filter("is_active").select("uid", "score", "price_numeric", "size_sqft", "first_seen", "last_transition_at")
+    arms = [with_position(rows, views.sort_keys(s), "position").select(F.lit(s).alias("sort"), "uid", "position") for s in SORTED]
+    return reduce(lambda a, b: a.unionAll(b), arms)
 
 
 @query("view_page", f"""

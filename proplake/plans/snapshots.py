@@ -80,14 +80,15 @@ def upsert_coalesce(t):
     return merge.upsert_coalesce(t.listings, t.incoming, AS_OF).select(*MERGED)
 
 
-TRUTH = """truth AS (SELECT uid, CAST(coalesce(score,0)%3 AS INT) AS bedrooms_seen, CASE WHEN score%4=0 THEN NULL ELSE CAST(score%3 AS INT) END AS bedrooms_with_carpet,
- CASE WHEN score%5=0 THEN NULL ELSE score%2=0 END AS has_living_area_carpet FROM listings WHERE portal<>'portal_c')"""
+TRUTH = """truth AS (SELECT CASE WHEN portal='portal_c' AND score%7=0 THEN uid||'-gone' ELSE uid END AS uid, CAST(coalesce(score,0)%3 AS INT) AS bedrooms_seen, CASE WHEN score%4=0 THEN NULL ELSE CAST(score%3 AS INT) END AS bedrooms_with_carpet,
+ CASE WHEN score%5=0 THEN NULL ELSE score%2=0 END AS has_living_area_carpet FROM listings)"""
 
 
 def truth(t):
     s = F.col("score")
-    return t.listings.filter("portal <> 'portal_c'").select(
-        "uid", (F.coalesce(s, F.lit(0)) % 3).cast("int").alias("bedrooms_seen"),
+    gone = F.coalesce((F.col("portal") == "portal_c") & (s % 7 == 0), F.lit(False))  # labelled, and in no snapshot
+    return t.listings.select(
+        F.when(gone, F.concat("uid", F.lit("-gone"))).otherwise(F.col("uid")).alias("uid"), (F.coalesce(s, F.lit(0)) % 3).cast("int").alias("bedrooms_seen"),
         F.when(s % 4 == 0, None).otherwise((s % 3).cast("int")).alias("bedrooms_with_carpet"),
         F.when(s % 5 == 0, None).otherwise(s % 2 == 0).alias("has_living_area_carpet"))
 
@@ -104,7 +105,8 @@ def apply_label_truth(t):
 
 
 @query("label_truth_counts", """
-SELECT count(*) FILTER (WHERE bedrooms_seen>0) AS updated, count(*) FILTER (WHERE bedrooms_seen=0) AS skipped, 0 AS unknown FROM truth""", "listings", ctes=TRUTH)
+SELECT count(*) FILTER (WHERE bedrooms_seen>0 AND l.uid IS NOT NULL) AS updated, count(*) FILTER (WHERE bedrooms_seen=0) AS skipped,
+ count(*) FILTER (WHERE bedrooms_seen>0 AND l.uid IS NULL) AS unknown FROM truth t LEFT JOIN listings l ON l.uid=t.uid""", "listings", ctes=TRUTH)
 def label_truth_counts(t):
     return merge.label_truth_counts(t.listings, truth(t))
 
@@ -146,15 +148,15 @@ def sink_snapshot(t):
     return sinks.read_snapshot(t.spark, root)
 
 
-@query("sink_events", "SELECT uid, event_id, price_numeric FROM sightings", "sightings")
+@query("sink_events", "SELECT uid, event_id, price_step AS price_numeric FROM sightings", "sightings")
 def sink_events(t):
     """Append the sightings in two batches, replaying the second: a replay must not double its rows."""
     from proplake.plans.scratch import scratch_folder
     from proplake.sources import sinks
 
     root = scratch_folder(t.spark, "events")
-    rows = t.sightings.select("uid", "event_id", "price_numeric")
-    early = F.col("price_numeric") < 10000
+    rows = t.sightings.select("uid", "event_id", F.col("price_step").alias("price_numeric"))
+    early = F.coalesce(F.col("price_numeric") < 200, F.lit(False))  # rows without a price are in the second batch
     sinks.append_events(rows.filter(early), root, batch_id=0)
     for _ in range(2):
         sinks.append_events(rows.filter(~early), root, batch_id=1)

@@ -66,7 +66,7 @@ def stream_deactivate(t):
 
 
 @query("stream_upsert", f"""
-SELECT uid, coalesce(p, start_price) AS price_numeric, scrape_count FROM (SELECT k.uid, k.scrape_count+1 AS scrape_count, CAST(0 AS BIGINT) AS start_price,
+SELECT uid, coalesce(p, start_price) AS price_numeric, scrape_count FROM (SELECT k.uid, CAST(k.scrape_count + CASE WHEN k.uid IN (SELECT uid FROM sightings) THEN 1 ELSE 0 END AS INT) AS scrape_count, CAST(0 AS BIGINT) AS start_price,
  (SELECT arg_max(price_numeric, (ts, event_id)) FROM sightings s WHERE s.uid=k.uid) AS p FROM latest_sightings k)
 UNION ALL SELECT uid, arg_max(price_numeric, (ts, event_id)), 1 FROM sightings WHERE uid NOT IN (SELECT uid FROM latest_sightings) GROUP BY uid""", "sightings", "latest_sightings")
 def stream_upsert(t):

@@ -151,9 +151,10 @@ FROM events"""
 
 @_view("latest_sightings", "events")
 def _latest_sightings(d: Any) -> str:
+    """The store's state. A fifth of the listings stand under another uid, so that some sightings are of unknown ones."""
     return """
 SELECT CAST(user_id AS STRING) AS uid, max(ts) AS last_scraped, CAST(count(*) AS INT) AS scrape_count
-FROM events WHERE event_id%3<>0 GROUP BY user_id"""
+FROM (SELECT CASE WHEN user_id%5=0 THEN user_id+9000000000 ELSE user_id END AS user_id, ts FROM events) e GROUP BY user_id"""
 
 
 @_view("transitions", "events")
@@ -267,11 +268,11 @@ FROM supplier"""
 def _postcode_lookup(d: Any) -> str:
     return f"""
 SELECT 'N'||CAST(1+c%20 AS STRING)||CAST({d.idiv('c', 20)}%10 AS STRING)||substr('ABDEFGHJLN',CAST(1+{d.idiv('c', 200)}%10 AS INT),1)||'B' AS postcode_key,
- min(CASE WHEN c%4=0 THEN NULL ELSE CAST(514500+c%2000 AS DOUBLE)/10000 END) AS lat,
- min(CASE WHEN c%4=0 THEN NULL ELSE CAST(c%700-200 AS DOUBLE)/10000 END) AS lng,
+ min(CASE WHEN c%4=0 OR c%3=1 THEN NULL ELSE CAST(514500+c%2000 AS DOUBLE)/10000 END) AS lat,
+ min(CASE WHEN c%4=0 OR c%3=1 THEN NULL ELSE CAST(c%700-200 AS DOUBLE)/10000 END) AS lng,
  min(CASE WHEN c%8=0 THEN CAST(514000+c%2000 AS DOUBLE)/10000 END) AS hist_lat,
  min(CASE WHEN c%8=0 THEN CAST(c%700-100 AS DOUBLE)/10000 END) AS hist_lng
-FROM (SELECT c_custkey AS c FROM customer WHERE c_custkey%3<>1) t GROUP BY 1"""
+FROM (SELECT c_custkey AS c FROM customer) t GROUP BY 1"""
 
 
 @_view("travel_times", "lineitem")
@@ -336,7 +337,7 @@ def _incoming(d: Any) -> str:
     """A later crawl: some known listings with new values (and NULLs), some listings never seen before."""
     return f"""
 SELECT CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'portal_c' END||':'
-        ||CAST(CASE WHEN o_orderkey%7=0 THEN o_orderkey+9000000000 ELSE o_orderkey END AS STRING) AS uid,
+        ||CAST(CASE WHEN o_orderkey%7=0 OR o_orderkey%4=3 THEN o_orderkey+9000000000 ELSE o_orderkey END AS STRING) AS uid,
  CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'portal_c' END AS portal,
  CASE WHEN o_orderkey%5=0 THEN '' ELSE 'Crawl title '||CAST(o_orderkey AS STRING) END AS title,
  CASE WHEN o_orderkey%6=0 THEN NULL ELSE 'N1, crawl' END AS address,
@@ -348,7 +349,7 @@ SELECT CASE o_orderkey%3 WHEN 0 THEN 'portal_a' WHEN 1 THEN 'portal_b' ELSE 'por
  CASE WHEN o_orderkey%11=0 THEN NULL ELSE CAST(o_custkey%101 AS INT) END AS score,
  CASE WHEN o_orderkey%13=0 THEN '' ELSE '["https://i.test/new.jpg"]' END AS images,
  CASE WHEN o_orderkey%12=0 THEN NULL ELSE CAST(o_custkey%5 AS INT) END AS tfl_zone
-FROM orders WHERE o_orderkey%4<>3"""
+FROM orders"""
 
 
 @_view("discoveries", "lineitem")
