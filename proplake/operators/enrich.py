@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 
 from proplake.config import CARPET_ROOMS, LIVING_ROOMS, MATCH_THRESHOLD, RATING_ORDER, SAP_BUCKETS, SIZE_TRUST, SQM_TO_SQFT, TAG_AXES
 from proplake.functions.fuzzy import token_set_ratio
-from proplake.functions.jsoncols import FLOORPLAN  # noqa: F401  (re-exported for callers that parse floorplans)
 from proplake.functions.skew import left_join_spread
 from proplake.functions.text import extract, strip
 
-CERT_TEXT = (
-    "built_form property_type_epc construction_age_band tenure_epc windows_description windows_energy_eff "
-    "walls_description walls_energy_eff roof_description floor_level mains_gas_flag lodgement_date inspection_date"
-).split()
-
 
 # --- certificates -----------------------------------------------------------------------------------------
 def joined_address(*parts: Column) -> Column:
@@ -30,11 +24,19 @@ def unit_gate(address: Column, line1: Column, line2: Column) -> Column:
 
     Tokens are words of the lower-cased, punctuation-free lines; ``22a`` also stands for ``22``.
     """
-    lead = extract(address, r"^\s*(\d+)")
+    lead = leading_number(address)
+    return lead.isNull() | F.array_contains(number_tokens(line1, line2), lead)
+
+
+def leading_number(address: Column) -> Column:
+    return extract(address, r"^\s*(\d+)")
+
+
+def number_tokens(line1: Column, line2: Column) -> Column:
+    """The distinct numbers among the words of both lines, those before a letter included."""
     words = F.lower(F.concat_ws(" ", F.coalesce(line1, F.lit("")), F.coalesce(line2, F.lit(""))))
     tokens = F.split(F.regexp_replace(words, r"(?U)[^\w\s]+", " "), r"\s+")
-    bare = F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d+[a-z]+$")), lambda t: F.regexp_extract(t, r"^(\d+)", 1))
-    return lead.isNull() | F.array_contains(F.concat(tokens, bare), lead)
+    return F.array_distinct(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d+[a-z]*$")), lambda t: F.regexp_extract(t, r"^(\d+)", 1)))
 
 
 def cert_fields(certs: DataFrame) -> DataFrame:
@@ -51,13 +53,19 @@ def cert_fields(certs: DataFrame) -> DataFrame:
 def cert_candidates(listings: DataFrame, certs: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(listing address, certificate) pairs of one postcode whose similarity reaches the threshold and pass the unit gate.
 
-    Listings collapse to distinct (postcode, address) first: a block of many adverts for one building is scored once. The
-    gate runs before the similarity, so only gated pairs are sent to Python. Any number of certificates may share a postcode.
+    Listings collapse to distinct (postcode, address); certificates to the latest of each (postcode, address lines), since
+    all of one address score alike. The gate is an equality, so an address with a leading number meets only certificates
+    that name this number; only addresses without one meet all of their postcode. Empty addresses score 0 and stay out.
     """
-    asks = listings.select(F.upper(strip(F.col("postcode"))).alias("pc"), F.coalesce("address", F.lit("")).alias("address")).filter(
-        "pc IS NOT NULL AND pc != ''").distinct()
-    cards = certs.select(F.upper(strip(F.col("postcode"))).alias("pc"), F.struct("*").alias("cert"))
-    pairs = asks.join(cards, "pc").filter(unit_gate(F.col("address"), F.col("cert.address1"), F.col("cert.address2")))
+    pc = F.upper(strip(F.col("postcode")))
+    asks = listings.select(pc.alias("pc"), "address").filter("pc IS NOT NULL AND pc != '' AND address IS NOT NULL AND address != ''").distinct()
+    asks = asks.withColumn("lead", leading_number(F.col("address")))
+    order = F.struct(F.coalesce("lodgement_date", F.lit("")).alias("lodged"), F.col("cert_id").alias("id"))
+    cards = certs.filter(pc.isNotNull()).groupBy(pc.alias("pc"), "address1", "address2", "address3").agg(F.max_by(F.struct(*certs.columns), order).alias("cert"))
+    numbered = cards.withColumn("lead", F.explode(number_tokens(F.col("address1"), F.col("address2"))))
+    columns = ["pc", "address", "cert"]
+    pairs = asks.filter("lead IS NOT NULL").join(numbered, ["pc", "lead"]).select(*columns).unionByName(
+        asks.filter("lead IS NULL").join(cards, "pc").select(*columns))
     line = joined_address(F.col("cert.address1"), F.col("cert.address2"), F.col("cert.address3"))
     return pairs.withColumn("match_score", token_set_ratio("address", line)).filter(F.col("match_score") >= threshold)
 
@@ -185,7 +193,7 @@ def postcode_to_coords(df: DataFrame, lookup: DataFrame) -> DataFrame:
     place = lookup.select("postcode_key", F.coalesce("lat", "hist_lat").alias("pc_lat"), F.coalesce("lng", "hist_lng").alias("pc_lng"),
                           (F.col("lat").isNull() & F.col("hist_lat").isNotNull()).alias("terminated"))
     key = F.upper(F.regexp_replace(F.col("postcode"), r"\s+", ""))
-    return df.withColumn("postcode_key", key).join(place, "postcode_key", "left").drop("postcode_key")
+    return left_join_spread(df.withColumn("postcode_key", key), place, ["postcode_key"]).drop("postcode_key")
 
 
 def commute_minutes(times: DataFrame, destinations: list[str]) -> DataFrame:

@@ -160,7 +160,8 @@ def portal_statistics(df: DataFrame, as_of: str) -> DataFrame:
         F.count("*").alias("total"), F.count("price_numeric").alias("with_price"),
         F.round(F.avg("price_numeric"), 4).alias("avg_price"), F.min("price_numeric").alias("min_price"),
         F.max("price_numeric").alias("max_price"), F.count_if(F.col("last_scraped") >= day_ago).alias("recent"),
-    ).withColumn("portal", F.coalesce("portal", F.lit("ALL")))
+            F.grouping("portal").alias("_all"),
+    ).withColumn("portal", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("portal"))).drop("_all")
 
 
 def search_properties(df: DataFrame, portal: str | None = None, min_price: int | None = None, max_price: int | None = None,
@@ -221,5 +222,7 @@ def listing_detail(df: DataFrame, uid: str, history: DataFrame, clusters: DataFr
     out = one.join(log, "uid", "left")
     if clusters is not None:
         own = clusters.filter(F.col("uid") == uid).select("uid", "cluster_id")
-        out = out.join(own, "uid", "left")
+        others = clusters.join(own.select("cluster_id"), "cluster_id", "left_semi").filter(F.col("uid") != uid)
+        facts = others.groupBy("cluster_id").agg(F.array_sort(F.collect_set("uid")).alias("cluster_others"))  # adverts of one flat
+        out = out.drop("cluster_id").join(own, "uid", "left").join(facts, "cluster_id", "left")
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proplake.functions.text import normal_postcode
 from proplake.operators import resolve as R
 from proplake.plans.registry import query
+from proplake.session import cut_lineage
 
 PC = r"CASE WHEN regexp_matches(replace(upper(trim(postcode)),' ',''),'^[A-Z]{1,2}[0-9][A-Z0-9]?[0-9][A-Z]{2}$') THEN regexp_replace(replace(upper(trim(postcode)),' ',''),'^(.*)(...)$','\1 \2') END"
 METRES = "2*6371000.0*asin(least(1.0,sqrt(power(sin(radians(b.latitude-a.latitude)/2),2)+cos(radians(a.latitude))*cos(radians(b.latitude))*power(sin(radians(b.longitude-a.longitude)/2),2))))"
@@ -27,7 +28,7 @@ clustered AS (SELECT l.* EXCLUDE (cluster_id), c.cluster_id FROM listings l JOIN
 
 def clustered(t):
     listings = t.listings.drop("cluster_id")
-    return listings.join(R.dup_clusters(listings), "uid")
+    return cut_lineage(listings.join(R.dup_clusters(listings), "uid"))  # read several times by what follows
 
 
 @query("postcode_norm", f"SELECT uid, {PC} AS postcode_norm FROM listings", "listings")
@@ -130,7 +131,7 @@ SELECT tp, fp, fn, tn, coalesce(tp/nullif(tp+fp,0),0.0) AS precision, coalesce(t
   count(*) FILTER (WHERE a.cluster_id<>b.cluster_id AND label='duplicate') AS fn, count(*) FILTER (WHERE a.cluster_id<>b.cluster_id AND label<>'duplicate') AS tn
  FROM labelled_pairs p JOIN clusters a ON a.uid=p.uid_a JOIN clusters b ON b.uid=p.uid_b)""", "listings", "labelled_pairs", ctes=CLOSURE, recursive=True)
 def pair_precision_recall(t):
-    return R.pair_precision_recall(t.labelled_pairs, R.dup_clusters(t.listings.drop("cluster_id")))
+    return R.pair_precision_recall(t.labelled_pairs, cut_lineage(R.dup_clusters(t.listings.drop("cluster_id"))))
 
 
 @query("cluster_numbers", "SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS cluster_number FROM (SELECT DISTINCT cluster_id FROM clusters)",

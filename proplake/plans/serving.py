@@ -14,11 +14,16 @@ MAIN = "is_active AND (current_status IS NULL OR current_status='new')"
 
 
 @query("scan_listing_tolerant", """
-SELECT uid, portal, price_numeric, epc_rating, tag_view, CAST(NULL AS STRING) AS roof_description, CAST(NULL AS INT) AS heating_cost_current
+SELECT uid, portal, price_numeric, epc_rating, CASE WHEN CAST(property_id AS BIGINT)%2=0 THEN tag_view END AS tag_view, CAST(NULL AS STRING) AS roof_description, CAST(NULL AS INT) AS heating_cost_current
 FROM listings""", "listings")
 def scan_listing_tolerant(t):
-    old_snapshot = t.listings.drop("commute_primary", "tags_extracted_at")
-    return readers.scan_tolerant(old_snapshot).select(
+    """Two versions on disk, the older one without some columns, scanned as one table."""
+    from proplake.plans.scratch import scratch_folder
+
+    root, recent = scratch_folder(t.spark, "versions"), F.col("property_id").cast("long") % 2 == 0
+    t.listings.filter(~recent).drop("commute_primary", "tags_extracted_at", "tag_view").write.parquet(f"{root}/version=1")
+    t.listings.filter(recent).write.parquet(f"{root}/version=2")
+    return readers.read_listings(t.spark, root).select(
         "uid", "portal", "price_numeric", "epc_rating", "tag_view", "roof_description", "heating_cost_current")
 
 
@@ -189,9 +194,13 @@ def floorplan_backfill_candidates(t):
 @query("export_top1000_json", f"""
 SELECT uid, score FROM listings WHERE {MAIN} AND tag_natural_light='high' ORDER BY score DESC NULLS LAST, uid LIMIT 1000""", "listings")
 def export_top1000_json(t):
-    from proplake.sources.sinks import top_listings
+    """The export as written, read back."""
+    from proplake.plans.scratch import scratch_folder
+    from proplake.sources.sinks import export_top_json
 
-    return top_listings(t.listings, {"tag_natural_light": "high"}, AS_OF).select("uid", "score")
+    path = scratch_folder(t.spark, "export")
+    export_top_json(t.listings, {"tag_natural_light": "high"}, AS_OF, path)
+    return t.spark.read.schema("uid string, score int").json(path)
 
 
 @query("backfill_counts", r"""

@@ -14,8 +14,22 @@ from proplake.sources.adapters import pick
 from proplake.streaming import streams as S
 
 
+SLICES = 4  # micro-batches a stream arrives in
+FILES = 4  # files of each
+
+
 def events(t) -> DataFrame:
-    """The event table as a stream."""
+    """The event table as a stream of several micro-batches, a slice of time each."""
+    root = scratch_folder(t.spark, "arrivals")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.events.agg(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts")).first()["cuts"] or []
+    part = sum(((at > cut).cast("int") for cut in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        t.events.filter(part == k).repartition(FILES).write.mode("append").parquet(root)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES).parquet(root)
+
+
+def events_at_once(t) -> DataFrame:
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
@@ -77,7 +91,7 @@ def stream_upsert(t):
     start = t.latest_sightings.select("uid", F.col("last_scraped").cast("timestamp").alias("last_scraped"), "scrape_count", F.lit(0).cast("long").alias("price_numeric"),
                                       F.col("last_scraped").cast("timestamp").alias("first_seen"), F.lit(True).alias("is_active"), F.lit("active").alias("status"))
     sinks.write_snapshot(start, root, version="start")
-    arriving = events(t).select(F.col("user_id").cast("string").alias("uid"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+    arriving = events_at_once(t).select(F.col("user_id").cast("string").alias("uid"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
                                 F.floor(F.col("value") * 100).cast("long").alias("price_numeric"))
     arriving.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(
         S.upsert_batches(root, SEEN_AS_OF, ["ts", "event_id"])).trigger(availableNow=True).start().awaitTermination()

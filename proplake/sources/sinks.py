@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from typing import Any
 
@@ -12,7 +13,8 @@ from proplake.operators import views
 
 
 def write_snapshot(df: DataFrame, root: str, version: int | str | None = None, sort_by: str = "score") -> str:
-    """Write a complete new version beside the old ones, then move the pointer. Readers never see half a version.
+    """Write a complete new version beside the old ones, then add a pointer to it. Pointers are only ever added, so a reader
+    finds the last complete version at any time, also when a writer is lost in between.
 
     Partitioned by activity and sorted by score inside files, so the common scans skip most row groups.
     """
@@ -21,13 +23,13 @@ def write_snapshot(df: DataFrame, root: str, version: int | str | None = None, s
     out = df.sortWithinPartitions(F.desc_nulls_last(sort_by)) if sort_by in df.columns else df
     writer = out.write.mode("overwrite")
     (writer.partitionBy("is_active") if "is_active" in df.columns else writer).parquet(path)
-    pointer = df.sparkSession.createDataFrame([(name,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_current")
+    pointer = df.sparkSession.range(1).select(F.lit(name).alias("version"), F.lit(time.time_ns()).alias("written"))
+    pointer.write.mode("append").parquet(f"{root.rstrip('/')}/_current")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.parquet(f"{root.rstrip('/')}/_current").first()["version"]
+    name = spark.read.parquet(f"{root.rstrip('/')}/_current").agg(F.max_by("version", "written").alias("version")).first()["version"]
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
     # a partition folder's name carries no boolean type
     return df.withColumn("is_active", F.col("is_active").cast("boolean")) if "is_active" in df.columns else df
