@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proplake.config import TAG_AXES
+from proplake.config import MATCH_THRESHOLD, TAG_AXES
 from proplake.functions import jsoncols as J
 from proplake.operators import enrich as E
 from proplake.operators import geojoin as G
@@ -12,7 +12,30 @@ from proplake.plans.features import NEAREST
 from proplake.plans.registry import query
 
 
-@query("cert_fuzzy_match")
+NUMBERS = r"list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(lower(coalesce(address1,'')||' '||coalesce(address2,'')),'[^\w\s]+',' ','g')),'\s+'), lambda x: regexp_full_match(x,'\d+[a-z]*')), lambda x: regexp_extract(x,'^(\d+)',1))"
+#: Similarity in SQL: token sets, and the longest common subsequence of what is left, one character of ``b`` per step.
+CERT_MATCH = r"""
+asks AS (SELECT DISTINCT upper(trim(postcode)) AS pc, address, regexp_extract(address,'^\s*(\d+)',1) AS lead FROM listings WHERE coalesce(trim(postcode),'')<>'' AND coalesce(address,'')<>''),
+cards AS (SELECT upper(trim(postcode)) AS pc, cert_id, rating, coalesce(lodgement_date,'') AS lodged, NUMS AS nums,
+ array_to_string(list_filter([trim(address1), trim(address2), trim(address3)], lambda x: coalesce(x,'')<>''),', ') AS line FROM certificates),
+met AS (SELECT a.pc, a.address, c.line, c.cert_id, c.rating, c.lodged FROM asks a JOIN cards c ON c.pc=a.pc AND (a.lead='' OR list_contains(c.nums, a.lead))),
+token_sets AS (SELECT address, line, list_distinct(list_filter(regexp_split_to_array(trim(address),'\s+'), lambda x: x<>'')) AS ta, list_distinct(list_filter(regexp_split_to_array(trim(line),'\s+'), lambda x: x<>'')) AS tb FROM (SELECT DISTINCT address, line FROM met)),
+parts AS (SELECT address, line, len(ta)*len(tb) AS some_, array_to_string(list_sort(list_filter(ta, lambda x: list_contains(tb,x))),' ') AS shared_text,
+ array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb,x))),' ') AS a, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta,x))),' ') AS b FROM token_sets),
+walks AS (SELECT DISTINCT a, b, 0 AS i, list_transform(range(0,length(a)+1), lambda x: CAST(0 AS BIGINT)) AS r FROM parts
+ UNION ALL SELECT a, b, i+1, list_transform(range(1,length(a)+2), lambda k: list_max(list_transform(range(1,k+1), lambda j: greatest(r[j], CASE WHEN j>1 AND substr(a,j-1,1)=substr(b,i+1,1) THEN r[j-1]+1 ELSE 0 END)))) FROM walks WHERE i<length(b)),
+commons AS (SELECT a, b, r[length(a)+1] AS lcs FROM walks WHERE i=length(b)),
+sized AS (SELECT p.*, c.lcs, length(shared_text) AS base, CASE WHEN shared_text<>'' THEN 1 ELSE 0 END AS gap FROM parts p JOIN commons c ON c.a=p.a AND c.b=p.b),
+scored AS (SELECT address, line, CASE WHEN some_=0 THEN 0.0 WHEN shared_text<>'' AND (a='' OR b='') THEN 100.0 ELSE greatest(100.0-100.0*(length(a)+length(b)-2*lcs)/(2*(base+gap)+length(a)+length(b)),
+  CASE WHEN shared_text<>'' THEN 100.0-100.0*(gap+length(a))/(2*base+gap+length(a)) ELSE 0 END, CASE WHEN shared_text<>'' THEN 100.0-100.0*(gap+length(b))/(2*base+gap+length(b)) ELSE 0 END) END AS match_score FROM sized),
+best AS (SELECT m.pc, m.address, arg_max(struct_pack(cert_id:=m.cert_id, rating:=m.rating, match_score:=s.match_score), (s.match_score, m.lodged, m.cert_id)) AS m FROM met m JOIN scored s ON s.address=m.address AND s.line=m.line
+ WHERE s.match_score>=THRESH GROUP BY m.pc, m.address)"""
+
+
+@query("cert_fuzzy_match", """
+SELECT l.uid, b.m.cert_id AS cert_id, b.m.rating AS rating, round(b.m.match_score,4) AS match_score FROM listings l
+LEFT JOIN best b ON b.pc=upper(trim(l.postcode)) AND b.address=l.address""", "listings", "certificates",
+       ctes=CERT_MATCH.replace("NUMS", NUMBERS).replace("THRESH", str(MATCH_THRESHOLD)), recursive=True)
 def cert_fuzzy_match(t):
     return E.cert_fuzzy_match(t.listings, t.certificates).select(
         "uid", F.col("match.cert.cert_id").alias("cert_id"), F.col("match.cert.rating").alias("rating"),
