@@ -96,3 +96,20 @@ def stream_upsert(t):
     arriving.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(
         S.upsert_batches(root, SEEN_AS_OF, ["ts", "event_id"])).trigger(availableNow=True).start().awaitTermination()
     return sinks.read_snapshot(t.spark, root).select("uid", "price_numeric", "scrape_count")
+
+
+@query("stream_cluster_assign")
+def stream_cluster_assign(t):
+    """Later adverts arrive in batches and join the clusters of the snapshot, or those that an earlier batch has made."""
+    from proplake.plans.matching import clustered
+    from proplake.sources import sinks
+
+    root = scratch_folder(t.spark, "clusters")
+    columns = t.arrivals.columns
+    sinks.append_events(clustered(t).select(*columns, "cluster_id", F.lit(False).alias("is_new")), f"{root}/members", -1)
+    for k in range(SLICES):
+        t.arrivals.filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k).repartition(FILES).write.mode("append").parquet(f"{root}/arrivals")
+    arriving = t.spark.readStream.schema(t.arrivals.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/arrivals")
+    arriving.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(
+        S.cluster_batches(root)).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/members").filter("batch_id >= 0").select("uid", "cluster_id", "is_new")

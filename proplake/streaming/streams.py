@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from proplake.config import LEGAL_TRANSITIONS, STATES
 from proplake.operators import merge, resolve
+from proplake.session import cut_lineage
 from proplake.sources import sinks
 
 
@@ -101,10 +102,25 @@ def upsert_batches(root: str, as_of: str, order: list[str]) -> Callable[[DataFra
     return write
 
 
-def cluster_batches(clustered: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: assign each arrival to the smallest matching cluster or a new one."""
+def cluster_batches(root: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: assign each arrival to the smallest matching cluster, of the start or of an earlier batch, or a new one.
+
+    ``root``/members holds clustered listings by batch (the start under batch -1), ``root``/clusters the refreshed facts of the
+    clusters a batch touched. A batch reads earlier batches only and owns its folders, so a replay writes the same again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        sinks.append_events(resolve.cluster_assign_incremental(batch, clustered), path, batch_id)
+        members = batch.sparkSession.read.parquet(f"{root}/members")
+        known = members.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        arrivals = cut_lineage(batch)
+        done = resolve.cluster_assign_incremental(arrivals, known.select(*arrivals.columns, "cluster_id"))
+        sinks.append_events(arrivals.join(done, "uid").select(*arrivals.columns, "cluster_id", "is_new"), f"{root}/members", batch_id)
+        new = batch.sparkSession.read.parquet(f"{root}/members/batch_id={batch_id}")
+        touched = new.select("cluster_id").distinct()
+        rows = known.unionByName(new, allowMissingColumns=True).join(touched, "cluster_id", "left_semi")
+        facts = rows.groupBy("cluster_id").agg(
+            F.count("*").alias("member_count"), F.min("price_numeric").alias("price_min"), F.max("price_numeric").alias("price_max"),
+            F.min("first_seen").alias("first_seen"), F.max("last_scraped").alias("last_seen"))
+        sinks.append_events(facts, f"{root}/clusters", batch_id)
 
     return write
 

@@ -239,3 +239,32 @@ def test_search_profiles():
     search["profiles"][0]["locations"][0]["region_id"] = "TODO"
     with pytest.raises(ValueError):
         C.search_profiles(search)
+
+
+def test_clusters_of_an_earlier_batch_are_joined(spark):
+    """One flat advertised in two batches is one cluster, and a replayed batch changes nothing."""
+    from proplake.plans.scratch import scratch_folder
+    from proplake.sources import sinks
+    from proplake.streaming import streams
+
+    schema = LISTING + ", first_seen timestamp, last_scraped timestamp"
+    day = datetime(2026, 1, 1)
+    advert = lambda uid, price, postcode: (uid, "portal_a", postcode, 2, price, None, None, day, day)
+    start = spark.createDataFrame([advert("old", 200_000, "N1 1AB")], schema)
+    root = scratch_folder(spark, "clusters")
+    sinks.append_events(start.withColumns({"cluster_id": F.lit("old"), "is_new": F.lit(False)}), f"{root}/members", -1)
+    write = streams.cluster_batches(root)
+    batches = [[advert("b1", 300_000, "N2 2AB"), advert("a1", 201_000, "N1 1AB")], [advert("c1", 301_000, "N2 2AB"), advert("d1", 900_000, "N3 3AB")]]
+
+    def state():
+        members = {r["uid"]: (r["cluster_id"], r["is_new"]) for r in spark.read.parquet(f"{root}/members").collect()}
+        facts = {(r["batch_id"], r["cluster_id"]): r["member_count"] for r in spark.read.parquet(f"{root}/clusters").collect()}
+        return members, facts
+
+    for k, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), k)
+    members, facts = state()
+    assert members == {"old": ("old", False), "a1": ("old", False), "b1": ("b1", True), "c1": ("b1", False), "d1": ("d1", True)}
+    assert facts == {(0, "old"): 2, (0, "b1"): 1, (1, "b1"): 2, (1, "d1"): 1}
+    write(spark.createDataFrame(batches[1], schema), 1)
+    assert state() == (members, facts)
