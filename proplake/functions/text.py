@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from proplake.config import PROPERTY_TYPE_RULES, SQM_TO_SQFT_DISPLAY
 from proplake.functions.patterns import DISPLAY_SQFT, DISPLAY_SQM, insensitive
 
+# --- fixed values: postcode pattern ---------------------------------------------------------------------
 POSTCODE = r"\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b"
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:

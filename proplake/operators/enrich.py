@@ -163,10 +163,12 @@ def size_credibility(size: Column, total: Column, tolerance: float = 0.10) -> Co
     return F.when(~usable, "missing").when(gap <= tolerance, "trusted").otherwise("conflict")
 
 
+# --- fixed values: words that tell a room's kind --------------------------------------------------------
 ROOM_RULES = [
     ("bedroom", ["bedroom", "master"]), ("bathroom", ["bathroom", "shower", "wc", "toilet"]),
     ("reception", ["reception", "living", "lounge", "dining"]), ("kitchen", ["kitchen"]),
 ]
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def room_category(name: Column) -> Column:

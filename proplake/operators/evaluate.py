@@ -176,10 +176,20 @@ def flip_matrix(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.groupBy(flip_class(F.col(old), F.col(new)).alias("flip")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "flip")
 
 
-REQUIRED = ("uid portal property_id url title price_numeric bedrooms area latitude longitude first_seen last_scraped is_active").split()
-OPTIONAL = "address postcode bathrooms furnished garden bills_included let_available_date images".split()
-ENRICHMENT = ("tube_distance cycle_minutes epc_rating tfl_zone nearest_station commute_primary commute_secondary commute_pass_40min "
-              "score region cluster_id carpet_in_bedroom carpet_other_areas is_let_agreed").split()
+# --- fixed values: fields whose coverage is reported ----------------------------------------------------
+REQUIRED = [
+    "uid", "portal", "property_id", "url", "title", "price_numeric", "bedrooms", "area", "latitude",
+    "longitude", "first_seen", "last_scraped", "is_active",
+]
+OPTIONAL = [
+    "address", "postcode", "bathrooms", "furnished", "garden", "bills_included", "let_available_date", "images",
+]
+ENRICHMENT = [
+    "tube_distance", "cycle_minutes", "epc_rating", "tfl_zone", "nearest_station", "commute_primary",
+    "commute_secondary", "commute_pass_40min", "score", "region", "cluster_id", "carpet_in_bedroom",
+    "carpet_other_areas", "is_let_agreed",
+]
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def field_coverage(df: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:

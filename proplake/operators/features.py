@@ -101,6 +101,7 @@ def rating_letter(description: Column, features: Column) -> Column:
     return F.upper(first_match(_sources(features, description), ("epc", "energy"), P.RATING))
 
 
+# --- fixed values: month names and date shapes ----------------------------------------------------------
 MONTH_NUMBERS = {
     name: i for i, names in enumerate(
         ("january jan", "february feb", "march mar", "april apr", "may", "june jun", "july jul", "august aug",
@@ -120,6 +121,7 @@ NAMED_SHAPES = [
     (rf"^({MONTHS_RE})\s+(\d{{4}})$", 2, 1, None),
 ]
 YEARLESS = rf"^(\d{{1,2}})\s+({MONTHS_RE})$"
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:

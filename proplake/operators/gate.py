@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from proplake.config import DEFAULTS, RATING_ORDER, REJECT_STATES
 from proplake.functions.sequence import bucketed_fold, with_previous
 
+# --- fixed values: title patterns -----------------------------------------------------------------------
 LET_AGREED_TITLE = r"(?i)\blet\s*agreed\b|\bunder\s*offer\b|\blet\s*by\b|\bnow\s*let\b|\btenanted\b"
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def price_pcm(pence: Column) -> Column:

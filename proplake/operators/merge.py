@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from proplake.config import REJECT_STATES
 from proplake.functions.sequence import with_previous
 
-UPSERT_COLUMNS = (
-    "price price_numeric score score_breakdown size_sqft carpet_detected carpet_confidence carpet_in_bedroom "
-    "carpet_other_areas epc_rating tube_distance cycle_minutes commute_primary commute_secondary commute_pass_40min "
-    "tfl_zone nearest_station garden balcony furnished bills_included council_tax_band let_available_date latitude "
-    "longitude region images property_metadata total_floor_area_sqm current_energy_efficiency "
-    "potential_energy_efficiency number_habitable_rooms number_heated_rooms built_form property_type_epc "
-    "construction_age_band tenure_epc windows_description windows_energy_eff walls_description walls_energy_eff "
-    "roof_description floor_level mains_gas_flag heating_cost_current epc_lodgement_date epc_inspection_date "
-    "size_sqft_source size_sqft_confidence floorplan_data epc_graph_url epc_rating_source epc_rating_confidence"
-).split()
-SCRAPED_COLUMNS = (
-    "title address area price price_numeric bedrooms bathrooms furnished let_available_date epc_rating images"
-).split()
+# --- fixed values: columns a merge writes ---------------------------------------------------------------
+UPSERT_COLUMNS = [
+    "price", "price_numeric", "score", "score_breakdown", "size_sqft", "carpet_detected", "carpet_confidence",
+    "carpet_in_bedroom", "carpet_other_areas", "epc_rating", "tube_distance", "cycle_minutes",
+    "commute_primary", "commute_secondary", "commute_pass_40min", "tfl_zone", "nearest_station", "garden",
+    "balcony", "furnished", "bills_included", "council_tax_band", "let_available_date", "latitude", "longitude",
+    "region", "images", "property_metadata", "total_floor_area_sqm", "current_energy_efficiency",
+    "potential_energy_efficiency", "number_habitable_rooms", "number_heated_rooms", "built_form",
+    "property_type_epc", "construction_age_band", "tenure_epc", "windows_description", "windows_energy_eff",
+    "walls_description", "walls_energy_eff", "roof_description", "floor_level", "mains_gas_flag",
+    "heating_cost_current", "epc_lodgement_date", "epc_inspection_date", "size_sqft_source",
+    "size_sqft_confidence", "floorplan_data", "epc_graph_url", "epc_rating_source", "epc_rating_confidence",
+]
+SCRAPED_COLUMNS = [
+    "title", "address", "area", "price", "price_numeric", "bedrooms", "bathrooms", "furnished",
+    "let_available_date", "epc_rating", "images",
+]
 FLAG_COLUMNS = ["garden", "bills_included"]
+# --- end of fixed values --------------------------------------------------------------------------------
 
 
 def _now(as_of: str) -> Column:
