@@ -58,7 +58,9 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(owner[1:] == owner[:-1])
     again = words[first] == words[first + 1]
     place = np.arange(len(first))
-    times = place - np.maximum.accumulate(np.where(again, -1, place))  # 1, 2, ... inside a run of one word
+    begins = np.concatenate(([True], np.diff(owner[first]) != 0)) if len(first) else again  # of a text
+    before = np.where(again, np.where(begins, place - 1, -1), place)
+    times = place - np.maximum.accumulate(before)  # 1, 2, ... inside a run of one word
     pairs = follow(words, 2)[first] if len(words) > 1 else words[:0]
     pairs = np.where(again, mix(np.uint64(AGAIN) + np.log2(np.maximum(times, 1)).astype(np.uint64)), pairs)
     both = np.concatenate((owner << BITS + 1 | unigrams, owner[first] << BITS + 1 | 1 << BITS | (pairs >> shift).astype(np.int64)))

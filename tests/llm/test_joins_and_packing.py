@@ -253,3 +253,10 @@ def test_resampling_of_awkward_tables(edge, nothing, spark):
     assert resampling.resampling_digest(nothing, labels).count() == 0
     unlabelled = resampling.resampling_digest(edge, labels.limit(0))
     assert unlabelled.filter("kept").count() == edge.count() and unlabelled.filter("log_weight <> 0").count() == 0
+
+
+def test_runs_of_a_word_end_with_the_text():
+    texts = [b"a x x", b"x x x b", b"", b"x", b"x x"]
+    owner, bucket = resampling.buckets(texts)
+    for k, text in enumerate(texts):
+        assert bucket[owner == k].tolist() == resampling.buckets([text])[1].tolist()
