@@ -88,14 +88,15 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not met lately. A comma or full stop after a letter, and a line end before a word, are pre-tokens of
-        their own, so such words are put together from known parts."""
+        their own, so such words are put together from known parts. A line end before other white space may be of one pre-token
+        with it: such words are encoded whole."""
         found, stems, wanted = {}, {}, set()
         for w in words:
             known = self.words.find(w)
             if known is not None:
                 found[w] = known
             elif w[:1] == "\n":
-                found[w] = self.signs["\n"] + self._head(w[1:])
+                found[w] = self.whole(w) if w[1:2].isspace() else self.signs["\n"] + self._head(w[1:])
             elif not w or w[-1].isspace():
                 found[w] = self.whole(" " + w)
             elif w[-1] in ",." and w[-2:-1].isalpha():

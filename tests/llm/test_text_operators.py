@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from proplake.llm import bpe, parsing, secrets, sharding, tokenfiles
-from proplake.llm.words import vocabulary_path
+from proplake.llm.words import WordEncoder, vocabulary_path
 from proplake.plans.scratch import scratch_folder
 
 
@@ -150,6 +150,15 @@ def test_chunks_agree_with_whole_texts(tokenizer):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_white_space_after_a_line_end(tokenizer):
+    draw = np.random.default_rng(6)
+    bits = ["a", "b", " ", "\n", "\n", "\u00a0", "\u00a0", "\t", "\r", "\u3000", "\x85", "\x1c", "'s", "<|endoftext|>", "word, ", " the"]
+    texts = ["a\n\u00a0\u00a0x", "a\n\u00a0", "a\n\u00a0\tx", "a\n\u00a0<|endoftext|>", "a\n\t\u00a0x"] + ["".join(draw.choice(bits, draw.integers(0, 900 if i < 40 else 12))) for i in range(4_000)]
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for encoder in (WordEncoder(), bpe.ChunkEncoder(most_chunks=50)):
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == want
+
+
 # token files
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
