@@ -4,7 +4,7 @@
 2. MinHash near-dedup: of each group of near-duplicates the smallest doc_id stays;
 3. suffix-array dedup: passages that start earlier in the corpus are cut from the texts;
 4. secret scan: every reported span is replaced by its kind;
-5. best-fit packing: documents are placed in bins without two of one source or two equal texts.
+5. best-fit packing: documents are placed in bins without two of one source or two near-duplicates.
 """
 
 from __future__ import annotations

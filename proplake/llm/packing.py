@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proplake.llm import neardup
+
 CAPACITY = 16_384
 GROUP = 4_096  # pieces that are packed together
 BIN_BITS = 32
@@ -84,9 +86,18 @@ def pack(df: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFra
     return dealt.groupBy("pack").applyInPandas(_pack_group(capacity), f"doc_id {kind}, piece int, start bigint, size bigint, bin bigint")
 
 
-def items(documents: DataFrame) -> DataFrame:
-    """(doc_id, size, source, cluster): UTF-8 bytes of the text (NULL: none), and equal texts as clusters."""
-    return documents.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), "source", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cluster"))
+def items(documents: DataFrame, percent: int = neardup.PERCENT) -> DataFrame:
+    """(doc_id, size, source, cluster): UTF-8 bytes of the text (NULL: none), and near-duplicates of ``percent`` as clusters.
+
+    Near-duplicates are found among the distinct (doc_id, text), so rows without an id or with a shared one have clusters of
+    their own texts. Texts without words are of one cluster if they are equal; NULL and empty texts are of none.
+    """
+    rows = documents.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("node"))
+    _, found = neardup.components(rows.select(F.col("node").alias("doc_id"), "text"), percent)
+    sized = rows.select("node", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), "source", F.when(F.length("text") > 0, F.xxhash64("text")).alias("own"))
+    near = F.concat(F.lit("near "), F.col("component_id").cast("string"))
+    joined = sized.join(found.withColumnRenamed("doc_id", "node"), "node", "left")
+    return joined.select("doc_id", "size", "source", F.coalesce(near, F.col("own").cast("string")).alias("cluster"))
 
 
 def packing_digest(documents: DataFrame) -> DataFrame:

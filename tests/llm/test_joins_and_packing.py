@@ -93,6 +93,18 @@ def test_pack_keeps_every_byte_and_every_rule(documents, edge, nothing):
     assert packing.pack(packing.items(nothing)).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:k] + [f"other{k}"] + base[k + 1:]) for k in range(0, 400, 80)] + [" ".join(base), " \n", " \n"]
+    rows = [(i if i % 3 else None, t, f"src{i}") for i, t in enumerate(texts)] + [(90 + i, f"stranger {i}", f"far{i}") for i in range(3)]
+    items = packing.items(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    clusters = {r["source"]: r["cluster"] for r in items.collect()}
+    assert len(clusters) == len(rows) and len({clusters[f"src{i}"] for i in range(6)}) == 1 and clusters["src6"] == clusters["src7"]
+    assert len(set(clusters.values())) == 5
+    bins = Counter(r["bin"] for r in packing.pack(items).filter("size > 1000").collect())
+    assert len(bins) == 6 and set(bins.values()) == {1}
+
+
 # near-duplicates
 
 def word_sets(rows, n=5):
