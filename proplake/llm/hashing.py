@@ -16,10 +16,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# Per byte: A-Z as a-z; 0 for what parts words (space and \t to \r).
+# Per byte: A-Z as a-z, and whether it parts words (space and \t to \r). NUL is of a word like any other byte.
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
-FOLDED[[9, 10, 11, 12, 13, 32]] = 0
+PARTS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,8 +28,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A-Z count as a-z, and words are runs of bytes other than space and \\t to \\r. Words are told apart by a random linear
     function of their bytes modulo 2**64 and their length, so unequal words collide by chance only.
     """
-    data = FOLDED[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
-    solid = data != 0
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    solid, data = ~PARTS[data], FOLDED[data]
     before = np.concatenate(([False], solid[:-1]))
     starts = np.flatnonzero(solid & ~before)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)

@@ -189,6 +189,16 @@ def test_shingles_match_words():
     assert not names
 
 
+def test_a_nul_is_of_its_word():
+    texts = ["a\0b c", "\0", "a\0b c d e f g", "A\0B c d e f x", "a b c d e f g", "\0\0 \0"]
+    owner, found = neardup.shingles([t.encode() for t in texts])
+    sets = word_sets(enumerate(texts))
+    for k in range(len(texts)):
+        assert (owner == k).sum() == len(sets[k][0])
+        for j in range(k):
+            assert len(set(found[owner == k].tolist()) & set(found[owner == j].tolist())) == len(sets[k][0] & sets[j][0])
+
+
 # resampling
 
 @pytest.fixture(scope="module")
