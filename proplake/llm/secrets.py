@@ -1,8 +1,8 @@
 """Secret scan: three textual kinds, and encoded keys and signed tokens that are reported only when they parse.
 
-A candidate for the structural kinds is a run of base64 or hex. It is decoded and its inside is read: DER key encodings whose
-nested lengths must fill each other exactly, SSH keys of length-prefixed strings, and signed tokens whose header is a JSON
-object that names an algorithm.
+A candidate for the structural kinds is a run of base64 or hex, or base64 over lines. It is decoded and its inside is read: DER
+key encodings whose nested lengths must fill each other exactly, SSH keys of length-prefixed strings, and signed tokens whose
+header is a JSON object that names an algorithm. Of an armoured key encrypted as a whole only headers and length can be read.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,9 +32,13 @@ ASSIGN_LEAST = 6
 ASSIGN_HEAD = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
 SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 ENCODED = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----\s*([A-Za-z0-9+/=\s]+?)-----END \1-----")
+ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----\s*((?:[ \t]*[A-Za-z0-9-]+:[^\r\n]*\r?\n)*+)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+ENCRYPTED = re.compile(rb"Proc-Type:[ \t]*4,ENCRYPTED\s+DEK-Info:[ \t]*[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}){1,2}\s")
+WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(rb"[A-Za-z0-9+/_-]+")
 LONG_HEX = re.compile(rb"[0-9A-Fa-f]{48,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+SSH_STARTS = (b"ssh-", b"ecdsa-sha2-")
 SSH_FILE = b"openssh-key-v1\0"
 INTEGER, BITS, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
@@ -72,8 +78,13 @@ def _algorithm(item: tuple[int, bytes]) -> bool:
     return bool(inner) and inner[0][0] == OBJECT_ID and 3 <= len(inner[0][1]) <= 32
 
 
+def _cipher(item: tuple[int, bytes]) -> bool:
+    """An algorithm whose parameters are a sequence, as those of all password-based encryption are; those of a digest are not."""
+    return _algorithm(item) and [tag for tag, _ in der_items(item[1])] == [OBJECT_ID, SEQUENCE]
+
+
 def is_der_key(data: bytes) -> bool:
-    """RSA, elliptic-curve or wrapped keys: one sequence whose nested lengths and leading items are those of a key."""
+    """RSA, DSA, elliptic-curve or wrapped keys: one sequence whose nested lengths and leading items are those of a key."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
@@ -81,12 +92,16 @@ def is_der_key(data: bytes) -> bool:
     if not items:
         return False
     tags = [tag for tag, _ in items]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted private key behind its cipher
+        return len(items[1][1]) >= 16 and _cipher(items[0])
     if tags[0] == SEQUENCE:  # public key behind its algorithm
         return tags == [SEQUENCE, BITS] and _algorithm(items[0])
     if tags[0] != INTEGER or not items[0][1]:
         return False
     if len(tags) >= 9 and set(tags[:9]) == {INTEGER}:  # RSA private key
         return True
+    if tags == [INTEGER] * 6:  # DSA private key: version 0, three numbers of the group, both keys
+        return items[0][1] == b"\0"
     if tags == [INTEGER, INTEGER]:  # RSA public key: a large odd modulus and a small exponent
         return len(items[0][1]) >= 64 and bool(items[0][1][-1] & 1) and len(items[1][1]) <= 8
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:  # private key behind its algorithm
@@ -128,6 +143,44 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and len(data) >= 24 and (is_der_key(data) or is_ssh_key(data))
 
 
+def _is_armoured(label: bytes, headers: bytes, body: bytes) -> bool:
+    """A key that parses, or a private key that its headers name as encrypted and that fills blocks of 8 bytes."""
+    data = _decoded(b"".join(body.split()))
+    if label.endswith(b"PRIVATE KEY") and ENCRYPTED.search(headers):
+        return data is not None and len(data) >= 24 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def _wrapped_keys(block: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of the keys in lines of base64. A DER header tells where the key ends; an SSH key ends with its lines of equal
+    length or with the next line."""
+    lines = [m.span() for m in LINE.finditer(block)]
+    ends = list(accumulate(b - a for a, b in lines))  # characters up to the end of each line
+    data, at = b"".join(block[a:b] for a, b in lines), 0
+    while at < len(lines):
+        before = ends[at] - (lines[at][1] - lines[at][0])
+        head = _decoded(data[before:before + 28]) or b"" if ends[at] - before >= 40 else b""
+        last = []
+        if head[:1] == b"\x30":
+            width = head[1] & 0x7F if head[1] & 0x80 else 0
+            total = 2 + width + (int.from_bytes(head[2:2 + width], "big") if width else head[1])
+            upto = bisect_left(ends, before - (-8 * total // 6))
+            if width <= 4 and upto < len(ends) and ends[upto] - before == -(-8 * total // 6):
+                last = [upto]
+        elif head.startswith(SSH_FILE) or (head[:3] == b"\0\0\0" and head[4:4 + head[3]].startswith(SSH_STARTS)):
+            same = at
+            while same + 1 < len(lines) and ends[same + 1] - ends[same] == ends[at] - before:
+                same += 1
+            last = [x for x in (same + 1, same) if x < len(lines)]
+        found = next((x for x in last if x > at and is_key(_decoded(data[before:ends[x]]))), None)
+        if found is None:
+            at += 1
+            continue
+        end = lines[found][1]
+        yield lines[at][0], end + len(block[end:]) - len(block[end:].lstrip(b"="))
+        at = found + 1
+
+
 def is_signed_token(run: bytes) -> bool:
     """Three parts: a JSON header that names an algorithm, a payload and a signature that decode."""
     head, body, signature = run.split(b".")
@@ -158,15 +211,17 @@ def _find(data: bytes) -> Iterator[tuple[int, int, int]]:
     keys = []
     if b"-----BEGIN " in data:
         for m in ARMOUR.finditer(data):
-            if is_key(_decoded(b"".join(m[2].split()))):
+            if _is_armoured(m[1], m[2], m[3]):
                 keys.append((m.start(), m.end()))
+    for m in WRAPPED.finditer(data):
+        keys += [(m.start() + a, m.start() + b) for a, b in _wrapped_keys(m[0])]
     for m in ENCODED.finditer(data):
         run = m[0]
         whole = binascii.unhexlify(run) if len(run) % 2 == 0 and LONG_HEX.fullmatch(run) else None
         if is_key(whole) or is_key(_decoded(run)):
             keys.append(m.span())
     last = 0
-    for start, end in sorted(keys, key=lambda span: (span[0], -span[1])):  # an armoured block counts once
+    for start, end in sorted(keys, key=lambda span: (span[0], -span[1])):  # an armoured or wrapped block counts once
         if start >= last:
             yield start, 4, end
             last = end

@@ -92,6 +92,41 @@ def test_structures_are_confirmed_by_parsing():
     assert secrets._masked(None) is None and secrets._masked("") == ""
 
 
+def test_more_key_encodings():
+    draw = np.random.default_rng(8)
+    number = lambda n: der(2, draw.bytes(n))
+    dsa = der(0x30, der(2, b"\0") + number(128) + number(20) + number(128) + number(128) + number(20))
+    salted = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, b"saltsalt") + der(2, b"\x08\0")))
+    locked = der(0x30, salted + der(4, bytes(range(200))))
+    digest = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, bytes(range(32))))
+    ssh = b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-rsa", b"\1\0\1", bytes(range(200))))
+    for data in (dsa, locked):
+        run = base64.b64encode(data).decode()
+        assert secrets.scan_text(f"é {run} x") == [("key", 2, 2 + len(run))]
+        assert secrets.scan_text(base64.b64encode(data[:-1] + b"\0\0").decode()) == []
+    assert secrets.scan_text(base64.b64encode(digest).decode()) == []
+    versioned = dsa.replace(b"\x02\x01\0", b"\x02\x01\1", 1)
+    assert secrets.scan_text(base64.b64encode(versioned).decode()) == []
+    for data in (dsa, locked, ssh):
+        for width, end in ((64, "\n"), (76, "\r\n  ")):
+            run = base64.b64encode(data).decode()
+            block = end.join(run[i:i + width] for i in range(0, len(run), width))
+            assert secrets.scan_text(f"é key:{end}{block}\n\nafter") == [("key", 6 + len(end), 6 + len(end) + len(block))]
+            assert secrets.scan_text(f"{block}\n{block}") == [("key", 0, len(block)), ("key", len(block) + 1, 2 * len(block) + 1)]
+            plain = block.rstrip("=")
+            assert secrets.scan_text(f"{plain}\nnext words") == [("key", 0, len(plain))]
+            assert secrets.scan_text(block[:-9]) == []
+    lines = "\n".join(base64.b64encode(bytes(range(256))).decode()[i:i + 64] for i in range(0, 400, 64))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{lines}\n-----END RSA PRIVATE KEY-----"
+    spans = lambda text: [s for s in secrets.scan_text(text) if s[0] == "key"]
+    assert spans("ab " + block) == [("key", 3, 3 + len(block))]
+    assert spans(block.replace(head, "")) == [] and spans(block.replace("4,ENCRYPTED", "4,CLEAR")) == []
+    run = base64.b64encode(dsa).decode()
+    block = f"-----BEGIN DSA PRIVATE KEY-----\nComment: of mine\n\n{run}\n-----END DSA PRIVATE KEY-----"
+    assert spans(block) == [("key", 0, len(block))]
+
+
 # fingerprints
 
 def test_fingerprint_digest(documents, edge, nothing, spark):
