@@ -76,16 +76,16 @@ def _one_level(symbols: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tup
     return names, first[starts], owner[starts]
 
 
-def phrase_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, name) of all phrases from FIRST_LEVEL up, and of the last phrase of each text."""
+def levelled_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, level, name) of all phrases from FIRST_LEVEL up, and of the last phrase of each text."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     if not len(owner):
-        return owner, np.zeros(0, np.uint64)
+        return owner, owner, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         symbols = mix(np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64) + ODD)
         first = np.concatenate(([True], owner[1:] != owner[:-1]))
-        owners, names, level = [], [], 0
+        owners, levels, names, level = [], [], [], 0
         while len(symbols):
             symbols, first, owner = _one_level(symbols, first, owner)
             level += 1
@@ -93,9 +93,16 @@ def phrase_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             kept = np.full(len(symbols), True) if level >= FIRST_LEVEL else alone
             owners.append(owner[kept])
             names.append(symbols[kept])
+            levels.append(np.full(len(names[-1]), level, dtype=np.int32))
             if alone.any():  # parsed to the end
                 symbols, first, owner = symbols[~alone], first[~alone], owner[~alone]
-    return np.concatenate(owners), np.concatenate(names)
+    return np.concatenate(owners), np.concatenate(levels), np.concatenate(names)
+
+
+def phrase_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, name) of the phrases of ``levelled_names``."""
+    owner, _, name = levelled_names(texts)
+    return owner, name
 
 
 def sketches(texts: list[str], size: int = SKETCH) -> list[np.ndarray]:
@@ -132,6 +139,21 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, fingerprint string")
 
 
+def phrases(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, level, name) of every phrase of every row, repeated phrases each: what fingerprints are the smallest of.
+
+    Documents that share a passage share the names of its inner phrases, however small a part of them it is. NULL and empty
+    texts have none. No shuffle.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            owner, level, name = levelled_names([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner)), pa.array(level), pa.array(name.view(np.int64))], names=[key, "level", "name"])
+
+    rows = df.select(key, text)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, level int, name bigint")
+
+
 def fingerprint_digest(documents: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 

@@ -159,6 +159,21 @@ def test_fingerprints_do_not_depend_on_neighbours(documents):
     assert all((a == b).all() for a, b in zip(parsing.sketches(texts), [parsing.sketches([t])[0] for t in texts]))
 
 
+def test_phrases_show_a_small_shared_passage(spark, edge):
+    draw = np.random.default_rng(9)
+    letters = lambda n: bytes(draw.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = letters(600)
+    texts = [letters(60_000) + shared + letters(60_000) for _ in range(2)]
+    rows = parsing.phrases(spark.createDataFrame([*enumerate(texts), (2, None), (3, "")], "doc_id bigint, text string")).collect()
+    names = [{(r["level"], r["name"]) for r in rows if r["doc_id"] == i} for i in range(4)]
+    assert len(names[0] & names[1]) > 5 and not names[2] and not names[3]
+    assert parsing.likeness(*parsing.sketches(texts)) == 0
+    for i in range(2):
+        held = np.unique(np.array([r["name"] for r in rows if r["doc_id"] == i], np.int64).view(np.uint64) >> np.uint64(32))
+        assert (held[:parsing.SKETCH].astype(">u4") == parsing.sketches(texts)[i]).all()
+    assert parsing.phrases(edge).filter("doc_id IS NULL").count() > 0
+
+
 # encoding
 
 def test_round_trip_digest(documents, edge, nothing, tokenizer):
