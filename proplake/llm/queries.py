@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, maxscore, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
+from proplake.llm import bpe, languages, maxscore, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,7 @@ _query("op8_conflict_best_fit", "documents")(packing.packing_digest)
 _query("op4_importance_resampling", "documents", "labels")(resampling.resampling_digest)
 _query("op7_minhash_inverted_join", "documents")(neardup.neardup_digest)
 _query("op3_hash_suffix_dedup", "documents")(repeats.repeats_digest)
+_query("op13_rank_order_language", "documents", sql=languages.LANGUAGE_SQL)(languages.language_digest)
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
