@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from proplake.llm import bpe, languages, maxscore, merkle, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
+from proplake.llm import bpe, hardneg, languages, maxscore, merkle, neardup, packing, parsing, repeats, resampling, secrets, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,7 @@ _query("op7_minhash_inverted_join", "documents")(neardup.neardup_digest)
 _query("op3_hash_suffix_dedup", "documents")(repeats.repeats_digest)
 _query("op13_rank_order_language", "documents", sql=languages.LANGUAGE_SQL)(languages.language_digest)
 _query("op12_merkle_bitmap_manifest", "documents", sql=merkle.MANIFEST_SQL)(merkle.manifest_digest)
+_query("op11_anchor_cluster_negatives", "embeddings", sql=hardneg.NEGATIVES_SQL)(hardneg.negatives_digest)
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
