@@ -30,14 +30,16 @@ ASSIGN_LEAST = 6
 
 # In lower case, so that the search is a plain one; what follows the keyword decides whether ASSIGN is tried at all.
 ASSIGN_HEAD = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
-SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-ENCODED = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----\s*((?:[ \t]*[A-Za-z0-9-]+:[^\r\n]*\r?\n)*+)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+ENCODED = re.compile(rb"[A-Za-z0-9+/_-]{40,}+={0,2}")
+# A header line that holds the next BEGIN ends the headers, so that no text is read once for every BEGIN before it.
+ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----\s*+((?:[ \t]*+[A-Za-z0-9-]++:(?:(?!-----BEGIN )[^\r\n])*+\r?\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
 ENCRYPTED = re.compile(rb"Proc-Type:[ \t]*4,ENCRYPTED\s+DEK-Info:[ \t]*[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}){1,2}\s")
-WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(rb"[A-Za-z0-9+/_-]+")
 LONG_HEX = re.compile(rb"[0-9A-Fa-f]{48,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+SSH_STRINGS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2}  # of a public key; those of curves have three
 SSH_STARTS = (b"ssh-", b"ecdsa-sha2-")
 SSH_FILE = b"openssh-key-v1\0"
 INTEGER, BITS, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -151,33 +153,46 @@ def _is_armoured(label: bytes, headers: bytes, body: bytes) -> bool:
     return is_key(data)
 
 
+def _ssh_length(data: bytes, start: int) -> int | None:
+    """Bytes of the SSH key whose base64 starts at ``start``, from the lengths of its strings alone; None where they run out."""
+    def number(at: int) -> int:
+        group = start + at // 3 * 4
+        piece = _decoded(data[group:group + 8]) or b""
+        return int.from_bytes(piece[at % 3:at % 3 + 4], "big") if len(piece) >= at % 3 + 4 else len(data)
+
+    head = _decoded(data[start:start + 28]) or b""
+    file = head.startswith(SSH_FILE)
+    at, left = (len(SSH_FILE), 3) if file else (0, SSH_STRINGS.get(head[4:4 + head[3]], 3))
+    while left:
+        at, left = at + 4 + number(at), left - 1
+        if not left and file:
+            file, left, at = False, number(at) + 1, at + 4  # public keys and one private part
+        if at > len(data):
+            return None
+    return at
+
+
 def _wrapped_keys(block: bytes) -> Iterator[tuple[int, int]]:
-    """Spans of the keys in lines of base64. A DER header tells where the key ends; an SSH key ends with its lines of equal
-    length or with the next line."""
+    """Spans of the keys in lines of base64. A DER header and the lengths of an SSH key's strings tell where the key ends."""
     lines = [m.span() for m in LINE.finditer(block)]
     ends = list(accumulate(b - a for a, b in lines))  # characters up to the end of each line
     data, at = b"".join(block[a:b] for a, b in lines), 0
     while at < len(lines):
         before = ends[at] - (lines[at][1] - lines[at][0])
         head = _decoded(data[before:before + 28]) or b"" if ends[at] - before >= 40 else b""
-        last = []
+        total = None
         if head[:1] == b"\x30":
             width = head[1] & 0x7F if head[1] & 0x80 else 0
-            total = 2 + width + (int.from_bytes(head[2:2 + width], "big") if width else head[1])
-            upto = bisect_left(ends, before - (-8 * total // 6))
-            if width <= 4 and upto < len(ends) and ends[upto] - before == -(-8 * total // 6):
-                last = [upto]
+            total = 2 + width + (int.from_bytes(head[2:2 + width], "big") if width else head[1]) if width <= 4 else None
         elif head.startswith(SSH_FILE) or (head[:3] == b"\0\0\0" and head[4:4 + head[3]].startswith(SSH_STARTS)):
-            same = at
-            while same + 1 < len(lines) and ends[same + 1] - ends[same] == ends[at] - before:
-                same += 1
-            last = [x for x in (same + 1, same) if x < len(lines)]
-        found = next((x for x in last if x > at and is_key(_decoded(data[before:ends[x]]))), None)
+            total = _ssh_length(data, before)
+        upto = len(lines) if total is None else bisect_left(ends, before - (-8 * total // 6))
+        found = upto if at < upto < len(ends) and ends[upto] - before == -(-8 * total // 6) and is_key(_decoded(data[before:ends[upto]])) else None
         if found is None:
             at += 1
             continue
         end = lines[found][1]
-        yield lines[at][0], end + len(block[end:]) - len(block[end:].lstrip(b"="))
+        yield lines[at][0], end + len(block[end:end + 2]) - len(block[end:end + 2].lstrip(b"="))
         at = found + 1
 
 
@@ -186,7 +201,7 @@ def is_signed_token(run: bytes) -> bool:
     head, body, signature = run.split(b".")
     try:
         header = json.loads(_decoded(head) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):  # brackets nested beyond what JSON readers take
         return False
     if not isinstance(header, dict) or not isinstance(header.get("alg"), str):
         return False

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,23 @@ def test_structures_are_confirmed_by_parsing():
     assert secrets._masked(f"see {signed}, {signed} é") == "see [token], [token] é"
     assert secrets._masked(None) is None and secrets._masked("") == ""
 
+LONG = 2 << 20
+RUN = base64.b64encode(bytes(range(256)) * (LONG * 3 // 1024)).decode()
+
+
+@pytest.mark.parametrize("name, text", [
+    ("base64 run", RUN), ("data URI", f'<img src="data:image/png;base64,{RUN}">'), ("base64 lines", re.sub("(.{64})", r"\1\n", RUN)), ("hex", "0123456789abcdef" * (LONG // 16)),
+    ("capital hex", "0123456789ABCDEF" * (LONG // 16)), ("blank lines", "-----BEGIN RSA PRIVATE KEY-----" + "\n" * LONG), ("BEGIN lines", "-----BEGIN RSA PRIVATE KEY-----\n" * (LONG // 32)),
+    ("BEGIN in headers", "-----BEGIN RSA PRIVATE KEY-----\n" + "a: -----BEGIN RSA PRIVATE KEY-----\n" * (LONG // 35)), ("bodies without END", ("-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 20 + "\n") * (LONG // 112)),
+    ("headers", "-----BEGIN RSA PRIVATE KEY-----\n" + "a: b\n" * (LONG // 5)), ("tokens", "eyAAAAAA." * (LONG // 9)), ("spaces", ("A" * 50 + "\t " * 25) * (LONG // 100)),
+    ("DER lines", ("MIIEow" + "A" * 58 + "\n") * (LONG // 65)), ("SSH lines", ("AAAAB3NzaC1yc2E" + "A" * 49 + "\n") * (LONG // 65)), ("keywords", ("token" + " " * 20) * (LONG // 25)),
+    ("brackets", "ey" + base64.urlsafe_b64encode(b"[" * LONG).decode() + ".aaaa.aaaa"),
+], ids=lambda x: x if len(x) < 40 else "")
+def test_long_texts_take_time_in_proportion(name, text):
+    start = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - start < 4
+
 
 def test_more_key_encodings():
     draw = np.random.default_rng(8)
