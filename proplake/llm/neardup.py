@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proplake.functions.graph import connected_components
+from proplake.functions.skew import join_by_weight
 from proplake.llm.batches import pieces
 from proplake.llm.hashing import ODD2, follow, mix, word_hashes
 from proplake.session import cut_lineage
@@ -28,6 +29,7 @@ WIDTH = 48
 MATCHES = 24  # a pair of similarity 0.85 agrees in fewer with probability 2e-8
 POSTED = WIDTH - MATCHES + 1
 SKETCH_BITS = 16
+MARK_BITS = 27  # a table of 16 MB; beyond a hundred million members it only spares less
 BLOCK_ROWS = 2_048
 BLOCK_SHINGLES = 2_000_000
 FACTORS = np.random.default_rng(5).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -62,7 +64,8 @@ def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature) of every row: size and 128-bit hash of the set, and WIDTH 32-bit minima."""
+    """(doc_id, n_shingles, set_a, set_b, signature, low) of every row: size and 128-bit hash of the set, WIDTH 32-bit minima
+    and their low bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             owner, found, sizes = _sets(batch, words)
@@ -75,11 +78,11 @@ def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
                     for j in range(WIDTH):
                         rows[full, j] = np.minimum.reduceat(((found * FACTORS[j] + SHIFTS[j]) >> np.uint64(32)).astype(np.uint32), starts)
                     both[0][full], both[1][full] = np.add.reduceat(found, starts), np.add.reduceat(mix(found), starts)
-            packed = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), packed],
-                                             names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+            packed = [pa.array([r.tobytes() for r in part], pa.binary()) for part in (rows, rows.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), *packed],
+                                             names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "low"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, low binary")
 
 
 def _tokens(packed: list[bytes]) -> np.ndarray:
@@ -190,8 +193,7 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = np.concatenate((keys, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "high")], axis=1)))
         docs = np.concatenate((docs, batch.column("doc_id").to_numpy()))
-        packed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, WIDTH)
-        low = np.concatenate((low, packed.astype(np.uint8)))
+        low = np.concatenate((low, np.frombuffer(b"".join(batch.column("low_bytes").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)))
         open_from = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])
         yield edges(keys[:open_from], docs[:open_from], low[:open_from])
         keys, docs, low = keys[open_from:], docs[open_from:], low[open_from:]
@@ -203,9 +205,9 @@ def candidate_classes(distinct: DataFrame) -> DataFrame:
     posted = postings(distinct)
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posted.join(lists, "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).drop("n")
-    rows = in_blocks(shared, "token", "blocks", "doc_id").join(distinct.select("doc_id", "signature"), "doc_id")
+    rows = in_blocks(shared, "token", "blocks", "doc_id").join(distinct.select("doc_id", F.col("low").alias("low_bytes")), "doc_id")
     sorted_lists = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    edges = sorted_lists.select("token", "low", "high", "doc_id", "signature").mapInArrow(_count_lists, "node bigint, other bigint").distinct()
+    edges = sorted_lists.select("token", "low", "high", "doc_id", "low_bytes").mapInArrow(_count_lists, "node bigint, other bigint").distinct()
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
 
 
@@ -249,18 +251,36 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed_links(documents: DataFrame, classes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """(node, other): links between members of one class, confirmed on full shingle sets, enough of them to reach all that is linked."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            owner, found, sizes = _sets(batch, words)
-            ends = np.cumsum(sizes)
-            sets = [found[a:b].view(np.int64) for a, b in zip(ends - sizes, ends)]
-            packed = pa.array([np.sort(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class"), batch.column("blocks"), packed], names=["doc_id", "class", "blocks", "shingles"])
+def _members_mark(members: DataFrame) -> bytes:
+    """A bit for the hash of every member's id: 2 ** MARK_BITS bits however many there are, collected slice by slice."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    slices = members.groupBy(F.shiftright(slot, 15).alias("slice")).agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    mark = bytearray(1 << MARK_BITS - 3)
+    for row in slices.collect():  # a table of fixed size
+        mark[row["slice"] << 12:row["slice"] + 1 << 12] = row["bits"]
+    return bytes(mark)
+
+
+def confirmed_links(documents: DataFrame, members: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """(node, other): links between members of one class, confirmed on full shingle sets, enough of them to reach all that is linked.
 
-    members = documents.select("doc_id", "text").join(classes, "doc_id")
-    sets = members.mapInArrow(run, "doc_id bigint, class bigint, blocks bigint, shingles binary")
+    Texts that are in no class are dropped where they are read, by the members' bits; the few that pass by chance go at the join.
+    Sets are exchanged, texts never.
+    """
+    mark = documents.sparkSession.sparkContext.broadcast(_members_mark(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(mark.value, dtype=np.uint8)
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            for piece in pieces(iter([batch.filter(pa.array(bits[slot >> 3] >> (slot & 7) & 1 == 1))]), "text"):
+                owner, found, sizes = _sets(piece, words)
+                ends = np.cumsum(sizes)
+                sets = [found[a:b].view(np.int64) for a, b in zip(ends - sizes, ends)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([np.sort(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    named = documents.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("slot"))
+    sets = named.mapInArrow(run, "doc_id bigint, shingles binary").join(members.hint("merge"), "doc_id")
     return in_blocks(sets, "class", "blocks", "doc_id").groupBy("class", "low", "high").applyInPandas(_confirm(percent), "node bigint, other bigint").distinct()
 
 
@@ -271,11 +291,13 @@ def components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS)
     """
     signed = cut_lineage(signatures(documents, words))
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = usable.join(sets.filter("n > 1").select("set_a", "set_b", "n_shingles", "first"), ["set_a", "set_b", "n_shingles"], "left")
-    copies = cut_lineage(named.filter("doc_id > first").select(F.col("doc_id").alias("node"), F.col("first").alias("other")).distinct())
-    distinct = cut_lineage(named.filter("first IS NULL OR doc_id = first").dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "signature"))
-    classes = candidate_classes(distinct.select("doc_id", "signature"))
+    key = ["set_a", "set_b", "n_shingles"]
+    distinct = cut_lineage(usable.groupBy(*key).agg(
+        F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n")))
+    firsts = distinct.filter("n > 1").select(*key, F.col("doc_id").alias("other"), "n")
+    copied = join_by_weight(usable.select(F.col("doc_id").alias("node"), *key), firsts, key, "n")
+    copies = cut_lineage(copied.filter("node > other").select("node", "other").distinct())
+    classes = candidate_classes(distinct.select("doc_id", "signature", "low"))
     sized = classes.join(distinct.select("doc_id", "n_shingles"), "doc_id")
     weight = sized.groupBy("class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     members = cut_lineage(classes.join(weight, "class").select("doc_id", "class", "blocks"))
