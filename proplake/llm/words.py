@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 MOST_WORDS = 1_000_000
 JOINED_WORDS = 2_000
-UNSAFE = re.compile(r"\s[ \n]")  # white space before a space or line end: such texts are encoded whole
+UNSAFE = re.compile(r"\s[ \n]")  # white space before a space or line end: what stands round it is encoded whole
+SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -40,10 +43,14 @@ class Recent(dict):
                 self[key] = value
         return value
 
-    def add(self, found: dict) -> None:
+    def turn(self) -> None:
+        """Make room: entries of before count as older once there are many."""
         if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
+
+    def add(self, found: dict) -> None:
+        self.turn()
         self.update(found)
 
 
@@ -59,6 +66,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.words = Recent(most_words)  # what follows a space -> ids of both; what begins with a line end -> its ids
         self.heads = Recent(most_words // 8)  # what begins a text or a line
+        self.parts = Recent(most_words // 4)  # of texts with unsafe places: all from one safe place to the next
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.signs = {sign: self.whole(sign) for sign in ",.\n"}
@@ -66,12 +74,11 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _head(self, word: str) -> bytes:
-        ids = self.heads.find(word)
-        if ids is None:
-            ids = self.whole(word)
-            self.heads.add({word: ids})
-        return ids
+    def _learn_heads(self, words: set[str]) -> None:
+        """See to it that ``heads`` has all ``words``; call after its turn."""
+        new = [w for w in words if self.heads.find(w) is None]
+        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.heads[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def _spaced_words(self, words: list[str]) -> dict[str, bytes]:
         """Many words in one text: each word's ids begin where an id begins with a space."""
@@ -90,19 +97,25 @@ class WordEncoder:
         """Ids of words not met lately. A comma or full stop after a letter, and a line end before a word, are pre-tokens of
         their own, so such words are put together from known parts. A line end before other white space may be of one pre-token
         with it: such words are encoded whole."""
-        found, stems, wanted = {}, {}, set()
+        found, stems, wanted, lines = {}, {}, set(), {}
+        older = self.words.older.pop
         for w in words:
-            known = self.words.find(w)
+            known = older(w, None)
             if known is not None:
                 found[w] = known
             elif w[:1] == "\n":
-                found[w] = self.whole(w) if w[1:2].isspace() else self.signs["\n"] + self._head(w[1:])
+                if w[1:2].isspace():
+                    found[w] = self.whole(w)
+                else:
+                    lines[w] = w[1:]
             elif not w or w[-1].isspace():
                 found[w] = self.whole(" " + w)
             elif w[-1] in ",." and w[-2:-1].isalpha():
                 stems[w] = w[:-1]
             else:
                 wanted.add(w)
+        self._learn_heads(set(lines.values()))
+        found.update((w, self.signs["\n"] + self.heads[head]) for w, head in lines.items())
         for stem in set(stems.values()) - wanted:
             known = self.words.find(stem)
             if known is None:
@@ -113,22 +126,37 @@ class WordEncoder:
         found.update((w, found[stem] + self.signs[w[-1]]) for w, stem in stems.items())
         return found
 
+    def _learn_parts(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts of texts: words where they hold no unsafe place, else encoded whole."""
+        found, words = {}, {}
+        for part in parts:
+            known = self.parts.older.pop(part, None)
+            if known is not None:
+                found[part] = known
+            elif UNSAFE.search(part):
+                found[part] = self.whole(part)
+            else:
+                words[part] = part[1:] if part[0] == " " else part
+        learnt = self._learn(set(words.values()))
+        self.words.update(learnt)
+        found.update((part, learnt[word]) for part, word in words.items())
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not t or UNSAFE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        words = [list(map(self.words.get, c)) if c else [] for c in cut]
-        new = {w for c, known in zip(cut, words) if c for w, ids in zip(c[1:], known[1:]) if ids is None}
-        learnt = self._learn(new)
-        out = []
-        for text, c, known in zip(texts, cut, words):
-            if c is None:
-                out.append(self.whole(text) if text else b"")
-                continue
-            known[0] = self._head(c[0])
-            if None in known:
-                known = [learnt[w] if ids is None else ids for w, ids in zip(c, known)]
-            out.append(b"".join(known))
-        self.words.add(learnt)
-        return out
+        for held in (self.words, self.parts, self.heads):
+            held.turn()
+        unsafe = [UNSAFE.search(t) is not None for t in texts]
+        cut = [SAFE.split(t) if u else t.replace("\n", " \n").split(" ") for t, u in zip(texts, unsafe)]
+        heads = [c[0] for c in cut]
+        new: tuple[set[str], set[str]] = set(), set()
+        for c, u in zip(cut, unsafe):
+            del c[0]
+            new[u].update(compress(c, map(is_, map((self.parts if u else self.words).get, c), repeat(None))))
+        self._learn_heads(set(heads))
+        self.parts.update(self._learn_parts(new[True]))
+        self.words.update(self._learn(new[False]))
+        ids_of = self.words.__getitem__, self.parts.__getitem__
+        return [b"".join([self.heads[head], *map(ids_of[u], c)]) for head, c, u in zip(heads, cut, unsafe)]
 
 
 _encoders: dict[str, WordEncoder] = {}
