@@ -20,15 +20,12 @@ def rows_of(df):
 # search
 
 def best(vectors, queries, k):
-    held = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            v = [int(np.floor(256 * x)) for x in v]
-            held[i] = min(held.get(i, v), v)
+    held = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in filter(queries, held):
-        scores = sorted((-sum(a * b for a, b in zip(held[q], held[i])), i) for i in held if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    for at, (q, v) in enumerate(held):
+        if queries(q):
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for k, (i, w) in enumerate(held) if k != at)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out, key=repr)
 
 
@@ -41,6 +38,7 @@ def vectors(seed, n, width, spread):
     vectors(1, 400, 16, 0.2), vectors(2, 60, 3, 0.01), [(i, [0.0, 0.0]) for i in range(20)], [(i, [-1.0 - i, 0.5]) for i in range(60)], [(0, [1.0])], [],
     [*vectors(3, 120, 4, 1), (None, [1.0] * 4), (200, None), (250, [1.0, None, 1.0, 1.0]), (300, [float("nan")] * 4), (350, [float("inf")] * 4), (50, [9.0] * 4), (0, [0.0]), (400, []), *vectors(3, 30, 4, 1)],
     [(i, [1.0, 1.0]) for i in range(150)] + [(200 + i, [0.01 * i, -1.0]) for i in range(100)],
+    [(50, [1.0, 0.5]), (1, [0.1, 0.1]), (1, [5.0, 5.0]), (2, [1.0, 1.0]), *[(50, [1.0, 0.5])] * 9, *[(3, [2.0, 2.0])] * 20, (100, [0.0, 0.0]), (100, [0.0, -1.0])],
 ])
 def test_search(spark, rows):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
