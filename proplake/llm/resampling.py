@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from proplake.llm.batches import PIECE_BYTES, pieces
 from proplake.llm.hashing import follow, mix, word_hashes
+from proplake.llm.names import safe_names
 from proplake.session import cut_lineage
 
 BITS = 20  # of a bucket number, for unigrams and bigrams each
@@ -213,6 +214,12 @@ def scored(documents: DataFrame, model: Model, temperature: float = TEMPERATURE)
     return weighed(documents, model).withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "text"))
 
 
+def _cut(rows: DataFrame, model: Model) -> float:
+    """The least key of the sample."""
+    k = rows.filter(F.col("log_weight") >= model.threshold).count()
+    return kth_largest(rows, "key", k) if k else float("inf")
+
+
 def sample(documents: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, float]:
     """(model, (doc_id, log_weight, key) of all documents, cut): the sample is every document whose key reaches ``cut``.
 
@@ -221,14 +228,19 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, f
     """
     model = fit(documents, labels)
     rows = cut_lineage(scored(documents.select("doc_id", "text"), model).select("doc_id", "log_weight", "key"))
-    k = rows.filter(F.col("log_weight") >= model.threshold).count()
-    return model, rows, kth_largest(rows, "key", k) if k else float("inf")
+    return model, rows, _cut(rows, model)
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sampled rows of ``documents``, with its columns."""
-    model, _, cut = sample(documents, labels)
-    return scored(documents, model).filter(F.col("key") >= cut).select(*documents.columns)
+    """The sampled rows of ``documents``, with its columns, whatever their names.
+
+    NULL and empty texts weigh 0; repeated rows stand or fall together; an empty table gives an empty result. Rows are written
+    once beside their keys, so no text is weighed again.
+    """
+    given = documents.toDF(*safe_names(documents.columns, ("doc_id", "text")))
+    model = fit(given, labels)
+    rows = cut_lineage(scored(given, model))
+    return rows.filter(F.col("key") >= _cut(rows, model)).select(*given.columns).toDF(*documents.columns)
 
 
 def resampling_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
