@@ -55,7 +55,7 @@ def _codes(values: pd.Series) -> list[int]:
 
 def _pack_group(capacity: int):
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["size", "doc_id", "digest", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first")
+        pieces = pieces.sort_values(["size", "doc_id", "digest", "piece", "copy"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
         bins = np.array(best_fit(pieces["size"].tolist(), _codes(pieces["source"]), _codes(pieces["cluster"]), capacity), dtype=np.int64)
         pieces["bin"] = pieces["pack"].astype("int64") * 2**BIN_BITS + bins
         return pieces[["doc_id", "piece", "start", "size", "bin"]]
@@ -70,18 +70,19 @@ def pack(df: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFra
     one cluster. NULL sizes count as 0, NULL sources and clusters conflict with nothing. Rows of size 0 take a place like
     others, equal rows are packed each for itself, an empty table gives an empty result, other columns are ignored.
 
-    Rows are dealt by a hash into groups of about ``group`` pieces, whatever their source or cluster, and each group is packed
-    largest first, so a task holds one bounded group. Clusters are kept apart inside a group; across groups bins differ.
+    Rows are dealt by a hash, equal rows by their number too, into groups of about ``group`` pieces, whatever their source or
+    cluster, and each group is packed largest first, so a task holds one bounded group. Clusters are kept apart inside a group; across groups bins differ.
     """
     rows = df.select("doc_id", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("total"), F.col("source").cast("string").alias("source"),
                      F.coalesce(F.col("cluster").cast("string"), F.when(F.col("size") > capacity, F.concat(F.lit("own "), F.xxhash64("doc_id", "size", "source").cast("string")))).alias("cluster"))
     rows = rows.withColumn("digest", F.xxhash64("total", "source", "cluster"))
-    cuts = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / capacity).cast("int") - 1))))
+    counted = rows.groupBy("doc_id", "total", "source", "cluster", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    cuts = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / capacity).cast("int") - 1))))
     cuts = cuts.withColumn("start", F.col("piece").cast("bigint") * capacity).withColumn("size", F.least(F.col("total") - F.col("start"), F.lit(capacity)))
     n = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).first()[0] or 0
     groups = max(1, -(-int(n) // group))
-    dealt = cuts.withColumn("pack", F.pmod(F.xxhash64("doc_id", "digest", "piece"), F.lit(groups)))
-    dealt = dealt.select("doc_id", "digest", "piece", "start", "size", "source", "cluster", "pack")
+    dealt = cuts.withColumn("pack", F.pmod(F.xxhash64("doc_id", "digest", "piece", "copy"), F.lit(groups)))
+    dealt = dealt.select("doc_id", "digest", "piece", "copy", "start", "size", "source", "cluster", "pack")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("pack").applyInPandas(_pack_group(capacity), f"doc_id {kind}, piece int, start bigint, size bigint, bin bigint")
 
