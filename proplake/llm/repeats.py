@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from proplake.llm.batches import pieces
 from proplake.llm.hashing import ODD, ODD2, mix
+from proplake.llm.names import safe_names
 from proplake.llm.suffixes import PrefixHash, sort_suffixes
 
 MATCH = 100
@@ -320,7 +321,7 @@ def _spans_by_document(blocks: pa.Table) -> dict[tuple[int, int], list[tuple[int
 def _keyed(documents: DataFrame, groups: int, *keep: str) -> DataFrame:
     """A document is known by its id and a checksum of its text, so that rows that share an id stay apart."""
     text = F.coalesce("text", F.lit(""))
-    keyed = documents.select(*keep, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_doc"), F.crc32(text.cast("binary")).alias("_row"), F.col("text").alias("_text"))
+    keyed = documents.select(*[f"`{c}`" for c in keep], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_doc"), F.crc32(text.cast("binary")).alias("_row"), F.col("text").alias("_text"))
     return keyed.withColumn("_part", _document_part(groups))
 
 
@@ -383,7 +384,11 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """``documents``, every row kept, with repeated passages cut from ``text`` and ``n_chars`` counted anew where text changed."""
+    """``documents``, every row kept, with repeated passages cut from ``text`` and ``n_chars`` counted anew where text changed.
+
+    Other columns stay whatever their names; NULL and empty texts stay; an empty table gives an empty result.
+    """
+    names, documents = documents.columns, documents.toDF(*safe_names(documents.columns, ("doc_id", "text", "n_chars")))
     columns, kept = documents.columns, [c for c in documents.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
@@ -397,4 +402,4 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         new = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array(lengths, table.schema.field("n_chars").type)} if lengths else {})
         return pa.table([new[c] if c in new else table.column(c) for c in columns], names=columns)
 
-    return without_repeats(documents, take_out, schema, *kept)
+    return without_repeats(documents, take_out, schema, *kept).toDF(*names)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proplake.llm.names import safe_names
+
 # The kinds in their order, and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "token", "key")
 BASE_KINDS = ("assign", "access", "hex")
@@ -291,13 +293,17 @@ def scan(df: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
 
 
 def redacted(documents: DataFrame) -> DataFrame:
-    """``documents``, every row kept, with the spans found in ``text`` replaced and ``n_chars`` counted anew where text changed."""
-    clean = documents.withColumn("_clean", without_secrets(F.col("text")))
-    new = {"text": F.col("_clean")}
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
-    return clean.select(*[new[c].alias(c) if c in new else c for c in documents.columns])
+    """``documents``, every row kept, with the spans found in ``text`` replaced and ``n_chars`` counted anew where text changed.
+
+    NULL and empty texts and all other columns, whatever their names, stay as they are; repeated rows give equal rows.
+    """
+    given = documents.toDF(*safe_names(documents.columns, ("text", "n_chars")))
+    clean = given.withColumn("clean", without_secrets(F.col("text")))
+    new = {"text": F.col("clean")}
+    if "n_chars" in given.columns:
+        kind = given.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("clean") != F.col("text"), F.length("clean").cast(kind)).otherwise(F.col("n_chars"))
+    return clean.select(*[new[c].alias(c) if c in new else f"`{c}`" for c in given.columns]).toDF(*documents.columns)
 
 
 def _joined(spans: Column) -> Column:

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proplake.llm.names import safe_names
+
 SHARDS = 8
 SEED = 20_240
 
@@ -62,7 +64,8 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = SHARDS
 
     ``identity`` names the columns whose values tell rows apart; NULLs count as a value. Rows equal in all of them are
     interchangeable: each gets a place of its own, which of them gets which is open. Shard sizes differ by one row at most.
-    An empty table gives an empty result; columns of ``df`` named ``shard`` or ``slot`` are replaced; fewer rows than shards
+    An empty table gives an empty result; columns of ``df`` named ``shard`` or ``slot`` are replaced, others
+    stay whatever their names; fewer rows than shards
     leave shards empty. Every draw comes from hashes of ``identity`` and ``seed``, so a task that runs again deals alike.
 
     ``partitions`` source partitions (spark.sql.shuffle.partitions by default) bound what the driver sees: one count each.
@@ -70,6 +73,8 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = SHARDS
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = df.drop("shard", "slot")
+    names, given = df.columns, safe_names(df.columns)
+    df, identity = df.toDF(*given), [f"`{given[names.index(c)]}`" for c in identity]
     draw = lambda k: F.xxhash64(F.lit(seed + k), *identity)  # noqa: E731  independent of each other: the seed goes in first
     source = F.pmod(draw(0), F.lit(parts)).cast("int")
     counted = {r["_source"]: r["n"] for r in df.groupBy(source.alias("_source")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -89,7 +94,7 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = SHARDS
     offsets = filled.select("shard", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("shard", "_slice").orderBy("_second", "_tie")
     placed = dealt.withColumn("_inside", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "_slice"])
-    return placed.select(*df.columns, "shard", (F.col("_before") + F.col("_inside") - 1).alias("slot"))
+    return placed.select(*[f"`{c}`" for c in given], "shard", (F.col("_before") + F.col("_inside") - 1).alias("slot")).toDF(*names, "shard", "slot")
 
 
 def shard_digest(documents: DataFrame) -> DataFrame:
