@@ -1,7 +1,14 @@
-"""Connected components by alternating star contractions: the number of rounds grows with log of the chain length."""
+"""Connected components by alternating star contractions: the number of rounds grows with log of the chain length.
+
+A graph, or what contraction leaves of one, that is as small as one task's share is finished in that task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +16,41 @@ from proplake.functions.skew import join_by_weight
 from proplake.session import cut_lineage
 
 
+EDGES_A_TASK = 250_000
+
+
+def smallest_reached(node: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of 0 .. n - 1 reaches, by hooking the larger root on the smaller and halving paths."""
+    root = np.arange(n)
+    while True:
+        a, b = root[node], root[other]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart]))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most EDGES_A_TASK edges, in one task."""
+    kind = edges.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        both = pa.chunked_array([*table["node"].chunks, *table["other"].chunks]).combine_chunks().dictionary_encode()
+        names = sorted(both.dictionary.to_pylist())  # Unicode order is the order of UTF-8 bytes
+        place = {name: i for i, name in enumerate(names)}
+        number = np.array([place[name] for name in both.dictionary.to_pylist()], dtype=np.int64)[both.indices.to_numpy()]
+        root = smallest_reached(number[:len(number) // 2], number[len(number) // 2:], len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names, both.dictionary.type), pa.array([names[r] for r in root.tolist()], both.dictionary.type)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def _hook(directed: DataFrame) -> DataFrame:
     """(node, other) -> (node, other, low): the smallest label among a node and its neighbours, hot nodes included.
 
@@ -49,14 +91,16 @@ def _is_stars(edges: DataFrame) -> bool:
     return parents.join(roots, "node", "left").filter("torn OR root").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(node, component) for every node on an edge; the component is named by its smallest node.
 
-    ``edges`` has columns (node, other). Every round is written to shared storage. Done when only stars are left; raises
-    when that does not happen within ``max_rounds``.
+    ``edges`` has columns (node, other). Every round is written to shared storage. Done when only stars are left or when no
+    more than ``edges_a_task`` edges are, which one task finishes; raises when neither happens within ``max_rounds``.
     """
     current = cut_lineage(_proper(edges.select("node", "other")))
     for _ in range(max_rounds):
+        if current.count() <= edges_a_task:
+            return _finished(current)
         current = cut_lineage(_proper(_small_star(cut_lineage(_large_star(current)))))
         if _is_stars(current):
             named = _spread(current, _pair("node", "other"), _pair("other", "other")).distinct()

@@ -96,6 +96,16 @@ def test_scattered_clusters(spark):
 def test_long_chain_components(spark):
     edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)], "node string, other string")
     assert {r["component"] for r in connected_components(edges).collect()} == {"n0000"}
+    assert {r["component"] for r in connected_components(edges, edges_a_task=0).collect()} == {"n0000"}
+
+
+def test_small_graphs_and_large_ones_agree(spark):
+    draw = random.Random(4)
+    names = [f"{draw.choice('aéz')}{i}" for i in range(300)]
+    edges = spark.createDataFrame([(draw.choice(names), draw.choice(names)) for _ in range(220)], "node string, other string")
+    found = [sorted(map(tuple, connected_components(edges, edges_a_task=n).collect())) for n in (0, 40, 10**6)]
+    assert found[0] == found[1] == found[2] and len({c for _, c in found[0]}) > 3
+    assert connected_components(edges.limit(0)).count() == 0
 
 
 def test_fixed_replay_with_hot_listing(spark):
