@@ -33,3 +33,14 @@ def neighbour_cells(own: Column, reach: int = 1) -> Column:
     ])
     return F.transform(steps, lambda s: F.struct(
         (own["x"] + s["x"]).alias("x"), (own["y"] + s["y"]).alias("y"), (own["z"] + s["z"]).alias("z")))
+
+
+def space(lat: Column, lng: Column, radius: float = EARTH_RADIUS_M) -> dict[str, Column]:
+    """Earth-centred metres of a point, by axis."""
+    la, lo = F.radians(lat), F.radians(lng)
+    return {"x": F.cos(la) * F.cos(lo) * F.lit(radius), "y": F.cos(la) * F.sin(lo) * F.lit(radius), "z": F.sin(la) * F.lit(radius)}
+
+
+def parent_cell(own: Column, factor: int = 2) -> Column:
+    """The cube of ``factor`` times the edge that holds a cube; -1 belongs to the cube below 0."""
+    return F.struct(*[F.floor(own[n] / F.lit(factor)).cast("long").alias(n) for n in "xyz"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proplake.config import DUPLICATE_RADIUS_M, EARTH_RADIUS_M, OUTCODE_ONLY_PORTALS, PREFERRED_PORTAL, PRICE_BAND
-from proplake.functions.geo import cell, haversine, neighbour_cells
+from proplake.functions.geo import cell, haversine, neighbour_cells, parent_cell, space
 from proplake.functions.graph import connected_components
 from proplake.functions.ranks import with_position
 from proplake.functions.sequence import micros
@@ -21,6 +21,8 @@ from proplake.operators.gate import price_pcm
 from proplake.session import cut_lineage
 
 FINE_EDGE_M = DUPLICATE_RADIUS_M / 3 ** 0.5 * 0.999  # any two points of one such cube are within the radius
+LIST_WORK = 4_096  # pairs of points that two cubes compare one by one
+POINT = ("bedrooms", "pcm", "latitude", "longitude", "kind", "node", "component", "n")
 ENRICHMENT_FIELDS = ("size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary")
 
 
@@ -81,31 +83,179 @@ def place_runs(points: DataFrame) -> DataFrame:
     return _runs(groups, ["bedrooms", "fine"])
 
 
+def boxes(points: DataFrame, *cubes: str) -> DataFrame:
+    """One row for each (bedrooms, cubes): the corners of its places, its lowest and highest price and its points."""
+    axes = space(F.col("latitude"), F.col("longitude"))
+    ends = [f(column).alias(f"{n}{end}") for n, column in axes.items() for f, end in ((F.min, "0"), (F.max, "1"))]
+    cubes = cubes or ("fine",)
+    rows = points.groupBy("bedrooms", *cubes).agg(*ends, F.min("pcm").alias("low"), F.max("pcm").alias("high"), F.count("*").alias("points"))
+    return rows.withColumnRenamed(cubes[-1], "cube")
+
+
+def _gap(a: str, b: str) -> tuple[Column, Column]:
+    """Squared distances between the nearest and between the farthest corners of two boxes."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for n in "xyz":
+        apart = F.greatest(F.col(f"{a}.{n}0") - F.col(f"{b}.{n}1"), F.col(f"{b}.{n}0") - F.col(f"{a}.{n}1"), F.lit(0.0))
+        across = F.greatest(F.col(f"{a}.{n}1") - F.col(f"{b}.{n}0"), F.col(f"{b}.{n}1") - F.col(f"{a}.{n}0"))
+        near, far = near + apart * apart, far + across * across
+    return near, far
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Of pairs of boxes ``a`` and ``b``: those with partners in reach and in band, ``near`` where all points are in reach."""
+    near, far = _gap("a", "b")
+    slack = 0.001  # metres, above what rounding and the bend of the earth add
+    in_reach = near <= (DUPLICATE_RADIUS_M + slack) ** 2
+    band = F.lit(1 + PRICE_BAND * 1.001)
+    priced = (F.col("a.low") <= F.col("b.high") * band) & (F.col("b.low") <= F.col("a.high") * band)
+    return pairs.filter(in_reach & priced).select(
+        F.col("a.bedrooms").alias("bedrooms"), F.col("a.cube").alias("u"), F.col("b.cube").alias("v"),
+        (far <= (DUPLICATE_RADIUS_M - slack) ** 2).alias("near"), (F.col("a.points") * F.col("b.points")).alias("work"))
+
+
+def _neighbours(probes: DataFrame, targets: DataFrame, ordered: bool = False) -> DataFrame:
+    """Judged pairs of boxes of fine cubes; fine cubes in reach are at most two apart, so those of twice the edge are at most
+    one apart. ``ordered``: of one set of boxes, each pair once and every box with itself."""
+    a = probes.withColumn("meet", F.explode(neighbour_cells(parent_cell(F.col("cube"))))).alias("a")
+    b = targets.withColumn("meet", parent_cell(F.col("cube"))).alias("b")
+    same = (F.col("a.bedrooms") == F.col("b.bedrooms")) & (F.col("a.meet") == F.col("b.meet"))
+    return _judged(a.join(b, same & (F.col("a.cube") <= F.col("b.cube")) if ordered else same))
+
+
 def near_candidates(probes: DataFrame, targets: DataFrame) -> DataFrame:
     """probes ⋈ targets that agree on bedrooms, lie within the radius and are in the price band: structs p and t.
 
-    The probe side visits 27 cubes and at most two price buckets; targets stay put.
+    Cubes meet first, as boxes around their points; points meet only where two boxes can hold partners.
+    """
+    fine = lambda df: df if "fine" in df.columns else df.withColumn("fine", cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
+    probes, targets = fine(probes), fine(targets)
+    pairs = _neighbours(boxes(probes), boxes(targets)).drop("work")
+    p, t = probes.alias("p"), targets.alias("t")
+    asked = pairs.join(p, (F.col("p.bedrooms") == pairs["bedrooms"]) & (F.col("p.fine") == pairs["u"])).select(F.struct("p.*").alias("p"), "v", "near")
+    met = asked.join(t, (F.col("p.bedrooms") == F.col("t.bedrooms")) & (F.col("v") == F.col("t.fine")) & in_band(F.col("p.pcm"), F.col("t.pcm")))
+    within = haversine(F.col("p.latitude"), F.col("p.longitude"), F.col("t.latitude"), F.col("t.longitude"), EARTH_RADIUS_M) <= F.lit(DUPLICATE_RADIUS_M)
+    return met.filter(F.col("near") | within).select("p", F.struct("t.*").alias("t"))
+
+
+def settle(points: DataFrame, take_near, keep=None, list_work: int = LIST_WORK) -> DataFrame:
+    """(bedrooms, p, t): pairs of points of straddling cubes, to be compared one by one; the rest goes to ``take_near``.
+
+    Pairs of fine cubes are judged by their boxes. Where the farthest corners are in reach all points are, and
+    ``take_near(points, pairs, cube)`` gets the cubes, itself once with itself; it may return ``points`` with further columns.
+    Where the nearest are not, none is. Of the rest, those with at most ``list_work`` pairs of points list them; the others
+    are cut into cubes of half the edge and judged again. ``keep(points, pairs, cube)`` may drop pairs that no longer matter.
     """
-    here = targets.withColumns({
-        "cube": cell(F.col("latitude"), F.col("longitude"), DUPLICATE_RADIUS_M), "bucket": _price_bucket(F.col("pcm"))})
-    visits = probes.withColumn(
-        "cube", F.explode(neighbour_cells(cell(F.col("latitude"), F.col("longitude"), DUPLICATE_RADIUS_M)))
-    ).withColumn("bucket", F.explode(_bucket_reach(F.col("pcm"))))
-    p, t = visits.alias("p"), here.alias("t")
-    return p.join(
-        t,
-        (F.col("p.bedrooms") == F.col("t.bedrooms")) & (F.col("p.cube") == F.col("t.cube")) & (F.col("p.bucket") == F.col("t.bucket"))
-        & in_band(F.col("p.pcm"), F.col("t.pcm"))
-        & (haversine(F.col("p.latitude"), F.col("p.longitude"), F.col("t.latitude"), F.col("t.longitude"), EARTH_RADIUS_M)
-           <= F.lit(DUPLICATE_RADIUS_M)),
-    ).select(F.struct("p.*").alias("p"), F.struct("t.*").alias("t"))
+    box = cut_lineage(boxes(points))
+    judged = cut_lineage(_neighbours(box, box, ordered=True))
+    cube, level, listed = "fine", 0, []
+    while True:
+        points = take_near(points, judged.filter("near"), cube) or points
+        open_pairs = judged.filter("NOT near")
+        open_pairs = cut_lineage(keep(points, open_pairs, cube)) if keep else open_pairs
+        few, side = open_pairs.filter(F.col("work") <= list_work), lambda name: points.alias(name)  # noqa: E731, B023
+        with_p = few.join(side("p"), (F.col("p.bedrooms") == few["bedrooms"]) & (F.col(f"p.{cube}") == F.col("u"))).select(F.struct("p.*").alias("p"), "v")
+        listed.append(with_p.join(side("t"), (F.col("p.bedrooms") == F.col("t.bedrooms")) & (F.col("v") == F.col(f"t.{cube}"))).select(
+            *[F.struct(*[f"{k}.{c}" for c in POINT if c in points.columns]).alias(k) for k in "pt"]))
+        many = open_pairs.filter(F.col("work") > list_work)
+        if many.isEmpty():
+            break
+        level, parent = level + 1, cube
+        cube = f"fine{level}"
+        points = points.withColumn(cube, cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M / 2 ** level))
+        box = cut_lineage(boxes(points, parent, cube))
+        a, b = box.alias("a"), box.alias("b")
+        inside = many.select(F.col("bedrooms").alias("of"), "u", "v").join(a, (F.col("of") == F.col("a.bedrooms")) & (F.col("u") == F.col(f"a.{parent}")))
+        judged = cut_lineage(_judged(inside.drop("u").withColumnRenamed("v", "other").join(b, (F.col("of") == F.col("b.bedrooms")) & (F.col("other") == F.col(f"b.{parent}")))))
+    out = listed[0]
+    for more in listed[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _on_lines(points: DataFrame, near: DataFrame, cube: str) -> DataFrame:
+    """(node, other) for runs of two cubes all of whose points are in reach, from one sorted price line for both.
+
+    What lies between two prices of a band is in band with both, so each price needs the nearest G price below and, being P,
+    the nearest above; G prices chain among themselves.
+    """
+    prices = points.select("bedrooms", F.col(cube).alias("cube"), "node", "kind", "pcm").distinct()
+    sides = near.select(F.col("bedrooms").alias("of"), "u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("side"))
+    line = sides.join(prices, (F.col("of") == F.col("bedrooms")) & (F.col("side") == F.col("cube")))
+    order = Window.partitionBy("of", "u", "v").orderBy("pcm", "kind", "node")
+    g = F.when(F.col("kind") == "G", F.struct("pcm", "node"))
+    met = line.withColumns({
+        "below": F.last(g, True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "above": F.when(F.col("kind") == "P", F.first(g, True).over(order.rowsBetween(1, Window.unboundedFollowing)))})
+    found = met.select("node", "pcm", F.explode(F.array("below", "above")).alias("g")).filter(F.col("g").isNotNull() & in_band(F.col("pcm"), F.col("g.pcm")))
+    return found.select("node", F.col("g.node").alias("other")).filter("node != other").distinct()
+
+
+def place_components(points: DataFrame, list_work: int = LIST_WORK) -> DataFrame:
+    """(node, component) of the runs that places link; ``points`` has bedrooms, pcm, place, kind, node and fine.
+
+    Runs that whole cubes link are put together first; straddling cubes are looked into only where they could link more.
+    """
+    edges: list[DataFrame] = []
+
+    def take_near(points: DataFrame, near: DataFrame, cube: str) -> DataFrame | None:
+        found = _on_lines(points, near, cube)
+        if edges:
+            edges.append(found)
+            return None
+        known = cut_lineage(connected_components(found))
+        edges.append(known.select("node", F.col("component").alias("other")))
+        return cut_lineage(points.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    def keep(points: DataFrame, pairs: DataFrame, cube: str) -> DataFrame:
+        held = points.groupBy("bedrooms", cube).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("kind") == "G").alias("g"))
+        side = lambda end: held.select("bedrooms", F.col(cube).alias(end), F.struct("low", "high", "g").alias(f"of_{end}"))
+        both = pairs.join(side("u"), ["bedrooms", "u"]).join(side("v"), ["bedrooms", "v"])
+        one = (F.col("of_u.low") == F.col("of_u.high")) & (F.col("of_v.low") == F.col("of_v.high")) & (F.col("of_u.low") == F.col("of_v.low"))
+        return both.filter(~one & (F.col("of_u.g") | F.col("of_v.g"))).select(*pairs.columns)
+
+    listed = settle(points, take_near, keep, list_work)
+    links = listed.filter((F.col("p.component") != F.col("t.component")) & _linked()).select(F.col("p.node").alias("node"), F.col("t.node").alias("other"))
+    for more in [links, *edges[1:]]:
+        edges[0] = edges[0].unionByName(more)
+    return connected_components(edges[0])
+
+
+def _linked() -> Column:
+    """Whether listed points p and t match by place."""
+    within = haversine(F.col("p.latitude"), F.col("p.longitude"), F.col("t.latitude"), F.col("t.longitude"), EARTH_RADIUS_M) <= F.lit(DUPLICATE_RADIUS_M)
+    return ((F.col("p.kind") == "G") | (F.col("t.kind") == "G")) & in_band(F.col("p.pcm"), F.col("t.pcm")) & within
+
+
+def _place_pair_counts(points: DataFrame, list_work: int = LIST_WORK) -> DataFrame:
+    """(branch, bedrooms, pcm_low, pcm_high, pairs) of listings that match by place; cubes in reach multiply their counts."""
+    counted: list[DataFrame] = []
+    named = lambda rows, pairs: rows.select(F.lit("place").alias("branch"), F.col("p.bedrooms").alias("bedrooms"), F.least("p.pcm", "t.pcm").alias("pcm_low"),
+                                            F.greatest("p.pcm", "t.pcm").alias("pcm_high"), pairs.cast("long").alias("pairs"))
+
+    def take_near(points: DataFrame, near: DataFrame, cube: str) -> None:
+        prices = points.groupBy("bedrooms", F.col(cube).alias("cube"), "kind", "pcm").agg(F.sum("n").alias("n"))
+        p, t = prices.alias("p"), prices.alias("t")
+        asked = near.select(F.col("bedrooms").alias("of"), "u", "v").join(p, (F.col("of") == F.col("p.bedrooms")) & (F.col("u") == F.col("p.cube")))
+        met = asked.join(t, (F.col("of") == F.col("t.bedrooms")) & (F.col("v") == F.col("t.cube")) & in_band(F.col("p.pcm"), F.col("t.pcm")) & (
+            (F.col("p.kind") == "G") | (F.col("t.kind") == "G")))
+        own, order = F.col("u") == F.col("v"), lambda k: F.struct(f"{k}.kind", f"{k}.pcm")
+        pairs = F.when(~own | (order("p") < order("t")), F.col("p.n") * F.col("t.n")).when(order("p") == order("t"), F.floor(F.col("p.n") * (F.col("p.n") - 1) / 2)).otherwise(0)
+        counted.append(named(met, pairs))
+
+    listed = settle(points, take_near, None, list_work)
+    out = named(listed.filter(_linked()), F.col("p.n") * F.col("t.n"))
+    for more in counted:
+        out = out.unionByName(more)
+    return out
 
 
 def dup_pairs(df: DataFrame) -> DataFrame:
-    """Matching pairs in lossless grouped form: (branch, bedrooms, pcm_low, pcm_high, n_pairs).
+    """Matching pairs counted by class: (branch, bedrooms, pcm_low, pcm_high, n_pairs).
 
-    Postcode branch: distinct prices of a block are paired, which integer pounds bound. Place branch: distinct points.
-    The number of listing pairs follows from the group sizes, so a block of any size never lists its pairs.
+    Postcode branch: distinct prices of a block are paired, which integer pounds bound. Place branch: prices of cubes in
+    reach of each other, points only of cubes that straddle it. The number of listing pairs follows from the group sizes,
+    so a block of any size never lists its pairs; which listings pair up is in the clusters.
     """
     keys = cut_lineage(match_keys(df))
     groups = keys.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.count("*").alias("n"))
@@ -119,18 +269,7 @@ def dup_pairs(df: DataFrame) -> DataFrame:
         .otherwise(F.col("a.n") * F.col("b.n")).cast("long").alias("pairs"),
     )
     points = cut_lineage(match_points(keys))
-    # a G point counts each unordered pair from one side: against P points, against later G points, and inside itself
-    order = lambda s: F.struct(f"{s}.pcm", f"{s}.latitude", f"{s}.longitude")
-    g = points.filter("kind = 'G'")
-    near = near_candidates(g, points)
-    same = (F.col("t.kind") == "G") & (order("p") == order("t"))
-    weight = (
-        F.when(same, F.floor(F.col("p.n") * (F.col("p.n") - 1) / 2))
-        .when((F.col("t.kind") == "P") | (order("p") < order("t")), F.col("p.n") * F.col("t.n")).otherwise(0)
-    )
-    by_place = near.select(
-        F.lit("place").alias("branch"), F.col("p.bedrooms").alias("bedrooms"), F.least("p.pcm", "t.pcm").alias("pcm_low"),
-        F.greatest("p.pcm", "t.pcm").alias("pcm_high"), weight.cast("long").alias("pairs"))
+    by_place = _place_pair_counts(points)
     return by_postcode.unionByName(by_place).groupBy("branch", "bedrooms", "pcm_low", "pcm_high").agg(
         F.sum("pairs").alias("n_pairs")).filter("n_pairs > 0")
 
@@ -172,9 +311,7 @@ def dup_clusters(df: DataFrame) -> DataFrame:
     by_place = cut_lineage(place_runs(points))
     g_points = points.filter("kind = 'G'").drop("n", "rep").join(by_place.drop("rep", "n"), ["bedrooms", "fine", "pcm"])
     p_points = points.filter("kind = 'P'").drop("n", "rep").join(by_postcode.drop("rep", "n"), ["bedrooms", "pc", "pcm"])
-    edges = near_candidates(g_points.unionByName(p_points.select(*g_points.columns)), g_points).select(
-        F.col("p.node").alias("node"), F.col("t.node").alias("other")).filter("node != other").distinct()
-    components = connected_components(edges)
+    components = place_components(cut_lineage(g_points.unionByName(p_points.select(*g_points.columns))))
 
     def named(runs: DataFrame) -> DataFrame:
         return runs.join(components, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")).drop(
