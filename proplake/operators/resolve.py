@@ -21,6 +21,7 @@ from proplake.operators.gate import price_pcm
 from proplake.session import cut_lineage
 
 FINE_EDGE_M = DUPLICATE_RADIUS_M / 3 ** 0.5 * 0.999  # any two points of one such cube are within the radius
+BLOCK = ("bedrooms", "kind", "block")
 LIST_WORK = 4_096  # pairs of points that two cubes compare one by one
 POINT = ("bedrooms", "pcm", "latitude", "longitude", "kind", "node", "component", "n")
 ENRICHMENT_FIELDS = ("size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary")
@@ -65,9 +66,20 @@ def _runs(groups: DataFrame, block: list[str]) -> DataFrame:
     return numbered.withColumn("node", F.min("rep").over(Window.partitionBy(*block, "run"))).drop("cut", "run")
 
 
-def postcode_runs(keys: DataFrame) -> DataFrame:
-    groups = keys.filter("kind = 'P'").groupBy("bedrooms", "pc", "pcm").agg(F.min("uid").alias("rep"), F.count("*").alias("n"))
-    return _runs(groups, ["bedrooms", "pc"])
+def match_blocks(keys: DataFrame) -> DataFrame:
+    """``keys`` of usable listings with ``fine``, the cube of the place, and ``block``: the postcode of P, the cube of G.
+
+    Written with the cube, so that the block's name does not compute it again.
+    """
+    fine = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
+    placed = cut_lineage(keys.filter("kind IS NOT NULL").withColumn("fine", fine))
+    return placed.withColumn("block", F.when(F.col("kind") == "P", F.col("pc")).otherwise(F.concat_ws(" ", "fine.x", "fine.y", "fine.z")))
+
+
+def match_runs(blocks: DataFrame) -> DataFrame:
+    """(BLOCK, pcm, n, node): distinct prices of each block and the run they are of."""
+    groups = blocks.groupBy(*BLOCK, "pcm").agg(F.min("uid").alias("rep"), F.count("*").alias("n"))
+    return _runs(groups, list(BLOCK)).drop("rep")
 
 
 def match_points(keys: DataFrame) -> DataFrame:
@@ -78,11 +90,6 @@ def match_points(keys: DataFrame) -> DataFrame:
     return points.withColumn("fine", cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
 
 
-def place_runs(points: DataFrame) -> DataFrame:
-    groups = points.filter("kind = 'G'").groupBy("bedrooms", "fine", "pcm").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"))
-    return _runs(groups, ["bedrooms", "fine"])
-
-
 def boxes(points: DataFrame, *cubes: str) -> DataFrame:
     """One row for each (bedrooms, cubes): the corners of its places, its lowest and highest price and its points."""
     axes = space(F.col("latitude"), F.col("longitude"))
@@ -146,7 +153,7 @@ def settle(points: DataFrame, take_near, keep=None, list_work: int = LIST_WORK)
     Where the nearest are not, none is. Of the rest, those with at most ``list_work`` pairs of points list them; the others
     are cut into cubes of half the edge and judged again. ``keep(points, pairs, cube)`` may drop pairs that no longer matter.
     """
-    box = cut_lineage(boxes(points))
+    box = boxes(points)
     judged = cut_lineage(_neighbours(box, box, ordered=True))
     cube, level, listed = "fine", 0, []
     while True:
@@ -163,7 +170,7 @@ def settle(points: DataFrame, take_near, keep=None, list_work: int = LIST_WORK)
         level, parent = level + 1, cube
         cube = f"fine{level}"
         points = points.withColumn(cube, cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M / 2 ** level))
-        box = cut_lineage(boxes(points, parent, cube))
+        box = boxes(points, parent, cube)
         a, b = box.alias("a"), box.alias("b")
         inside = many.select(F.col("bedrooms").alias("of"), "u", "v").join(a, (F.col("of") == F.col("a.bedrooms")) & (F.col("u") == F.col(f"a.{parent}")))
         judged = cut_lineage(_judged(inside.drop("u").withColumnRenamed("v", "other").join(b, (F.col("of") == F.col("b.bedrooms")) & (F.col("other") == F.col(f"b.{parent}")))))
@@ -305,24 +312,16 @@ def dup_clusters(df: DataFrame) -> DataFrame:
 
     The closure runs over price runs (one node per run), not over listings, so a block with a third of all rows is one node.
     """
-    keys = cut_lineage(match_keys(df))  # narrow, and read by every step below
-    by_postcode = cut_lineage(postcode_runs(keys))
-    points = cut_lineage(match_points(keys))
-    by_place = cut_lineage(place_runs(points))
-    g_points = points.filter("kind = 'G'").drop("n", "rep").join(by_place.drop("rep", "n"), ["bedrooms", "fine", "pcm"])
-    p_points = points.filter("kind = 'P'").drop("n", "rep").join(by_postcode.drop("rep", "n"), ["bedrooms", "pc", "pcm"])
-    components = place_components(cut_lineage(g_points.unionByName(p_points.select(*g_points.columns))))
-
-    def named(runs: DataFrame) -> DataFrame:
-        return runs.join(components, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")).drop(
-            "component", "node", "rep")
-
-    p_rows = join_by_weight(keys.filter("kind = 'P'"), named(by_postcode), ["bedrooms", "pc", "pcm"], "n", materialise=True)
-    g_keys = keys.filter("kind = 'G'").withColumn("fine", cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
-    g_rows = join_by_weight(g_keys, named(by_place), ["bedrooms", "fine", "pcm"], "n", materialise=True)
-    alone = keys.filter("kind IS NULL").withColumn("cluster_id", F.col("uid"))
-    pick = ["uid", "cluster_id"]
-    return p_rows.select(*pick).unionByName(g_rows.select(*pick)).unionByName(alone.select(*pick))
+    keys = match_keys(df)
+    blocks = match_blocks(keys)  # narrow, and read by every step below
+    runs = cut_lineage(match_runs(blocks))
+    spots = blocks.filter("fine IS NOT NULL").select(*BLOCK, "pcm", "latitude", "longitude", "fine").distinct()
+    points = cut_lineage(spots.join(runs.drop("n"), [*BLOCK, "pcm"]))
+    components = place_components(points)
+    named = runs.join(components, "node", "left").select(*BLOCK, "pcm", "n", F.coalesce("component", "node").alias("cluster_id"))
+    rows = join_by_weight(blocks.select("uid", *BLOCK, "pcm"), named, [*BLOCK, "pcm"], "n", materialise=True)
+    alone = keys.filter("kind IS NULL").select("uid", F.col("uid").alias("cluster_id"))
+    return rows.select("uid", "cluster_id").unionByName(alone)
 
 
 def primary_rank(preferred: str = PREFERRED_PORTAL) -> Column:
