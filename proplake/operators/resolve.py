@@ -7,12 +7,14 @@ first; on a sorted price line the band is settled by neighbours alone; and only
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proplake.config import DUPLICATE_RADIUS_M, EARTH_RADIUS_M, OUTCODE_ONLY_PORTALS, PREFERRED_PORTAL, PRICE_BAND
 from proplake.functions.geo import cell, haversine, neighbour_cells, parent_cell, space
 from proplake.functions.graph import connected_components
+from proplake.functions.hull import farthest_pair, hulls_of_runs
 from proplake.functions.ranks import with_position
 from proplake.functions.sequence import micros
 from proplake.functions.skew import join_by_weight
@@ -340,25 +342,24 @@ def scattered_clusters(clustered: DataFrame, radius: float = DUPLICATE_RADIUS_M)
     """cluster_id of clusters with two located members further apart than ``radius``.
 
     Extents settle nearly all clusters: wider than the radius on one axis means scattered, a box diagonal within it means not.
-    For the rest only the northernmost and southernmost place per longitude can be the farthest pair.
+    Of the rest every task keeps the convex hull of its places, hulls are merged, and the farthest pair is read off the merged
+    hull: no places are paired.
     """
-    places = clustered.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-    la, lo = F.radians("latitude"), F.radians("longitude")
-    axes = {"x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)}
-    boxes = places.groupBy("cluster_id").agg(*[
-        ((F.max(v) - F.min(v)) * F.lit(EARTH_RADIUS_M)).alias(f"d{n}") for n, v in axes.items()])
+    places = clustered.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("cluster_id", "latitude", "longitude")
+    axes = space(F.col("latitude"), F.col("longitude"))
+    extents = places.groupBy("cluster_id").agg(*[(F.max(v) - F.min(v)).alias(f"d{n}") for n, v in axes.items()])
     slack = 0.001  # metres: leave borderline boxes to the exact test
     wide = F.greatest("dx", "dy", "dz") > radius + slack
     tight = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2) < radius - slack
-    open_ids = boxes.filter(~wide & ~tight).select("cluster_id")
-    rim = places.join(open_ids, "cluster_id", "left_semi").groupBy("cluster_id", "longitude").agg(
-        F.min("latitude").alias("lo"), F.max("latitude").alias("hi"))
-    ends = rim.select("cluster_id", "longitude", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("latitude"))
-    far = ends.alias("a").join(
-        ends.alias("b"),
-        (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.longitude") <= F.col("b.longitude"))
-        & (haversine(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")) > radius), "left_semi")
-    return boxes.filter(wide).select("cluster_id").unionByName(far.select("cluster_id")).distinct()
+    open_places = places.join(extents.filter(~wide & ~tight).select("cluster_id"), "cluster_id", "left_semi").distinct()
+    kind = clustered.schema["cluster_id"].dataType.simpleString()
+    rims = open_places.sortWithinPartitions("cluster_id").mapInPandas(hulls_of_runs, f"cluster_id {kind}, latitude double, longitude double")
+
+    def is_far(rim: pd.DataFrame) -> pd.DataFrame:
+        return rim[["cluster_id"]].head(1 if farthest_pair(rim["latitude"].to_numpy(), rim["longitude"].to_numpy()) > radius else 0)
+
+    far = rims.groupBy("cluster_id").applyInPandas(is_far, f"cluster_id {kind}")
+    return extents.filter(wide).select("cluster_id").unionByName(far)
 
 
 def cluster_centroid(clustered: DataFrame) -> DataFrame:

@@ -3,14 +3,17 @@
 import math
 import random
 import statistics
+from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from proplake import config as C
 from proplake.functions.fuzzy import common_subsequence, token_set_score
 from proplake.functions.graph import connected_components
+from proplake.functions.hull import farthest_pair, hull
 from proplake.functions.ranks import spearman
 from proplake.operators import enrich, evaluate, gate, lifecycle, merge, resolve, views
 
@@ -54,8 +57,11 @@ def clean(rows):
     return [(*r[:2], None if r[2] == "bad" else (r[2].upper() if r[2] else None), *r[3:]) for r in rows]
 
 
-def test_clusters_and_pairs_match_brute_force(spark, listings):
-    rows = clean(listings)
+def brute_pairs(rows):
+    return [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1:] if pair_matches(a, b)]
+
+
+def brute_clusters(rows):
     parent = {r[0]: r[0] for r in rows}
 
     def find(x):
@@ -63,19 +69,20 @@ def test_clusters_and_pairs_match_brute_force(spark, listings):
             x = parent[x]
         return x
 
-    n_pairs, matches = 0, {}
-    for i, a in enumerate(rows):
-        for b in rows[i + 1:]:
-            if pair_matches(a, b):
-                n_pairs += 1
-                matches[a[0]] = matches.get(a[0], 0) + 1
-                matches[b[0]] = matches.get(b[0], 0) + 1
-                x, y = sorted((find(a[0]), find(b[0])))
-                parent[y] = x
+    for a, b in brute_pairs(rows):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {u: find(u) for u in parent}
+
+
+def test_clusters_and_pairs_match_brute_force(spark, listings):
+    rows = clean(listings)
+    pairs = brute_pairs(rows)
+    matches = Counter(u for pair in pairs for u in pair)
     df = spark.createDataFrame(listings, LISTING)
     got = {r["uid"]: r["cluster_id"] for r in resolve.dup_clusters(df).collect()}
-    assert got == {u: find(u) for u in parent}
-    assert resolve.dup_pairs(df).agg(F.sum("n_pairs")).first()[0] == n_pairs
+    assert got == brute_clusters(rows)
+    assert resolve.dup_pairs(df).agg(F.sum("n_pairs")).first()[0] == len(pairs)
     assert {r["uid"]: r["n_matches"] for r in resolve.dup_match_counts(df).collect()} == matches
     shuffled = spark.createDataFrame(list(reversed(listings)), LISTING)
     assert {r["uid"]: r["cluster_id"] for r in resolve.dup_clusters(shuffled).collect()} == got
@@ -93,6 +100,52 @@ def test_scattered_clusters(spark):
     assert {r[0] for r in resolve.scattered_clusters(df).collect()} == far and 0 < len(far) < 40
 
 
+def test_farthest_pairs_of_merged_hulls():
+    draw = np.random.default_rng(8)
+    for n, spread in ((1, 1), (2, 1), (3, 1), (40, 1), (40, 0), (400, 1)):
+        lat, lng = 51.5 + draw.normal(0, 3e-4, n), -0.1 + spread * draw.normal(0, 4e-4, n)
+        if n == 400:
+            lat, lng = np.round(lat, 4), np.round(lng, 4)  # many on one line
+        want = max((metres((0,) * 5 + (a, b), (0,) * 5 + (c, d)) for a, b in zip(lat, lng) for c, d in zip(lat, lng)), default=0)
+        assert farthest_pair(lat, lng) == pytest.approx(want, abs=1e-6)
+        parts = [np.arange(k, n, 3) for k in range(min(3, n))]
+        merged = np.concatenate([p[hull(lat[p], lng[p])] for p in parts])
+        assert farthest_pair(lat[merged], lng[merged]) == pytest.approx(want, abs=1e-6)
+
+
+def crowded(n, wide, seed):
+    """Places of postcodes and without, prices that chain and that do not."""
+    draw = random.Random(seed)
+    return [(f"u{i:05d}", "portal_a", draw.choice(["N1 1AA", "N1 1AB", None, None]), draw.choice([1, 2]), draw.choice([100_000, 101_500, 103_000, 150_000, 152_500]),
+             51.5 + draw.random() * wide, -0.1 + draw.random() * wide * 1.6) for i in range(n)]
+
+
+@pytest.mark.parametrize("list_work", [0, 30, 4_096])
+def test_straddling_cubes_of_every_size(spark, monkeypatch, list_work):
+    rows = crowded(260, 0.0011, 5)
+    df = spark.createDataFrame(rows, LISTING)
+    whole = resolve.settle
+    monkeypatch.setattr(resolve, "settle", lambda points, take_near, keep=None, _=None: whole(points, take_near, keep, max(1, list_work)))
+    pairs, clusters = brute_pairs(rows), brute_clusters(rows)
+    found = {r["uid"]: r["cluster_id"] for r in resolve.dup_clusters(df).collect()}
+    assert found == clusters and 1 < len(set(clusters.values())) < 200
+    assert sum(r["n_pairs"] for r in resolve.dup_pairs(df).collect()) == len(pairs)
+
+
+def test_a_crowded_place_lists_few_pairs(spark, monkeypatch):
+    rows = [(f"u{i:05d}", "portal_c", None, 1, 100_000 + 100 * (i % 7), 51.5 + (i % 100) * 4e-6, -0.1 + (i // 100) * 6e-6) for i in range(10_000)]
+    whole, listed = resolve.settle, []
+
+    def counted(*args):
+        out = whole(*args)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolve, "settle", counted)
+    assert {r["cluster_id"] for r in resolve.dup_clusters(spark.createDataFrame(rows, LISTING)).collect()} == {"u00000"}
+    assert listed[0] < 20_000
+
+
 def test_long_chain_components(spark):
     edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)], "node string, other string")
     assert {r["component"] for r in connected_components(edges).collect()} == {"n0000"}
