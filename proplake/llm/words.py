@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import compress, repeat
 from operator import is_
 
@@ -70,13 +71,29 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.signs = {sign: self.whole(sign) for sign in ",.\n"}
+        self.tokenizer.model._resize_cache(0)  # what is known is kept here
+        self.merged = self.tokenizer.model.tokenize
+        self.letters = {b: c for c, b in byte_signs().items() if b >= 128}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.direct = self.tokenizer.normalizer is None and not any(a.content.strip().isalpha() for a in added)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _of_letters(self, word: str, lead: str) -> bytes:
+        """Ids of a word of letters alone, which is one pre-token with the sign of the space before it, if any."""
+        signs = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.merged(lead + signs)]).tobytes()
+
     def _learn_heads(self, words: set[str]) -> None:
         """See to it that ``heads`` has all ``words``; call after its turn."""
-        new = [w for w in words if self.heads.find(w) is None]
+        new = []
+        for w in words:
+            if self.heads.find(w) is None:
+                if self.direct and w.isalpha():
+                    self.heads[w] = self._of_letters(w, "")
+                else:
+                    new.append(w)
         for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.heads[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
@@ -122,6 +139,10 @@ class WordEncoder:
                 wanted.add(stem)
             else:
                 found[stem] = known
+        if self.direct:
+            letters = set(filter(str.isalpha, wanted))
+            wanted -= letters
+            found.update((w, self._of_letters(w, "Ġ")) for w in letters)
         found.update(self._spaced_words(list(wanted)))
         found.update((w, found[stem] + self.signs[w[-1]]) for w, stem in stems.items())
         return found
@@ -170,11 +191,16 @@ def encoder(path: str | None = None) -> WordEncoder:
     return _encoders[key]
 
 
-def byte_table(tokenizer) -> list[bytes]:
-    """Bytes of each id under the byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100 on."""
+def byte_signs() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
-    sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def byte_table(tokenizer) -> list[bytes]:
+    """Bytes of each id under the byte-level alphabet."""
+    sign = byte_signs()
     added = tokenizer.get_added_tokens_decoder()
     table = []
     for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
