@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from proplake.config import LEGAL_TRANSITIONS, STATES
 from proplake.operators import merge, resolve
@@ -28,76 +31,149 @@ def stream_newness_counts(listings: DataFrame, delay: str = "1 hour") -> DataFra
 
 
 def stream_last_seen(sightings: DataFrame) -> DataFrame:
-    """Latest sighting per listing; those older than the limit are the ones to deactivate."""
+    """Latest sighting per listing so far; every batch gives the whole table anew."""
     return sightings.groupBy("uid").agg(F.max("ts").alias("last_scraped"), F.count("*").alias("scrape_count"))
 
 
-def _keyed(df: DataFrame, step: Callable, out_schema: str, state_schema: str) -> DataFrame:
-    """Fold each key's rows of a micro-batch in (ts, id) order through ``step(state, row) -> (state, output or None)``."""
+def stream_deactivate(sightings: DataFrame, days: int, delay: str = "1 hour") -> DataFrame:
+    """(uid, last_scraped, deactivated_at), appended when a listing has been quiet for ``days``; its state goes with the row.
+
+    A sighting at the limit or later starts anew and revives the listing. One that comes late, but before the watermark has
+    passed the limit, still keeps it active.
+    """
+    quiet = F.session_window("ts", f"{days} days")
+    runs = sightings.withWatermark("ts", delay).groupBy("uid", quiet).agg(F.max("ts").alias("last_scraped"))
+    return runs.select("uid", "last_scraped", F.col("session_window.end").alias("deactivated_at"))
+
+
+NONE_WAIT = pickle.dumps((np.zeros((2, 0), np.int64), []))
+FORGET_DAYS = 400
+
+
+def _keyed(df: DataFrame, step: Callable, out_schema: str, delay: str, forget: int) -> DataFrame:
+    """Fold each key's rows in (ts, id) order through ``step(uid, state, ts, id, value) -> (state, output or None)``.
+
+    ``df`` has uid, ts, id and value (string). Rows wait in the key's state until the watermark has passed them, so rows that
+    arrive out of order by up to ``delay``, in one batch or over several, are folded in order; later ones are dropped. The state
+    is a number and the rows that wait; it goes when nothing waits and the key has been quiet for ``forget`` microseconds.
+    """
     import pandas as pd
 
     names = [part.split()[0] for part in out_schema.split(", ")]
-    order = [c for c in ("ts", "event_id", "id") if c in df.columns]
 
     def run(key, batches, state):
-        held = state.get[0] if state.exists else None
+        held, last, waiting = state.get if state.exists else (None, 0, NONE_WAIT)
+        places, values = pickle.loads(waiting)
+        if not state.hasTimedOut:
+            parts = [places]
+            for batch in batches:
+                parts.append(np.stack((batch["ts"].to_numpy(), batch["id"].to_numpy())))
+                values += batch["value"].tolist()
+            places = np.concatenate(parts, axis=1)
+        order = np.lexsort(places[::-1])
+        places, values = places[:, order], [values[i] for i in order.tolist()]
+        passed = state.getCurrentWatermarkMs() * 1_000
+        ready = int(np.searchsorted(places[0], passed, side="right"))
         out = []
-        for row in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
-            held, produced = step(held, row)
+        for ts, number, value in zip(*places[:, :ready].tolist(), values):
+            last = ts
+            held, produced = step(key[0], held, ts, number, value)
             if produced is not None:
                 out.append(produced)
-        state.update((held,))
+        rows, values = places[:, ready:], values[ready:]
+        if not values and passed >= last + forget:
+            state.remove()
+        else:
+            state.update((held, last, pickle.dumps((rows, values))))
+            due = int(rows[0, 0]) if values else last + forget
+            state.setTimeoutTimestamp(max(due, passed) // 1_000 + 1)
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy("uid").applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    at = F.unix_micros(F.col("event_time"))
+    rows = df.withColumnRenamed("ts", "event_time").withWatermark("event_time", delay).select("uid", "event_time", at.alias("ts"), "id", F.col("value").cast("string").alias("value"))
+    return rows.groupBy("uid").applyInPandasWithState(run, out_schema, "held long, last long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_freshness_fixed(sightings: DataFrame, hours: float) -> DataFrame:
-    """Sightings that trigger enrichment when only enrichment renews the clock; state is the last enrichment."""
+def stream_freshness_fixed(sightings: DataFrame, hours: float, delay: str = "1 hour") -> DataFrame:
+    """Sightings that trigger enrichment when only enrichment renews the clock; state is the last enrichment, forgotten once
+    it is out of date."""
     span = int(hours * 3600 * 1_000_000)
 
-    def step(clock, row):
-        now = row.ts.value // 1_000
-        if clock is None or now > clock + span:
-            return now, (row.uid, row.event_id, row.ts)
+    def step(uid, clock, ts, number, value):
+        if clock is None or ts > clock + span:
+            return ts, (uid, number, ts)
         return clock, None
 
-    return _keyed(sightings.select("uid", "event_id", F.col("ts").cast("timestamp").alias("ts")), step,
-                  "uid string, event_id long, ts timestamp", "clock long")
+    rows = sightings.select("uid", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("value"))
+    return _keyed(rows, step, "uid string, event_id long, at long", delay, span).select("uid", "event_id", F.timestamp_micros("at").alias("ts"))
 
 
-def stream_price_change(sightings: DataFrame, price: str = "price_numeric") -> DataFrame:
-    """Price changes against the previous sighting; state is the last price."""
-    def step(last, row):
-        now = None if row.price != row.price or row.price is None else int(row.price)
+def stream_price_change(sightings: DataFrame, price: str = "price_numeric", delay: str = "1 hour", forget_days: int = FORGET_DAYS) -> DataFrame:
+    """Price changes against the previous sighting; state is the last price, forgotten after ``forget_days`` without a sighting."""
+    def step(uid, last, ts, number, value):
+        now = None if value is None else int(value)
         changed = bool(last) and bool(now) and last != now
-        return now, (row.uid, row.event_id, now, now - last) if changed else None
+        return now, (uid, number, now, now - last) if changed else None
+
+    rows = sightings.select("uid", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col(price).alias("value"))
+    return _keyed(rows, step, "uid string, event_id long, price_numeric long, price_change long", delay, forget_days * 86_400_000_000)
+
+
+def stream_lifecycle(requests: DataFrame, delay: str = "1 hour", forget_days: int = FORGET_DAYS) -> DataFrame:
+    """Every request with the state it met and the verdict; state is the current status, forgotten after ``forget_days``
+    without a request."""
+    def step(uid, status, ts, number, asked):
+        now = STATES[status or 0]
+        legal = asked in LEGAL_TRANSITIONS[now]
+        return STATES.index(asked) if legal else status or 0, (uid, number, now, asked, legal)
+
+    rows = requests.select("uid", "id", F.col("ts").cast("timestamp").alias("ts"), F.col("to_status").alias("value"))
+    return _keyed(rows, step, "uid string, id long, from_status string, to_status string, accepted boolean", delay, forget_days * 86_400_000_000)
+
+
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int")
+
+
+def write_buckets(df: DataFrame, root: str, version: str, base: dict[int, str] | None = None) -> None:
+    """Write the rows of some buckets as ``version`` and a manifest that takes all other buckets from ``base``.
+
+    A manifest has one row for each bucket: the version that wrote it last. It is written after its data, so what it names exists.
+    """
+    spark = df.sparkSession
+    path = f"{root}/data/version={version}"
+    df.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    written = {r["bucket"] for r in spark.read.parquet(path).select("bucket").distinct().collect()}
+    held = sorted({**(base or {}), **{b: version for b in written}}.items())
+    spark.createDataFrame(held, "bucket int, version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
 
-    return _keyed(sightings.select("uid", "event_id", "ts", F.col(price).alias("price")), step,
-                  "uid string, event_id long, price_numeric long, price_change long", "price long")
 
+def manifest(spark: SparkSession, root: str, version: str) -> dict[int, str]:
+    """Version of every bucket that holds rows; at most BUCKETS entries."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{root}/manifest/version={version}").collect()}
 
-def stream_lifecycle(requests: DataFrame) -> DataFrame:
-    """Every request with the state it met and the verdict; state is the current status."""
-    def step(status, row):
-        status = status or STATES[0]
-        legal = row.to_status in LEGAL_TRANSITIONS[status]
-        return (row.to_status if legal else status), (row.uid, row.id, status, row.to_status, legal)
 
-    return _keyed(requests.select("uid", "id", "ts", "to_status"), step,
-                  "uid string, id long, from_status string, to_status string, accepted boolean", "status string")
+def read_buckets(spark: SparkSession, root: str, held: dict[int, str], schema: StructType) -> DataFrame:
+    paths = [f"{root}/data/version={version}/bucket={bucket}" for bucket, version in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def upsert_batches(root: str, as_of: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: last row per uid of the batch, merged into the current snapshot as version ``batch_id``.
+def upsert_batches(root: str, as_of: str, order: list[str], schema: StructType) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: last row per uid of the batch, merged into the snapshot in hash buckets under ``root``.
 
-    The version read is recorded in the version written, so a replayed batch overwrites its own version.
+    Only buckets that the batch touches are read and written. The base of batch n is the manifest of batch n - 1 (of ``start``
+    for the first), which a replay finds unchanged, so it writes the same version again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{root}/version={batch_id - 1 if batch_id else 'start'}")
-        base = base.withColumn("is_active", F.col("is_active").cast("boolean"))
-        sinks.write_snapshot(merge.upsert_overwrite(base, merge.latest_per_key(batch, order), as_of), root, version=batch_id)
+        latest = cut_lineage(merge.latest_per_key(batch, order))
+        base = manifest(spark, root, str(batch_id - 1) if batch_id else "start")
+        touched = {r["bucket"] for r in latest.select(_bucket().alias("bucket")).distinct().collect()}
+        old = read_buckets(spark, root, {b: v for b, v in base.items() if b in touched}, schema)
+        write_buckets(merge.upsert_overwrite(old, latest, as_of), root, str(batch_id), base)
 
     return write
 
