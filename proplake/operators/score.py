@@ -149,6 +149,27 @@ def region_score_join(df: DataFrame, tiers: DataFrame, unlisted: int = 75) -> Da
     ).drop("tier_score")
 
 
+def curve_scores(values: DataFrame, curves: DataFrame, null_score: int = 50) -> DataFrame:
+    """``values`` (.., component, value) plus ``curve_score``: the score of the first step that reaches the value, else of the
+    open step, from a (component, at_or_below, score) table; NULL values get ``null_score``, values of no curve are left out.
+
+    Each curve becomes one row that holds its steps, so values are never multiplied by steps or shuffled.
+    """
+    step = F.struct(F.coalesce("at_or_below", F.lit(2 ** 31 - 1)).alias("upto"), "score")
+    steps = curves.groupBy("component").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # as many rows as the configuration has curves
+    reached = F.try_element_at(F.filter("steps", lambda s: s["upto"] >= F.col("value")), F.lit(1))["score"]
+    return values.join(F.broadcast(steps), "component").withColumn(
+        "curve_score", F.when(F.col("value").isNull(), null_score).otherwise(F.coalesce(reached, F.lit(0)))).drop("steps")
+
+
+def in_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, location, listing columns): listings inside the price and bedroom bounds of each search profile."""
+    bound = lambda name: F.col(name).cast("long")
+    pcm = F.expr("price_numeric div 100")
+    inside = pcm.between(bound("min_price"), bound("max_price")) & F.col("bedrooms").between(bound("min_bedrooms"), bound("max_bedrooms"))
+    return df.join(F.broadcast(profiles), inside)  # a configuration table
+
+
 def primary_commute(first: Column, second: Column, mode: str = "min") -> Column:
     """``min`` ignores unknown legs; ``first`` takes the first known non-zero leg."""
     return F.least(first, second) if mode == "min" else F.coalesce(F.nullif(first, F.lit(0)), second)
@@ -219,6 +240,13 @@ def weights_table(log: DataFrame) -> DataFrame:
     return newest.select(F.explode(F.from_json("w", "map<string,double>")).alias("component", "weight"))
 
 
+def weights_row(log: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The row that a rescoring with new weights adds to the log: the next id and the weights as JSON."""
+    import json
+
+    return log.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).withColumn("weights_json", F.lit(json.dumps(weights)))
+
+
 def rescore_active(df: DataFrame, weights: dict[str, float], config: Config | None = None) -> DataFrame:
     """Recompute active rows with new weights; the commute leg is the first known one, as at rescoring time."""
     return with_score(df.filter("is_active").drop("score", "score_breakdown"), config, weights, commute_mode="first")

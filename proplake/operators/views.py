@@ -214,7 +214,7 @@ def floorplan_backfill_candidates(df: DataFrame, portal: str) -> DataFrame:
 
 
 def listing_detail(df: DataFrame, uid: str, history: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """One listing with its ordered history and the other members of its cluster."""
+    """One listing with its ordered history, the other members of its cluster (uid, portal, url) and how many there are."""
     one = df.filter(F.col("uid") == uid)
     log = history.filter(F.col("uid") == uid).groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct("ts", "id", "from_status", "to_status", "reason", "accepted"))).alias("history")
@@ -223,6 +223,8 @@ def listing_detail(df: DataFrame, uid: str, history: DataFrame, clusters: DataFr
     if clusters is not None:
         own = clusters.filter(F.col("uid") == uid).select("uid", "cluster_id")
         others = clusters.join(own.select("cluster_id"), "cluster_id", "left_semi").filter(F.col("uid") != uid)
-        facts = others.groupBy("cluster_id").agg(F.array_sort(F.collect_set("uid")).alias("cluster_others"))  # adverts of one flat
-        out = out.drop("cluster_id").join(own, "uid", "left").join(facts, "cluster_id", "left")
+        member = F.struct("uid", *[F.col(c) if c in clusters.columns else F.lit(None).cast("string").alias(c) for c in ("portal", "url")])
+        facts = others.groupBy("cluster_id").agg(F.array_sort(F.collect_set(member)).alias("cluster_others"))  # adverts of one flat
+        out = out.drop("cluster_id").join(own, "uid", "left").join(facts, "cluster_id", "left").withColumn(
+            "cluster_size", F.coalesce(F.size("cluster_others"), F.lit(0)) + 1)
     return out

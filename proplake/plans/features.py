@@ -94,6 +94,13 @@ def extraction_miss_report(t):
     return T.extraction_miss_report(T.extract_text_features(texts(t)))
 
 
+@query("extraction_misses", f"""
+SELECT doc_id, missing FROM (SELECT doc_id, CASE WHEN {SIZE} IS NULL AND {RATING} IS NULL THEN 'size+epc' WHEN {SIZE} IS NULL THEN 'size' WHEN {RATING} IS NULL THEN 'epc' END AS missing FROM texts)
+WHERE missing IS NOT NULL""", "texts")
+def extraction_misses(t):
+    return T.extraction_misses(T.extract_text_features(texts(t))).select("doc_id", "missing")
+
+
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MNUM = "CASE substr({0},1,3) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(MONTHS, 1)) + " END"
 MRE = "(january|february|march|april|may|june|july|august|september|sept|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)"

@@ -49,13 +49,14 @@ def lifecycle_history(t):
 
 
 @query("listing_detail", """
-SELECT d.uid, d.portal, d.score, (SELECT string_agg(o.uid, ',' ORDER BY o.uid) FROM listings o WHERE o.cluster_id=any_value(d.cluster_id) AND o.uid<>d.uid) AS others, count(f.id) AS n_transitions, string_agg(f.to_status, ',' ORDER BY f.ts, f.id) FILTER (WHERE f.accepted) AS accepted_path
+SELECT d.uid, d.portal, d.score, (SELECT string_agg(o.uid||' '||o.portal||' '||coalesce(o.url,''), ',' ORDER BY o.uid) FROM listings o WHERE o.cluster_id=any_value(d.cluster_id) AND o.uid<>d.uid) AS others,
+ 1+(SELECT count(*) FROM listings o WHERE o.cluster_id=any_value(d.cluster_id) AND o.uid<>d.uid)::INT AS cluster_size, count(f.id) AS n_transitions, string_agg(f.to_status, ',' ORDER BY f.ts, f.id) FILTER (WHERE f.accepted) AS accepted_path
 FROM (SELECT * FROM listings WHERE property_id='7') d LEFT JOIN fold f ON f.uid='7' GROUP BY d.uid, d.portal, d.score""", "listings", "transitions", ctes=FOLD, recursive=True)
 def listing_detail(t):
     history = L.transition_fold(t.transitions.filter("uid = '7'")).withColumn("uid", F.when(F.col("uid") == "7", "portal_b:7").otherwise(F.col("uid")))
-    detail = views.listing_detail(t.listings, "portal_b:7", history, t.listings.select("uid", "cluster_id"))
+    detail = views.listing_detail(t.listings, "portal_b:7", history, t.listings.select("uid", "portal", "url", "cluster_id"))
     path = F.array_join(F.transform(F.filter("history", lambda h: h["accepted"]), lambda h: h["to_status"]), ",")
-    return detail.select("uid", "portal", "score", F.array_join("cluster_others", ",").alias("others"), F.size("history").cast("long").alias("n_transitions"), path.alias("accepted_path"))
+    return detail.select("uid", "portal", "score", F.array_join(F.transform("cluster_others", lambda m: F.concat_ws(" ", m["uid"], m["portal"], F.coalesce(m["url"], F.lit("")))), ",").alias("others"), "cluster_size", F.size("history").cast("long").alias("n_transitions"), path.alias("accepted_path"))
 
 
 REASON = "CASE WHEN coalesce({0},'')='' THEN 'sift_v1_label' " + " ".join(

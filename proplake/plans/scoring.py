@@ -235,6 +235,22 @@ def rescore_active(t):
     return score.rescore_active(t.listings, score.latest_weights(t.weights_log)).select("uid", "score")
 
 
+@query("rescore_weights_row", """
+SELECT (SELECT count(*) FROM grown) AS n_rows, max(id) AS id, arg_max(CAST(json_extract_string(weights_json,'$.price') AS DOUBLE), id) AS price FROM grown""", "weights_log", ctes="""
+grown AS (SELECT id, weights_json FROM weights_log UNION ALL SELECT max(id)+1, '{"price": 0.5, "size": 0.5}' FROM weights_log)""")
+def rescore_weights_row(t):
+    """Rescoring appends its weights to the log, where the next run finds them as the newest."""
+    from proplake.plans.scratch import scratch_folder
+    from proplake.sources import sinks
+
+    folder = scratch_folder(t.spark, "weights")
+    sinks.append_events(t.weights_log, folder)
+    sinks.append_events(score.weights_row(t.spark.read.parquet(folder), {"price": 0.5, "size": 0.5}), folder)
+    log = t.spark.read.parquet(folder)
+    newest = F.from_json(F.max_by("weights_json", "id"), "map<string,double>")
+    return log.agg(F.count("*").alias("n_rows"), F.max("id").alias("id"), newest["price"].alias("price"))
+
+
 EXPECTED_KEYS = score.COMPONENTS + ["carpet_bedroom", "carpet_other_areas", "region_pref"]
 
 
@@ -287,3 +303,41 @@ def config_as_tables(t):
     return t.listings.join(F.broadcast(region_tiers_table(t.spark)), "region", "left").groupBy(
         F.coalesce("tier", F.lit("unlisted")).alias("tier")
     ).agg(F.count("*").alias("n"), F.count_if("is_active").alias("n_active"))
+
+
+@query("config_curves", """
+SELECT component, curve_score, count(*) AS n FROM (
+ SELECT 'transport' AS component, CASE WHEN commute_primary IS NULL THEN 50 WHEN commute_primary<=15 THEN 100 WHEN commute_primary<=25 THEN 80 WHEN commute_primary<=35 THEN 60 WHEN commute_primary<=45 THEN 30 ELSE 0 END AS curve_score FROM listings
+ UNION ALL SELECT 'photo_count', CASE WHEN tube_distance IS NULL THEN 50 WHEN tube_distance<=2 THEN 30 WHEN tube_distance<=4 THEN 70 ELSE 100 END FROM listings) GROUP BY component, curve_score""", "listings")
+def config_curves(t):
+    """Two values of every listing scored from the table of configured curves (the short distance stands for a count)."""
+    from proplake.sources.readers import tier_curves_table
+
+    pairs = F.array(*[F.struct(F.lit(name).alias("component"), F.col(column).cast("long").alias("value")) for name, column in (("transport", "commute_primary"), ("photo_count", "tube_distance"))])
+    values = t.listings.select("uid", F.explode(pairs).alias("v")).select("uid", "v.*")
+    return score.curve_scores(values, tier_curves_table(t.spark)).groupBy("component", "curve_score").agg(F.count("*").alias("n"))
+
+
+SEARCH = {"defaults": {"min_price": 1500}, "profiles": [
+    {"name": "near", "locations": [{"name": "Hoxton", "region_id": "REGION^1"}, {"name": "Dalston", "region_id": "REGION^2"}], "overrides": {"max_price": 2500}},
+    {"name": "large", "locations": [{"name": "Archway", "region_id": "STATION^3"}], "overrides": {"min_bedrooms": 2, "max_bedrooms": 4, "max_price": 4000}}]}
+
+
+@query("config_profiles", """
+SELECT p.profile, p.location, count(*) AS n, count(*) FILTER (WHERE is_active) AS n_active FROM listings l
+JOIN (VALUES ('near','Hoxton',1500,2500,1,2),('near','Dalston',1500,2500,1,2),('large','Archway',1500,4000,2,4)) p(profile, location, lo, hi, few, many)
+ON l.price_numeric//100 BETWEEN p.lo AND p.hi AND l.bedrooms BETWEEN p.few AND p.many GROUP BY p.profile, p.location""", "listings")
+def config_profiles(t):
+    from proplake.sources.readers import profiles_table
+
+    return score.in_profiles(t.listings, profiles_table(t.spark, SEARCH)).groupBy("profile", "location").agg(
+        F.count("*").alias("n"), F.count_if("is_active").alias("n_active"))
+
+
+@query("config_region_scores", "SELECT uid, c_region AS region_pref FROM region_scored", "listings", ctes="""region_scored AS (SELECT uid, CASE WHEN region IS NULL OR region='' THEN 0
+ WHEN region IN ('Highbury, North London','Hoxton, North London','Dalston, East London') THEN 100 WHEN region IN ('Archway, London','Holborn, Central London') THEN 75
+ WHEN region IN ('Walthamstow','Hampstead, North West London') THEN 50 ELSE 75 END AS c_region FROM listings)""")
+def config_region_scores(t):
+    from proplake.sources.readers import region_tiers_table
+
+    return score.region_score_join(t.listings, region_tiers_table(t.spark).drop("tier")).select("uid", "region_pref")

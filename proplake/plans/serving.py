@@ -46,12 +46,16 @@ def decode_json_columns(t):
 @query("encode_json_columns", """
 SELECT uid, CASE WHEN images IS NULL OR images='' OR NOT json_valid(images) OR json_type(images)<>'ARRAY' THEN '[]'
   ELSE coalesce('["'||nullif(array_to_string(list_filter(CAST(json_extract_string(images,'$[*]') AS VARCHAR[]), lambda x: x IS NOT NULL AND x<>''),'","'),'')||'"]', '[]') END AS images_json,
- CASE WHEN json_valid(score_breakdown) THEN CAST(json_extract_string(score_breakdown,'$.price') AS INT) END AS price_back FROM listings""", "listings")
+ CASE WHEN json_valid(score_breakdown) THEN CAST(json_extract_string(score_breakdown,'$.price') AS INT) END AS price_back,
+ CASE WHEN plan IS NOT NULL THEN coalesce(CAST(json_array_length(plan,'$.rooms') AS INT), -1) END AS rooms_back, CAST(json_extract_string(plan,'$.total_size_sqft') AS DOUBLE) AS size_back
+FROM (SELECT uid, images, score_breakdown, CASE WHEN floorplan_data IS NOT NULL AND floorplan_data<>'' AND json_valid(floorplan_data) AND json_extract_string(floorplan_data,'$.error') IS NULL THEN floorplan_data END AS plan FROM listings) l""", "listings")
 def encode_json_columns(t):
-    """Arrays to text, and a map to text and back."""
-    decoded = t.listings.select("uid", J.string_array(F.col("images")).alias("images"), J.int_map(F.col("score_breakdown")).alias("breakdown"))
+    """Arrays to text, and a map and a struct to text and back."""
+    decoded = t.listings.select("uid", J.string_array(F.col("images")).alias("images"), J.int_map(F.col("score_breakdown")).alias("breakdown"), J.floorplan(F.col("floorplan_data")).alias("plan"))
     back = J.int_map(F.to_json("breakdown"))
-    return decoded.select("uid", F.to_json("images").alias("images_json"), F.try_element_at(back, F.lit("price")).alias("price_back"))
+    plan = J.floorplan(F.to_json("plan"))
+    rooms = F.when(plan.isNotNull(), F.coalesce(F.size(plan["rooms"]), F.lit(-1)))
+    return decoded.select("uid", F.to_json("images").alias("images_json"), F.try_element_at(back, F.lit("price")).alias("price_back"), rooms.alias("rooms_back"), plan["total_size_sqft"].alias("size_back"))
 
 
 FILTER_CASES = {
