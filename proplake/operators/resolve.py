@@ -418,13 +418,25 @@ def matching_cluster(arrivals: DataFrame, clustered: DataFrame) -> DataFrame:
 def cluster_assign_incremental(arrivals: DataFrame, clustered: DataFrame) -> DataFrame:
     """(uid, cluster_id, is_new) for a batch: join the smallest matching cluster, else cluster the rest among themselves.
 
-    Existing clusters are not merged here; a later full ``dup_clusters`` heals bridges.
+    Existing clusters are not merged here; a later full ``dup_clusters`` heals bridges. ``refreshed_clusters`` gives the rows
+    that an assignment changes in the cluster table.
     """
     joined = cut_lineage(matching_cluster(arrivals, clustered))
     rest = arrivals.join(joined, "uid", "left_anti")
     return joined.withColumn("is_new", F.lit(False)).unionByName(dup_clusters(rest).withColumn("is_new", F.lit(True)))
 
 
+def refreshed_clusters(assigned: DataFrame, clustered: DataFrame, preferred: str = PREFERRED_PORTAL) -> DataFrame:
+    """Rows of the cluster table that a batch changes: of every cluster with an arrival, primary, prices, count, centroid and
+    times over its old and new members. ``assigned`` holds the arrivals with their cluster_id; columns it lacks are NULL.
+
+    Only members of touched clusters are kept of the store, by a semi join on the batch's clusters.
+    """
+    touched = assigned.select("cluster_id").distinct()
+    members = clustered.join(touched, "cluster_id", "left_semi").unionByName(assigned, allowMissingColumns=True)
+    return cluster_table(members, preferred)
+
+
 def cluster_member_counts(df: DataFrame, clusters: DataFrame) -> DataFrame:
     """Stored member count, else the number of active members seen in the listings, else 1."""
     counted = df.filter(F.col("is_active") & F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count("*").alias("seen"))

@@ -101,6 +101,27 @@ def cluster_assign_incremental(t):
     return done.select("uid", F.when(~F.col("is_new"), F.col("cluster_id")).alias("joined_cluster"), "is_new")
 
 
+FACTS = "uid, portal, bedrooms, price_numeric, latitude, longitude, first_seen, last_scraped, cluster_id"
+EXTRA = ["size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary"]
+TOGETHER = f"""
+joined AS (SELECT a.*, h.cluster_id FROM arrivals a JOIN (SELECT uid, min(cluster_id) AS cluster_id FROM hits GROUP BY uid) h ON h.uid=a.uid),
+together AS (SELECT {FACTS}, {', '.join(EXTRA)} FROM clustered WHERE cluster_id IN (SELECT cluster_id FROM joined)
+ UNION ALL SELECT {FACTS}, {', '.join('NULL' for _ in EXTRA)} FROM joined)"""
+
+
+@query("cluster_assign_refresh", """
+SELECT c.cluster_id, max(c.bedrooms) AS bedrooms, coalesce(min(c.price_numeric//100),0) AS price_pcm_min, coalesce(max(c.price_numeric//100),0) AS price_pcm_max,
+ count(*) AS member_count, any_value(p.primary_uid) AS primary_uid, min(c.first_seen) AS first_seen, max(c.last_scraped) AS last_seen,
+ any_value(x.centroid_lat) AS centroid_lat, any_value(x.centroid_lng) AS centroid_lng
+FROM together c JOIN primaries p ON p.cluster_id=c.cluster_id JOIN centres x ON x.cluster_id=c.cluster_id GROUP BY c.cluster_id""",
+       "listings", "arrivals", ctes=ARRIVALS + ",\n" + TOGETHER + ",\n" + (PRIMARY + ",\n" + CENTROID).replace("clustered", "together"), recursive=True)
+def cluster_assign_refresh(t):
+    """The cluster rows that a batch of arrivals changes."""
+    stored = clustered(t)
+    joined = cut_lineage(t.arrivals.join(R.matching_cluster(t.arrivals, stored), "uid"))
+    return rounded_centres(R.refreshed_clusters(joined, stored.select(*[c.strip() for c in FACTS.split(",")], *EXTRA)))
+
+
 STORED = "stored AS (SELECT c_custkey AS cluster_id, CASE WHEN c_acctbal>2000 THEN CAST(1+c_nationkey AS BIGINT) END AS member_count FROM customer)"
 
 

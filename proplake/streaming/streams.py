@@ -181,8 +181,8 @@ def upsert_batches(root: str, as_of: str, order: list[str], schema: StructType)
 def cluster_batches(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: assign each arrival to the smallest matching cluster, of the start or of an earlier batch, or a new one.
 
-    ``root``/members holds clustered listings by batch (the start under batch -1), ``root``/clusters the refreshed facts of the
-    clusters a batch touched. A batch reads earlier batches only and owns its folders, so a replay writes the same again.
+    ``root``/members holds clustered listings by batch (the start under batch -1), ``root``/clusters the refreshed rows of the
+    clusters a batch touched: primary, prices, count, centroid, times. A batch reads earlier batches only and owns its folders, so a replay writes the same again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         members = batch.sparkSession.read.parquet(f"{root}/members")
@@ -191,12 +191,8 @@ def cluster_batches(root: str) -> Callable[[DataFrame, int], None]:
         done = resolve.cluster_assign_incremental(arrivals, known.select(*arrivals.columns, "cluster_id"))
         sinks.append_events(arrivals.join(done, "uid").select(*arrivals.columns, "cluster_id", "is_new"), f"{root}/members", batch_id)
         new = batch.sparkSession.read.parquet(f"{root}/members/batch_id={batch_id}")
-        touched = new.select("cluster_id").distinct()
-        rows = known.unionByName(new, allowMissingColumns=True).join(touched, "cluster_id", "left_semi")
-        facts = rows.groupBy("cluster_id").agg(
-            F.count("*").alias("member_count"), F.min("price_numeric").alias("price_min"), F.max("price_numeric").alias("price_max"),
-            F.min("first_seen").alias("first_seen"), F.max("last_scraped").alias("last_seen"))
-        sinks.append_events(facts, f"{root}/clusters", batch_id)
+        kinds = {c: F.lit(None).cast("string").alias(c) for c in resolve.ENRICHMENT_FIELDS if c not in new.columns and c not in known.columns}
+        sinks.append_events(resolve.refreshed_clusters(new.select("*", *kinds.values()), known), f"{root}/clusters", batch_id)
 
     return write
 

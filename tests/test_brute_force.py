@@ -321,13 +321,13 @@ def test_clusters_of_an_earlier_batch_are_joined(spark):
 
     def state():
         members = {r["uid"]: (r["cluster_id"], r["is_new"]) for r in spark.read.parquet(f"{root}/members").collect()}
-        facts = {(r["batch_id"], r["cluster_id"]): r["member_count"] for r in spark.read.parquet(f"{root}/clusters").collect()}
+        facts = {(r["batch_id"], r["cluster_id"]): (r["member_count"], r["primary_uid"], r["price_pcm_min"], r["price_pcm_max"]) for r in spark.read.parquet(f"{root}/clusters").collect()}
         return members, facts
 
     for k, rows in enumerate(batches):
         write(spark.createDataFrame(rows, schema), k)
     members, facts = state()
     assert members == {"old": ("old", False), "a1": ("old", False), "b1": ("b1", True), "c1": ("b1", False), "d1": ("d1", True)}
-    assert facts == {(0, "old"): 2, (0, "b1"): 1, (1, "b1"): 2, (1, "d1"): 1}
+    assert facts == {(0, "old"): (2, "a1", 2_000, 2_010), (0, "b1"): (1, "b1", 3_000, 3_000), (1, "b1"): (2, "b1", 3_000, 3_010), (1, "d1"): (1, "d1", 9_000, 9_000)}
     write(spark.createDataFrame(batches[1], schema), 1)
     assert state() == (members, facts)
