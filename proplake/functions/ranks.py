@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from proplake.session import cut_lineage
 
-CUTS = 63
+SLICE_ROWS = 100_000  # distinct values that a task orders
+MOST_SLICES = 4_096  # bounds the cut points that the plan holds
 
 
-def value_positions(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> DataFrame:
+def slice_cuts(counts: DataFrame, value: str, slice_rows: int = SLICE_ROWS) -> list:
+    """Ascending cut points that leave about ``slice_rows`` rows of ``counts`` in each slice."""
+    slices = min(MOST_SLICES, -(-counts.count() // slice_rows))
+    if slices < 2:
+        return []
+    fractions = [i / slices for i in range(1, slices)]
+    return sorted(set(counts.agg(F.percentile_approx(value, fractions, max(10_000, 20 * slices)).alias("cuts")).first()["cuts"] or []))
+
+
+def value_positions(df: DataFrame, value: str, groups: tuple[str, ...] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(groups, value, n, before): occurrences of each value and how many rows of the group are smaller.
 
-    Equal values combine first. Distinct values are split at at most ``CUTS`` approximate quantiles; positions run inside a
-    slice and the slices' totals are added. Any cut points give the same exact result.
+    Equal values combine first. Distinct values are cut into slices by their number; positions run inside a group's part of a
+    slice, so no task orders more than a slice, and the slices' totals are added. Any cut points give the same exact result.
     """
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")))
-    fractions = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    row = counts.agg(F.percentile_approx(value, fractions, 10_000).alias("cuts")).first()
-    cuts = sorted(set(row["cuts"] or []))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    cuts = slice_cuts(counts, value, slice_rows)
+    if not cuts:
+        order = Window.partitionBy(*groups, F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return cut_lineage(counts.select(*groups, value, "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
+    edges = F.array(*[F.lit(c) for c in cuts])
     sliced = counts.withColumn("slice", F.size(F.filter(edges, lambda c: c < F.col(value))))
     totals = sliced.groupBy(*groups, "slice").agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy(*groups, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

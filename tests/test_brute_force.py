@@ -14,6 +14,7 @@ from proplake import config as C
 from proplake.functions.fuzzy import common_subsequence, token_set_score
 from proplake.functions.graph import connected_components
 from proplake.functions.hull import farthest_pair, hull
+from proplake.functions import ranks
 from proplake.functions.ranks import spearman
 from proplake.operators import enrich, evaluate, gate, lifecycle, merge, resolve, views
 
@@ -246,6 +247,22 @@ def test_exclusive_p95_matches_standard_library(spark):
     assert got["small"]["p95"] == 6
 
 
+def test_slices_follow_the_values_of_a_large_group(spark):
+    draw = random.Random(2)
+    rows = [("hot" if draw.random() < 0.9 else f"g{i % 5}", round(draw.lognormvariate(0, 2), 3)) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    counts = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    cuts = ranks.slice_cuts(counts, "x", 100)
+    sizes = Counter(sum(c < x for c in cuts) for g, x in set(rows) if g == "hot")
+    assert len(sizes) > 30 and max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes)
+    positions = lambda slice_rows: sorted(map(tuple, ranks.value_positions(df, "x", ("g",), slice_rows).collect()))
+    want, seen = [], Counter()
+    for (g, x), n in sorted(Counter(rows).items()):
+        want.append((g, x, n, seen[g]))
+        seen[g] += n
+    assert positions(100) == positions(10**6) == want
+
+
 def test_spearman_ties(spark):
     rows = [(1, 10), (2, 20), (2, 20), (3, 15), (4, 40), (4, None)]
     got = spearman(spark.createDataFrame(rows, "x int, y int"), "x", "y").first()
