@@ -29,7 +29,7 @@ WIDTH = 48
 MATCHES = 24  # a pair of similarity 0.85 agrees in fewer with probability 2e-8
 POSTED = WIDTH - MATCHES + 1
 SKETCH_BITS = 16
-MARK_BITS = 27  # a table of 16 MB; beyond a hundred million members it only spares less
+MARK_BITS = 25  # a table of 4 MB; beyond thirty million members it only spares less
 BLOCK_ROWS = 2_048
 BLOCK_SHINGLES = 2_000_000
 FACTORS = np.random.default_rng(5).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)

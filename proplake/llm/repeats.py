@@ -36,7 +36,7 @@ GRAM = 32
 OFFSETS = MATCH - GRAM + 1
 PIECE_HOT = 64  # surroundings of one anchor in a piece of text from which it goes by windows
 HOT = 512  # and among all
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 GROUPS_PER_PARTITION = 3
 
 FOUND = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("back", "u1"), ("fore", "u1"), ("flag", "u1")])

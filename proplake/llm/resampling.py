@@ -9,7 +9,7 @@ log weight / temperature + Gumbel noise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,16 +69,23 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both >> BITS + 1, both & (2 << BITS) - 1
 
 
-def log_weights(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
-    """The log weight of each text; the arrays behind it span about PIECE_BYTES of text at a time."""
-    out, start, held = [], 0, 0
-    for end, text in enumerate(texts, 1):
-        held += len(text)
-        if held >= PIECE_BYTES or end == len(texts):
-            owner, bucket = buckets(texts[start:end])
-            out.append(np.bincount(owner, weights=ratio[bucket], minlength=end - start))
-            start, held = end, 0
-    return np.concatenate(out).round(9) if out else np.zeros(0)
+def log_weights(texts: Iterable[bytes], *ratios: np.ndarray) -> np.ndarray:
+    """By ratio, the log weight of each text; texts are hashed once, about PIECE_BYTES of them at a time."""
+    out, held, size = [np.zeros((len(ratios), 0))], [], 0
+
+    def weigh() -> np.ndarray:
+        owner, bucket = buckets(held)
+        return np.stack([np.bincount(owner, weights=ratio[bucket], minlength=len(held)) for ratio in ratios])
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PIECE_BYTES:
+            out.append(weigh())
+            held, size = [], 0
+    if held:
+        out.append(weigh())
+    return np.concatenate(out, axis=1).round(9)
 
 
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
@@ -146,7 +153,7 @@ def weighed(documents: DataFrame, model: Model, into: str = "log_weight") -> Dat
     def weigh(texts):
         import pandas as pd
 
-        return pd.Series(log_weights([(t or "").encode("utf-8", "surrogatepass") for t in texts], ratio))
+        return pd.Series(log_weights(((t or "").encode("utf-8", "surrogatepass") for t in texts), ratio)[0])
 
     return spare.withColumn(into, F.pandas_udf(weigh, "double")("text"))
 
@@ -162,11 +169,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     if not target.any():
         return Model(np.zeros(len(raw), np.float32), float("-inf"))
     ratios = [log_ratio(raw, target, s) for s in SIGNIFICANT]
+    sparse = [(at := np.flatnonzero(r).astype(np.int32), r[at]) for r in ratios]  # what tasks are sent
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = []
+        for at, values in sparse:
+            dense.append(np.zeros(2 << BITS, np.float32))
+            dense[-1][at] = values
         for batch in pieces(batches, "text"):
-            texts = _encoded(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("good"), *[pa.array(log_weights(texts, r)) for r in ratios]], names=["good", *[f"w{i}" for i in range(len(ratios))]])
+            found = log_weights(_encoded(batch), *dense)
+            yield pa.RecordBatch.from_arrays([batch.column("good"), *map(pa.array, found)], names=["good", *[f"w{i}" for i in range(len(found))]])
 
     held = documents.select("doc_id", "text").join(F.broadcast(marked.filter("held")), "doc_id").select("text", "good")
     rows = held.mapInArrow(weigh, "good boolean, " + ", ".join(f"w{i} double" for i in range(len(ratios)))).collect()  # half of MOST_LABELLED at most
