@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from proplake.llm.batches import pieces
-from proplake.llm.words import Recent, byte_table, encoder
+from proplake.llm.words import ENCODED_BYTES, Recent, byte_table, encoder
 
 WINDOW = 16  # a power of two
 MEAN_CHUNK = 256  # a power of two
@@ -125,7 +125,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     """(key, ids array<int>) of every row. NULL and empty texts give no ids; repeated rows give equal rows; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary)[0]
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, ENCODED_BYTES):
             found = [np.frombuffer(b, dtype="<i4") for b in code.encode([t or "" for t in batch.column(text).to_pylist()])]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
@@ -152,7 +152,7 @@ def round_trip(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, back = codec(vocabulary)
         decimal = [str(i) for i in range(len(back.bytes_of))]
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", ENCODED_BYTES):
             counts, of_ids, of_text = [], [], []
             for data in code.encode([t or "" for t in batch.column("text").to_pylist()]):
                 ids = np.frombuffer(data, dtype="<u4").tolist()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from proplake.llm.batches import pieces
 from proplake.llm.ordered import in_runs
-from proplake.llm.words import encoder
+from proplake.llm.words import ENCODED_BYTES, encoder
 
 BLOCK = 1 << 16
 CHUNK = 1 << 19  # a chunk is closed when it holds this many ids
@@ -81,7 +81,7 @@ def write_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 ("part", pa.int32()), ("chunk", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.string()),
                 ("plane_ends", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, ENCODED_BYTES):
             part = batch.column("_run")[0].as_py()  # a partition is one run
             for doc, ids in zip(batch.column(key).to_pylist(), code.encode([t or "" for t in batch.column(text).to_pylist()])):
                 docs.append(doc)

@@ -15,8 +15,9 @@ from operator import is_
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_500_000
 JOINED_WORDS = 2_000
+ENCODED_BYTES = 2 << 20  # of texts encoded at once
 UNSAFE = re.compile(r"\s[ \n]")  # white space before a space or line end: what stands round it is encoded whole
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -177,7 +178,7 @@ class WordEncoder:
         self.parts.update(self._learn_parts(new[True]))
         self.words.update(self._learn(new[False]))
         ids_of = self.words.__getitem__, self.parts.__getitem__
-        return [b"".join([self.heads[head], *map(ids_of[u], c)]) for head, c, u in zip(heads, cut, unsafe)]
+        return [self.heads[head] + b"".join(map(ids_of[u], c)) for head, c, u in zip(heads, cut, unsafe)]
 
 
 _encoders: dict[str, WordEncoder] = {}
