@@ -115,14 +115,16 @@ def nearest_region(t):
     return G.nearest_region(t.listings.drop("region"), t.centroids).select("uid", "region")
 
 
+#: Nearest by (distance, number) as a pair: adding numbers of any size to a scaled distance lets farther points win.
+NEAREST_SPOT = NEAREST.replace("texts.", "p.").replace("centroids c", "spots c").replace("dist*1000000+ord", "(dist, ord)")
 STATION_POINTS = """spots AS (SELECT station AS name, lat, lng, CAST(row_number() OVER (ORDER BY station) AS INT) AS ord FROM stations)"""
 
 
-@query("nearest_region_rings", f"SELECT l.uid, r.region FROM (SELECT latitude, longitude, CASE WHEN latitude IS NOT NULL THEN {NEAREST.replace('texts.', 'p.').replace('centroids c', 'spots c')} END AS region FROM (SELECT DISTINCT latitude, longitude FROM listings) p) r JOIN listings l ON l.latitude IS NOT DISTINCT FROM r.latitude AND l.longitude IS NOT DISTINCT FROM r.longitude",
+@query("nearest_region_rings", f"SELECT l.uid, r.region FROM (SELECT latitude, longitude, CASE WHEN latitude IS NOT NULL THEN {NEAREST_SPOT} END AS region FROM (SELECT DISTINCT latitude, longitude FROM listings) p) r JOIN listings l ON l.latitude IS NOT DISTINCT FROM r.latitude AND l.longitude IS NOT DISTINCT FROM r.longitude",
        "listings", "stations", ctes=STATION_POINTS)
 def nearest_region_rings(t):
     # against a point table that grows with the data
-    spots = t.stations.select(F.col("station").alias("name"), "lat", "lng", F.expr("cast(substring(station, 10) as int)").alias("ord"))
+    spots = t.stations.select(F.col("station").alias("name"), "lat", "lng", F.col("station").alias("ord"))
     return G.nearest_region(t.listings, spots).select("uid", "region")
 
 
