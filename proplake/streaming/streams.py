@@ -46,52 +46,65 @@ def stream_deactivate(sightings: DataFrame, days: int, delay: str = "1 hour") ->
     return runs.select("uid", "last_scraped", F.col("session_window.end").alias("deactivated_at"))
 
 
-NONE_WAIT = pickle.dumps((np.zeros((2, 0), np.int64), []))
+NONE_KNOWN = pickle.dumps(([], [], [], np.zeros((3, 0), np.int64), []))
 FORGET_DAYS = 400
+KEY_GROUPS = 2_048  # groups of keys that share a call and a state row; fixed for the life of a checkpoint
 
 
-def _keyed(df: DataFrame, step: Callable, out_schema: str, delay: str, forget: int) -> DataFrame:
+def _keyed(df: DataFrame, step: Callable, out_schema: str, delay: str, forget: int, groups: int = KEY_GROUPS) -> DataFrame:
     """Fold each key's rows in (ts, id) order through ``step(uid, state, ts, id, value) -> (state, output or None)``.
 
-    ``df`` has uid, ts, id and value (string). Rows wait in the key's state until the watermark has passed them, so rows that
-    arrive out of order by up to ``delay``, in one batch or over several, are folded in order; later ones are dropped. The state
-    is a number and the rows that wait; it goes when nothing waits and the key has been quiet for ``forget`` microseconds.
+    ``df`` has uid, ts, id and value (string). Rows wait in the state until the watermark has passed them, so rows that arrive
+    out of order by up to ``delay``, in one batch or over several, are folded in order; later ones are dropped. Keys share calls
+    by a hash, ``groups`` of them, since a call costs more than the rows of one key. What is kept of a key is a number and the
+    rows that wait; it goes when nothing waits and the key has been quiet for ``forget`` microseconds.
     """
     import pandas as pd
 
     names = [part.split()[0] for part in out_schema.split(", ")]
 
     def run(key, batches, state):
-        held, last, waiting = state.get if state.exists else (None, 0, NONE_WAIT)
-        places, values = pickle.loads(waiting)
+        uids, held, last, places, values = pickle.loads(state.get[0] if state.exists else NONE_KNOWN)
+        number = {uid: i for i, uid in enumerate(uids)}
         if not state.hasTimedOut:
             parts = [places]
             for batch in batches:
-                parts.append(np.stack((batch["ts"].to_numpy(), batch["id"].to_numpy())))
+                owners = [number.setdefault(uid, len(number)) for uid in batch["uid"].tolist()]
+                parts.append(np.stack((np.array(owners, np.int64), batch["ts"].to_numpy(), batch["id"].to_numpy())))
                 values += batch["value"].tolist()
             places = np.concatenate(parts, axis=1)
-        order = np.lexsort(places[::-1])
-        places, values = places[:, order], [values[i] for i in order.tolist()]
+            uids = list(number)
+            held += [None] * (len(uids) - len(held))
+            last += [0] * (len(uids) - len(last))
         passed = state.getCurrentWatermarkMs() * 1_000
-        ready = int(np.searchsorted(places[0], passed, side="right"))
+        ready = np.flatnonzero(places[1] <= passed)
+        ready = ready[np.lexsort(places[::-1, ready])]
         out = []
-        for ts, number, value in zip(*places[:, :ready].tolist(), values):
-            last = ts
-            held, produced = step(key[0], held, ts, number, value)
+        for owner, ts, row, at in zip(*places[:, ready].tolist(), ready.tolist()):
+            last[owner] = ts
+            held[owner], produced = step(uids[owner], held[owner], ts, row, values[at])
             if produced is not None:
                 out.append(produced)
-        rows, values = places[:, ready:], values[ready:]
-        if not values and passed >= last + forget:
+        wait = np.flatnonzero(places[1] > passed)
+        places, values = places[:, wait], [values[i] for i in wait.tolist()]
+        due = {i: at + forget for i, at in enumerate(last)}
+        for owner, ts in zip(*places[:2, np.argsort(-places[1])].tolist()):
+            due[owner] = ts  # its earliest row that waits comes last
+        waiting = set(places[0].tolist())
+        kept = [i for i in due if i in waiting or passed < due[i]]
+        if kept:
+            places[0] = np.searchsorted(kept, places[0])
+            state.update((pickle.dumps(([uids[i] for i in kept], [held[i] for i in kept], [last[i] for i in kept], places, values)),))
+            state.setTimeoutTimestamp(max(min(due[i] for i in kept), passed) // 1_000 + 1)
+        elif state.exists:
             state.remove()
-        else:
-            state.update((held, last, pickle.dumps((rows, values))))
-            due = int(rows[0, 0]) if values else last + forget
-            state.setTimeoutTimestamp(max(due, passed) // 1_000 + 1)
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     at = F.unix_micros(F.col("event_time"))
-    rows = df.withColumnRenamed("ts", "event_time").withWatermark("event_time", delay).select("uid", "event_time", at.alias("ts"), "id", F.col("value").cast("string").alias("value"))
-    return rows.groupBy("uid").applyInPandasWithState(run, out_schema, "held long, last long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = df.withColumnRenamed("ts", "event_time").withWatermark("event_time", delay).select(
+        F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("keys"), "uid", "event_time", at.alias("ts"), "id", F.col("value").cast("string").alias("value"))
+    return rows.groupBy("keys").applyInPandasWithState(run, out_schema, "known binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_freshness_fixed(sightings: DataFrame, hours: float, delay: str = "1 hour") -> DataFrame:

@@ -80,3 +80,27 @@ def test_upsert_rewrites_touched_buckets_and_replays_alike(spark, folder):
     assert held("1") == done
     rewritten = [b for b, v in S.manifest(spark, folder, "1").items() if v == "1"]
     assert 1 <= len(rewritten) <= 2 < S.BUCKETS
+
+
+def test_keys_that_share_a_group_are_folded_apart(spark, folder):
+    """Many keys in few groups: rows wait, come out of order and are forgotten for each key alone."""
+    batches = [[(f"u{k}", 10 * n + k, 24 * n - (k + n) % 3, k % 4 + n // 2) for k in range(25)] for n in range(8)]
+    batches[5] = batches[5][::2]
+    rows = arriving(spark, folder, [*batches, END]).select("uid", F.col("event_id").alias("id"), "ts", F.col("price").alias("value"))
+
+    def step(uid, held, ts, number, value):
+        return int(value), (uid, number, held, int(value))
+
+    out = S._keyed(rows, step, "uid string, id long, held long, value long", "4 hours", 30 * 3_600 * 1_000_000, groups=3)
+    found = {(u, i): (h, v) for u, i, h, v in run(spark, out, folder)}
+    wanted = {}
+    for k in range(25):
+        before = None
+        for uid, number, hours, price in sorted((r for b in batches for r in b if r[0] == f"u{k}"), key=lambda r: r[2]):
+            if before and hours - before[0] > 40:  # forgotten: quiet for 30 hours, and the watermark has passed that
+                before = None
+            wanted[uid, number] = (before and before[1], price)
+            before = hours, price
+    assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in wanted.items()}
+    kept = {k: v for k, v in wanted.items() if v[0] is not None}
+    assert {k: found[k] for k in kept} == kept
