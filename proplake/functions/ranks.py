@@ -9,6 +9,7 @@ from proplake.session import cut_lineage
 
 SLICE_ROWS = 100_000  # distinct values that a task orders
 MOST_SLICES = 4_096  # bounds the cut points that the plan holds
+PLACE_BITS = 33  # of monotonically_increasing_id, below the number of the partition
 
 
 def slice_cuts(counts: DataFrame, value: str, slice_rows: int = SLICE_ROWS) -> list:
@@ -47,13 +48,17 @@ def value_at(position: Column, value: str) -> Column:
 
 
 def with_position(df: DataFrame, keys: list[Column], into: str, first: int = 1) -> DataFrame:
-    """``df`` plus the place of each row in the order of ``keys``, from partition offsets of a sorted, written-out table."""
-    ordered = cut_lineage(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # one small row per partition
+    """``df`` plus the place of each row in the order of ``keys``, from partition offsets of a sorted, written-out table.
+
+    The increasing id taken behind the sort holds a row's partition and its place in it, so nothing is sorted again.
+    """
+    ordered = cut_lineage(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", PLACE_BITS).alias("_part")
+    sizes = ordered.groupBy(part).agg(F.count("*").alias("_n"))  # one small row per partition
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + (first - 1)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    return ordered.join(F.broadcast(offsets), "_part").withColumn(into, F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
+    offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + first).alias("_offset"))
+    place = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(into, place).drop("_at", "_part", "_offset")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
