@@ -348,3 +348,19 @@ def test_clusters_of_an_earlier_batch_are_joined(spark):
     assert facts == {(0, "old"): (2, "a1", 2_000, 2_010), (0, "b1"): (1, "b1", 3_000, 3_000), (1, "b1"): (2, "b1", 3_000, 3_010), (1, "d1"): (1, "d1", 9_000, 9_000)}
     write(spark.createDataFrame(batches[1], schema), 1)
     assert state() == (members, facts)
+
+
+def test_label_rollup_counts_names_once(spark):
+    """Numbered and named bedrooms that share a name are one; a listing whose photos have no room keeps its row."""
+    rng = random.Random(5)
+    rows = [(f"u{i % 40}", i // 40, rng.choice(["bedroom", "bedroom", "kitchen", "hallway", None]), rng.choice([None, "", "b0", "bedroom_1", "bedroom_2", "bedroom_9"]),
+             rng.choice([True, False, None]), 50) for i in range(400)] + [("none", 0, None, None, True, 3)]
+    photos = spark.createDataFrame(rows, "uid string, photo_idx int, room_truth string, bedroom_slug string, has_carpet_truth boolean, bedrooms_declared int")
+    found = {r["uid"]: (r["bedrooms_seen"], r["bedrooms_with_carpet"]) for r in evaluate.label_expected_rollup(photos).collect()}
+    names, count = {u: {} for u, *_ in rows}, Counter()
+    for uid, _, room, slug, carpet, _ in sorted(rows, key=lambda r: r[1]):
+        if room == "bedroom":
+            count[uid] += not slug
+            name = slug or f"bedroom_{count[uid]}"
+            names[uid][name] = names[uid].get(name, False) or bool(carpet)
+    assert found == {u: (len(n), sum(n.values())) for u, n in names.items()}
