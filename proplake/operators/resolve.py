@@ -24,6 +24,7 @@ from proplake.session import cut_lineage
 
 FINE_EDGE_M = DUPLICATE_RADIUS_M / 3 ** 0.5 * 0.999  # any two points of one such cube are within the radius
 BLOCK = ("bedrooms", "kind", "block")
+KEY_COLUMNS = ("uid", "bedrooms", "latitude", "longitude")  # that a listing's keys hold unchanged
 LIST_WORK = 4_096  # pairs of points that two cubes compare one by one
 POINT = ("bedrooms", "pcm", "latitude", "longitude", "kind", "node", "component", "n")
 ENRICHMENT_FIELDS = ("size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary")
@@ -69,18 +70,18 @@ def _runs(groups: DataFrame, block: list[str]) -> DataFrame:
 
 
 def match_blocks(keys: DataFrame) -> DataFrame:
-    """``keys`` of usable listings with ``fine``, the cube of the place, and ``block``: the postcode of P, the cube of G.
+    """``keys`` with ``fine``, the cube of the place, and ``block``: the postcode of P, the cube of G, NULL of neither.
 
     Written with the cube, so that the block's name does not compute it again.
     """
     fine = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
-    placed = cut_lineage(keys.filter("kind IS NOT NULL").withColumn("fine", fine))
+    placed = cut_lineage(keys.withColumn("fine", F.when(F.col("kind").isNotNull(), fine)))
     return placed.withColumn("block", F.when(F.col("kind") == "P", F.col("pc")).otherwise(F.concat_ws(" ", "fine.x", "fine.y", "fine.z")))
 
 
 def match_runs(blocks: DataFrame) -> DataFrame:
     """(BLOCK, pcm, n, node): distinct prices of each block and the run they are of."""
-    groups = blocks.groupBy(*BLOCK, "pcm").agg(F.min("uid").alias("rep"), F.count("*").alias("n"))
+    groups = cut_lineage(blocks.groupBy(*BLOCK, "pcm").agg(F.min("uid").alias("rep"), F.count("*").alias("n")))  # no task groups and sorts
     return _runs(groups, list(BLOCK)).drop("rep")
 
 
@@ -309,21 +310,30 @@ def dup_match_counts(df: DataFrame) -> DataFrame:
     return p_rows.unionByName(g_rows).groupBy("uid").agg(F.sum("hits").alias("n_matches")).filter("n_matches > 0")
 
 
-def dup_clusters(df: DataFrame) -> DataFrame:
-    """(uid, cluster_id) for every listing: the transitive closure of matching, named by the smallest uid.
+def with_cluster_id(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, cluster_id, columns) for every listing: the transitive closure of matching, named by the smallest uid.
 
     The closure runs over price runs (one node per run), not over listings, so a block with a third of all rows is one node.
+    ``columns`` of ``df`` travel with the keys, so that listings are not shuffled by uid to meet their clusters.
     """
-    keys = match_keys(df)
-    blocks = match_blocks(keys)  # narrow, and read by every step below
+    keep = tuple(c for c in dict.fromkeys(columns) if c not in KEY_COLUMNS)
+    found = match_blocks(match_keys(df, keep=keep))  # narrow, and read by every step below
+    blocks = found.filter("kind IS NOT NULL")
     runs = cut_lineage(match_runs(blocks))
     spots = blocks.filter("fine IS NOT NULL").select(*BLOCK, "pcm", "latitude", "longitude", "fine").distinct()
     points = cut_lineage(spots.join(runs.drop("n"), [*BLOCK, "pcm"]))
     components = place_components(points)
     named = runs.join(components, "node", "left").select(*BLOCK, "pcm", "n", F.coalesce("component", "node").alias("cluster_id"))
-    rows = join_by_weight(blocks.select("uid", *BLOCK, "pcm"), named, [*BLOCK, "pcm"], "n", materialise=True)
-    alone = keys.filter("kind IS NULL").select("uid", F.col("uid").alias("cluster_id"))
-    return rows.select("uid", "cluster_id").unionByName(alone)
+    out = [c for c in dict.fromkeys(("uid", "cluster_id", *columns))]
+    held = list(dict.fromkeys(("uid", *BLOCK, "pcm", *columns)))
+    rows = join_by_weight(blocks.select(*held), named, [*BLOCK, "pcm"], "n", materialise=True)
+    alone = found.filter("kind IS NULL").withColumn("cluster_id", F.col("uid"))
+    return rows.select(*out).unionByName(alone.select(*out))
+
+
+def dup_clusters(df: DataFrame) -> DataFrame:
+    """(uid, cluster_id) for every listing."""
+    return with_cluster_id(df)
 
 
 def primary_rank(preferred: str = PREFERRED_PORTAL) -> Column:
@@ -338,19 +348,24 @@ def choose_primary(clustered: DataFrame, preferred: str = PREFERRED_PORTAL) -> D
         "cluster_id", F.col("best.u").alias("primary_uid"))
 
 
-def scattered_clusters(clustered: DataFrame, radius: float = DUPLICATE_RADIUS_M) -> DataFrame:
-    """cluster_id of clusters with two located members further apart than ``radius``.
+def _extents() -> list[Column]:
+    """Aggregates: how far the located members of a cluster reach on each axis."""
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    axes = {n: F.when(located, v) for n, v in space(F.col("latitude"), F.col("longitude")).items()}
+    return [(F.max(v) - F.min(v)).alias(f"_d{n}") for n, v in axes.items()]
+
+
+def _far(clustered: DataFrame, extents: DataFrame, radius: float) -> DataFrame:
+    """cluster_id of scattered clusters, given the extents of each.
 
     Extents settle nearly all clusters: wider than the radius on one axis means scattered, a box diagonal within it means not.
     Of the rest every task keeps the convex hull of its places, hulls are merged, and the farthest pair is read off the merged
     hull: no places are paired.
     """
-    places = clustered.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("cluster_id", "latitude", "longitude")
-    axes = space(F.col("latitude"), F.col("longitude"))
-    extents = places.groupBy("cluster_id").agg(*[(F.max(v) - F.min(v)).alias(f"d{n}") for n, v in axes.items()])
     slack = 0.001  # metres: leave borderline boxes to the exact test
-    wide = F.greatest("dx", "dy", "dz") > radius + slack
-    tight = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2) < radius - slack
+    wide = F.greatest("_dx", "_dy", "_dz") > radius + slack
+    tight = F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2 + F.col("_dz") ** 2) < radius - slack
+    places = clustered.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("cluster_id", "latitude", "longitude")
     open_places = places.join(extents.filter(~wide & ~tight).select("cluster_id"), "cluster_id", "left_semi").distinct()
     kind = clustered.schema["cluster_id"].dataType.simpleString()
     rims = open_places.sortWithinPartitions("cluster_id").mapInPandas(hulls_of_runs, f"cluster_id {kind}, latitude double, longitude double")
@@ -362,24 +377,36 @@ def scattered_clusters(clustered: DataFrame, radius: float = DUPLICATE_RADIUS_M)
     return extents.filter(wide).select("cluster_id").unionByName(far)
 
 
+def scattered_clusters(clustered: DataFrame, radius: float = DUPLICATE_RADIUS_M) -> DataFrame:
+    """cluster_id of clusters with two located members further apart than ``radius``."""
+    return _far(clustered, cut_lineage(clustered.groupBy("cluster_id").agg(*_extents())), radius)
+
+
+def _with_centroid(clustered: DataFrame, *measures: Column) -> DataFrame:
+    """(cluster_id, measures, centroid_lat, centroid_lng) from one aggregation, which is written since its extents are read again."""
+    facts = cut_lineage(clustered.groupBy("cluster_id").agg(
+        *measures, F.avg("latitude").alias("_lat"), F.avg("longitude").alias("_lng"), *_extents()))
+    far = _far(clustered, facts.select("cluster_id", "_dx", "_dy", "_dz"), DUPLICATE_RADIUS_M).withColumn("_far", F.lit(True))
+    return facts.join(far, "cluster_id", "left").withColumns({
+        "centroid_lat": F.when(F.col("_far").isNull(), F.col("_lat")), "centroid_lng": F.when(F.col("_far").isNull(), F.col("_lng"))
+    }).drop("_lat", "_lng", "_dx", "_dy", "_dz", "_far")
+
+
 def cluster_centroid(clustered: DataFrame) -> DataFrame:
     """Mean place of each cluster whose located members all agree within the radius, else NULL."""
-    means = clustered.groupBy("cluster_id").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lng"))
-    return means.join(scattered_clusters(clustered).withColumn("far", F.lit(True)), "cluster_id", "left").select(
-        "cluster_id", F.when(F.col("far").isNull(), F.col("lat")).alias("centroid_lat"),
-        F.when(F.col("far").isNull(), F.col("lng")).alias("centroid_lng"))
+    return _with_centroid(clustered)
 
 
 def cluster_table(clustered: DataFrame, preferred: str = PREFERRED_PORTAL) -> DataFrame:
     """One row per cluster; every measure is an algebraic aggregate, so hot clusters combine map-side."""
     pcm = price_pcm(F.col("price_numeric"))
-    rows = clustered.groupBy("cluster_id").agg(
+    return _with_centroid(
+        clustered,
         F.coalesce(F.max("bedrooms"), F.lit(0)).alias("bedrooms"),
         F.coalesce(F.min(pcm), F.lit(0)).alias("price_pcm_min"), F.coalesce(F.max(pcm), F.lit(0)).alias("price_pcm_max"),
         F.count("*").alias("member_count"), F.min(primary_rank(preferred))["u"].alias("primary_uid"),
         F.min("first_seen").alias("first_seen"), F.max("last_scraped").alias("last_seen"),
     )
-    return rows.join(cluster_centroid(clustered), "cluster_id")
 
 
 def with_cluster_number(clusters: DataFrame) -> DataFrame:

@@ -26,9 +26,14 @@ clusters AS (SELECT l.uid, least(l.uid, coalesce(min(r.y), l.uid)) AS cluster_id
 clustered AS (SELECT l.* EXCLUDE (cluster_id), c.cluster_id FROM listings l JOIN clusters c ON c.uid=l.uid)"""
 
 
-def clustered(t):
-    listings = t.listings.drop("cluster_id")
-    return cut_lineage(listings.join(R.dup_clusters(listings), "uid"))  # read several times by what follows
+RANKED = ("portal", "first_seen", "size_sqft", "epc_rating", "floorplan_data", "tube_distance", "commute_primary")
+PLACED = ("latitude", "longitude")
+KEYED = ("portal", "postcode", "bedrooms", "price_numeric", *PLACED)
+
+
+def clustered(t, *columns):
+    """(uid, cluster_id, columns) of the listings."""
+    return cut_lineage(R.with_cluster_id(t.listings.drop("cluster_id"), columns))  # read several times by what follows
 
 
 @query("postcode_norm", f"SELECT uid, {PC} AS postcode_norm FROM listings", "listings")
@@ -64,7 +69,7 @@ centres AS (SELECT cluster_id, CASE WHEN cluster_id NOT IN (SELECT cluster_id FR
 
 @query("choose_primary", "SELECT cluster_id, primary_uid FROM primaries", "listings", ctes=CLOSURE + ",\n" + PRIMARY, recursive=True)
 def choose_primary(t):
-    return R.choose_primary(clustered(t))
+    return R.choose_primary(clustered(t, *RANKED))
 
 
 def rounded_centres(df):
@@ -73,7 +78,7 @@ def rounded_centres(df):
 
 @query("cluster_centroid", "SELECT cluster_id, centroid_lat, centroid_lng FROM centres", "listings", ctes=CLOSURE + ",\n" + CENTROID, recursive=True)
 def cluster_centroid(t):
-    return rounded_centres(R.cluster_centroid(clustered(t)))
+    return rounded_centres(R.cluster_centroid(clustered(t, *PLACED)))
 
 
 @query("cluster_table", """
@@ -83,7 +88,7 @@ SELECT c.cluster_id, coalesce(max(c.bedrooms),0) AS bedrooms, coalesce(min(c.pri
 FROM clustered c JOIN primaries p ON p.cluster_id=c.cluster_id JOIN centres x ON x.cluster_id=c.cluster_id GROUP BY c.cluster_id""",
        "listings", ctes=CLOSURE + ",\n" + PRIMARY + ",\n" + CENTROID, recursive=True)
 def cluster_table(t):
-    return rounded_centres(R.cluster_table(clustered(t)))
+    return rounded_centres(R.cluster_table(clustered(t, *KEYED, *RANKED, "last_scraped")))
 
 
 ARRIVALS = CLOSURE + f""",
@@ -97,7 +102,7 @@ hits AS (SELECT a.uid, c.cluster_id FROM asked a JOIN keyed b ON a.bedrooms=b.be
 SELECT a.uid, min(h.cluster_id) AS joined_cluster, min(h.cluster_id) IS NULL AS is_new FROM arrivals a LEFT JOIN hits h ON h.uid=a.uid GROUP BY a.uid""",
        "listings", "arrivals", ctes=ARRIVALS, recursive=True)
 def cluster_assign_incremental(t):
-    done = R.cluster_assign_incremental(t.arrivals, clustered(t))
+    done = R.cluster_assign_incremental(t.arrivals, clustered(t, *KEYED))
     return done.select("uid", F.when(~F.col("is_new"), F.col("cluster_id")).alias("joined_cluster"), "is_new")
 
 
@@ -117,7 +122,7 @@ FROM together c JOIN primaries p ON p.cluster_id=c.cluster_id JOIN centres x ON
        "listings", "arrivals", ctes=ARRIVALS + ",\n" + TOGETHER + ",\n" + (PRIMARY + ",\n" + CENTROID).replace("clustered", "together"), recursive=True)
 def cluster_assign_refresh(t):
     """The cluster rows that a batch of arrivals changes."""
-    stored = clustered(t)
+    stored = clustered(t, *KEYED, *RANKED, "last_scraped")
     joined = cut_lineage(t.arrivals.join(R.matching_cluster(t.arrivals, stored), "uid"))
     return rounded_centres(R.refreshed_clusters(joined, stored.select(*[c.strip() for c in FACTS.split(",")], *EXTRA)))
 
@@ -158,4 +163,5 @@ def pair_precision_recall(t):
 @query("cluster_numbers", "SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS cluster_number FROM (SELECT DISTINCT cluster_id FROM clusters)",
        "listings", ctes=CLOSURE, recursive=True)
 def cluster_numbers(t):
-    return R.with_cluster_number(R.dup_clusters(t.listings.drop("cluster_id")).select("cluster_id").distinct())
+    found = cut_lineage(R.dup_clusters(t.listings.drop("cluster_id")).select("cluster_id").distinct())  # the sort reads it twice
+    return R.with_cluster_number(found)

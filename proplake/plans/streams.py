@@ -122,7 +122,7 @@ def stream_cluster_assign(t):
 
     root = scratch_folder(t.spark, "clusters")
     columns = t.arrivals.columns
-    sinks.append_events(clustered(t).select(*columns, "cluster_id", F.lit(False).alias("is_new")), f"{root}/members", -1)
+    sinks.append_events(clustered(t, *columns).select(*columns, "cluster_id", F.lit(False).alias("is_new")), f"{root}/members", -1)
     for k in range(2):
         t.arrivals.filter(F.pmod(F.xxhash64("uid"), F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(f"{root}/arrivals")
     arriving = t.spark.readStream.schema(t.arrivals.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/arrivals")

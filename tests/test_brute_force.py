@@ -364,3 +364,12 @@ def test_label_rollup_counts_names_once(spark):
             name = slug or f"bedroom_{count[uid]}"
             names[uid][name] = names[uid].get(name, False) or bool(carpet)
     assert found == {u: (len(n), sum(n.values())) for u, n in names.items()}
+
+
+def test_columns_travel_to_clusters(spark, listings):
+    """Columns asked for come with the clusters, of listings without usable keys too, and repeated names once."""
+    df = spark.createDataFrame(listings, LISTING)
+    found = resolve.with_cluster_id(df, ("portal", "price_numeric", "portal", "latitude"))
+    assert found.columns == ["uid", "cluster_id", "portal", "price_numeric", "latitude"]
+    joined = df.select("uid", "portal", "price_numeric", "latitude").join(resolve.dup_clusters(df), "uid").select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
