@@ -110,9 +110,10 @@ def _count(documents: DataFrame, marked: DataFrame) -> tuple[np.ndarray, np.ndar
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in pieces(batches, "text"):
             owner, bucket = buckets(_encoded(batch))
-            raw += np.bincount(bucket, minlength=size)
             wanted = np.array(batch.column("target").to_pylist(), dtype=bool)
-            target += np.bincount(bucket[wanted[owner]], minlength=size)
+            for counts, found in ((raw, bucket), (target, bucket[wanted[owner]])):
+                at, n = np.unique(found, return_counts=True)  # a piece holds few of the buckets
+                counts[at] += n
         if raw.any():
             press = zstandard.ZstdCompressor(level=1)
             both = [(at // SLICE, press.compress(np.stack((raw[at:at + SLICE], target[at:at + SLICE])).tobytes())) for at in range(0, size, SLICE)]
@@ -150,12 +151,11 @@ def weighed(documents: DataFrame, model: Model, into: str = "log_weight") -> Dat
     spare = documents.drop(into)
     ratio = model.ratio
 
-    def weigh(texts):
-        import pandas as pd
+    def weigh(texts: pa.Array) -> pa.Array:
+        """Texts leave Arrow one at a time: a batch never becomes a column of Python strings."""
+        return pa.array(log_weights(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts), ratio)[0])
 
-        return pd.Series(log_weights(((t or "").encode("utf-8", "surrogatepass") for t in texts), ratio)[0])
-
-    return spare.withColumn(into, F.pandas_udf(weigh, "double")("text"))
+    return spare.withColumn(into, F.arrow_udf(weigh, "double")("text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
