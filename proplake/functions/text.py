@@ -91,10 +91,11 @@ def property_type(text: Column) -> Column:
 
 
 def normal_postcode(text: Column) -> Column:
-    """``OUT IN`` in upper case when the shape is a full postcode, else NULL."""
+    """``OUT IN`` in upper case when the shape is a full postcode, else NULL. One that is so already is taken as it stands."""
     squeezed = F.replace(F.upper(strip(text)), F.lit(" "), F.lit(""))
     shape = r"^([A-Z]{1,2}[0-9][A-Z0-9]?)([0-9][A-Z]{2})$"
-    return F.when(squeezed.rlike(shape), F.regexp_replace(squeezed, shape, "$1 $2"))
+    ready = text.rlike(r"\A[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}\z")
+    return F.when(ready, text).when(squeezed.rlike(shape), F.regexp_replace(squeezed, shape, "$1 $2"))
 
 
 def floor_level_int(raw: Column) -> Column:

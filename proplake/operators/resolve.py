@@ -56,33 +56,40 @@ def match_keys(df: DataFrame, outcode_only: tuple[str, ...] = OUTCODE_ONLY_PORTA
     )
 
 
-def _runs(groups: DataFrame, block: list[str]) -> DataFrame:
-    """Label distinct prices of a block that chain together inside the band; ``node`` is the run's smallest uid.
+def _runs(groups: DataFrame) -> DataFrame:
+    """Label distinct prices of a block that chain together inside the band; ``node`` is the number of the run's first row.
 
-    Input: one row per (block, pcm) with ``rep`` (smallest uid) and ``n``. A gap wider than the band between neighbours
-    cannot be bridged by any other pair of the block.
+    Input: one row per (BLOCK, pcm), numbered. A gap wider than the band between neighbours cannot be bridged by any other
+    pair of the block.
     """
-    line = Window.partitionBy(*block).orderBy("pcm")
+    line = Window.partitionBy("hashed", *BLOCK).orderBy("pcm")
     before = F.lag("pcm").over(line)
-    marked = groups.withColumn("cut", (before.isNull() | ~in_band(before, F.col("pcm"))).cast("int"))
-    numbered = marked.withColumn("run", F.sum("cut").over(line))
-    return numbered.withColumn("node", F.min("rep").over(Window.partitionBy(*block, "run"))).drop("cut", "run")
+    first = groups.withColumn("hashed", F.xxhash64(*BLOCK)).withColumn("first", F.when(before.isNull() | ~in_band(before, F.col("pcm")), F.col("number")))
+    return first.withColumn("node", F.last("first", True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("hashed", "first", "number")
 
 
 def match_blocks(keys: DataFrame) -> DataFrame:
-    """``keys`` with ``fine``, the cube of the place, and ``block``: the postcode of P, the cube of G, NULL of neither.
+    """``keys`` with ``block`` for their postcode: the postcode of P, the cube of G, NULL of neither. Written, as it is read again."""
+    fine = cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M)
+    named = F.when(F.col("kind") == "P", F.col("pc")).when(F.col("kind") == "G", F.concat_ws(" ", *[fine[n] for n in "xyz"]))
+    return cut_lineage(keys.withColumn("block", named).drop("pc"))
 
-    Written with the cube, so that the block's name does not compute it again.
+
+def match_spots(blocks: DataFrame, named: bool = True) -> DataFrame:
+    """(BLOCK, pcm, latitude, longitude, n, rep if ``named``): the one grouping that reads all listings.
+
+    The smallest uid, a string, makes it sort; a hash in front decides nearly all of its comparisons.
     """
-    fine = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M))
-    placed = cut_lineage(keys.withColumn("fine", F.when(F.col("kind").isNotNull(), fine)))
-    return placed.withColumn("block", F.when(F.col("kind") == "P", F.col("pc")).otherwise(F.concat_ws(" ", "fine.x", "fine.y", "fine.z")))
+    keys = (*BLOCK, "pcm", "latitude", "longitude")
+    grouped = blocks.filter("kind IS NOT NULL").groupBy(F.xxhash64(*keys).alias("spot"), *keys)
+    return cut_lineage(grouped.agg(F.count("*").alias("n"), *([F.min("uid").alias("rep")] if named else [])).drop("spot"))
 
 
-def match_runs(blocks: DataFrame) -> DataFrame:
-    """(BLOCK, pcm, n, node): distinct prices of each block and the run they are of."""
-    groups = cut_lineage(blocks.groupBy(*BLOCK, "pcm").agg(F.min("uid").alias("rep"), F.count("*").alias("n")))  # no task groups and sorts
-    return _runs(groups, list(BLOCK)).drop("rep")
+def match_runs(spots: DataFrame) -> DataFrame:
+    """(BLOCK, pcm, n, rep if there, node): distinct prices of each block and the run they are of."""
+    rep = [F.min("rep").alias("rep")] if "rep" in spots.columns else []
+    groups = cut_lineage(spots.groupBy(F.xxhash64(*BLOCK, "pcm").alias("group"), *BLOCK, "pcm").agg(F.sum("n").alias("n"), *rep).drop("group"))
+    return _runs(groups.withColumn("number", F.monotonically_increasing_id()))  # numbered as written; no task groups and sorts
 
 
 def match_points(keys: DataFrame) -> DataFrame:
@@ -187,16 +194,18 @@ def _on_lines(points: DataFrame, near: DataFrame, cube: str) -> DataFrame:
     """(node, other) for runs of two cubes all of whose points are in reach, from one sorted price line for both.
 
     What lies between two prices of a band is in band with both, so each price needs the nearest G price below and, being P,
-    the nearest above; G prices chain among themselves.
+    the nearest above; G prices chain among themselves. Both are looked for backwards, the latter on the reversed line: a frame
+    that reaches forward to the end would be walked again for every price.
     """
     prices = points.select("bedrooms", F.col(cube).alias("cube"), "node", "kind", "pcm").distinct()
     sides = near.select(F.col("bedrooms").alias("of"), "u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("side"))
     line = sides.join(prices, (F.col("of") == F.col("bedrooms")) & (F.col("side") == F.col("cube")))
-    order = Window.partitionBy("of", "u", "v").orderBy("pcm", "kind", "node")
+    pair, behind = Window.partitionBy(F.xxhash64("of", "u", "v"), "of", "u", "v"), (Window.unboundedPreceding, -1)
+    up, down = pair.orderBy("pcm", "kind", "node"), pair.orderBy(F.desc("pcm"), F.desc("kind"), F.desc("node"))
     g = F.when(F.col("kind") == "G", F.struct("pcm", "node"))
     met = line.withColumns({
-        "below": F.last(g, True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "above": F.when(F.col("kind") == "P", F.first(g, True).over(order.rowsBetween(1, Window.unboundedFollowing)))})
+        "below": F.last(g, True).over(up.rowsBetween(*behind)),
+        "above": F.when(F.col("kind") == "P", F.last(g, True).over(down.rowsBetween(*behind)))})
     found = met.select("node", "pcm", F.explode(F.array("below", "above")).alias("g")).filter(F.col("g").isNotNull() & in_band(F.col("pcm"), F.col("g.pcm")))
     return found.select("node", F.col("g.node").alias("other")).filter("node != other").distinct()
 
@@ -310,27 +319,46 @@ def dup_match_counts(df: DataFrame) -> DataFrame:
     return p_rows.unionByName(g_rows).groupBy("uid").agg(F.sum("hits").alias("n_matches")).filter("n_matches > 0")
 
 
-def with_cluster_id(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """(uid, cluster_id, columns) for every listing: the transitive closure of matching, named by the smallest uid.
+def _closed(df: DataFrame, columns: tuple[str, ...], named: bool) -> DataFrame:
+    """(uid, cluster_id, columns): clusters by their smallest uid if ``named``, else by a number.
 
     The closure runs over price runs (one node per run), not over listings, so a block with a third of all rows is one node.
-    ``columns`` of ``df`` travel with the keys, so that listings are not shuffled by uid to meet their clusters.
+    Nodes are numbers. ``columns`` of ``df`` travel with the keys, so that listings are not shuffled by uid to meet their clusters.
     """
     keep = tuple(c for c in dict.fromkeys(columns) if c not in KEY_COLUMNS)
-    found = match_blocks(match_keys(df, keep=keep))  # narrow, and read by every step below
-    blocks = found.filter("kind IS NOT NULL")
-    runs = cut_lineage(match_runs(blocks))
-    spots = blocks.filter("fine IS NOT NULL").select(*BLOCK, "pcm", "latitude", "longitude", "fine").distinct()
-    points = cut_lineage(spots.join(runs.drop("n"), [*BLOCK, "pcm"]))
+    found = match_blocks(match_keys(df, keep=keep))  # narrow
+    spots = match_spots(found, named)
+    runs = cut_lineage(match_runs(spots))
+    placed = spots.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(*BLOCK, "pcm", "latitude", "longitude")
+    fine = cell(F.col("latitude"), F.col("longitude"), FINE_EDGE_M)
+    points = cut_lineage(placed.withColumn("fine", fine).join(runs.select(*BLOCK, "pcm", "node"), [*BLOCK, "pcm"]))
     components = place_components(points)
-    named = runs.join(components, "node", "left").select(*BLOCK, "pcm", "n", F.coalesce("component", "node").alias("cluster_id"))
+    clusters = runs.join(components, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")).drop("node", "component")
+    if named:
+        clusters = cut_lineage(clusters.withColumnRenamed("cluster_id", "component"))
+        names = clusters.groupBy("component").agg(F.min("rep").alias("cluster_id"), F.count("*").alias("size"))
+        clusters = join_by_weight(clusters, names, ["component"], "size", materialise=True)
     out = [c for c in dict.fromkeys(("uid", "cluster_id", *columns))]
     held = list(dict.fromkeys(("uid", *BLOCK, "pcm", *columns)))
-    rows = join_by_weight(blocks.select(*held), named, [*BLOCK, "pcm"], "n", materialise=True)
-    alone = found.filter("kind IS NULL").withColumn("cluster_id", F.col("uid"))
+    lookup = clusters.select(*BLOCK, "pcm", "n", "cluster_id")
+    rows = join_by_weight(found.filter("kind IS NOT NULL").select(*held), lookup, [*BLOCK, "pcm"], "n", materialise=True)
+    alone = found.filter("kind IS NULL").withColumn("cluster_id", F.col("uid") if named else -1 - F.monotonically_increasing_id())
     return rows.select(*out).unionByName(alone.select(*out))
 
 
+def with_cluster_id(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, cluster_id, columns) for every listing: the transitive closure of matching, named by the smallest uid."""
+    return _closed(df, columns, named=True)
+
+
+def cluster_labels(df: DataFrame) -> DataFrame:
+    """(uid, cluster_id) for every listing, clusters numbered in no order: for those who only ask whether clusters agree.
+
+    Written, as the numbers of listings that match by nothing would change when they are computed again.
+    """
+    return cut_lineage(_closed(df, (), named=False))
+
+
 def dup_clusters(df: DataFrame) -> DataFrame:
     """(uid, cluster_id) for every listing."""
     return with_cluster_id(df)
@@ -485,10 +513,13 @@ def cluster_other_members(page: DataFrame, df: DataFrame) -> DataFrame:
 
 def pair_precision_recall(pairs: DataFrame, assignment: DataFrame) -> DataFrame:
     """tp, fp, fn, tn, precision and recall of cluster assignments against labelled pairs (0.0 where undefined)."""
-    left = assignment.select(F.col("uid").alias("uid_a"), F.col("cluster_id").alias("ca"))
-    right = assignment.select(F.col("uid").alias("uid_b"), F.col("cluster_id").alias("cb"))
-    judged = pairs.join(left, "uid_a").join(right, "uid_b")
-    same, dup = F.col("ca") == F.col("cb"), F.col("label") == "duplicate"
+    def side(end: str) -> DataFrame:
+        return assignment.select(F.xxhash64("uid").alias("hashed"), F.col("uid").alias(f"uid_{end}"), F.col("cluster_id").alias(f"c{end}"))
+
+    judged = pairs.select("uid_a", "uid_b", (F.col("label") == "duplicate").alias("dup"))
+    for end in "ab":  # a hash in front of the uids, which start alike, decides nearly all comparisons of the join's sort
+        judged = judged.withColumn("hashed", F.xxhash64(f"uid_{end}")).join(side(end), ["hashed", f"uid_{end}"]).drop("hashed")
+    same, dup = F.col("ca") == F.col("cb"), F.col("dup")
     counts = judged.agg(
         F.count_if(same & dup).alias("tp"), F.count_if(same & ~dup).alias("fp"),
         F.count_if(~same & dup).alias("fn"), F.count_if(~same & ~dup).alias("tn"))

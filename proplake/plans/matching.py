@@ -157,7 +157,7 @@ SELECT tp, fp, fn, tn, coalesce(tp/nullif(tp+fp,0),0.0) AS precision, coalesce(t
   count(*) FILTER (WHERE a.cluster_id<>b.cluster_id AND label='duplicate') AS fn, count(*) FILTER (WHERE a.cluster_id<>b.cluster_id AND label<>'duplicate') AS tn
  FROM labelled_pairs p JOIN clusters a ON a.uid=p.uid_a JOIN clusters b ON b.uid=p.uid_b)""", "listings", "labelled_pairs", ctes=CLOSURE, recursive=True)
 def pair_precision_recall(t):
-    return R.pair_precision_recall(t.labelled_pairs, cut_lineage(R.dup_clusters(t.listings.drop("cluster_id"))))
+    return R.pair_precision_recall(t.labelled_pairs, R.cluster_labels(t.listings.drop("cluster_id")))
 
 
 @query("cluster_numbers", "SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS cluster_number FROM (SELECT DISTINCT cluster_id FROM clusters)",

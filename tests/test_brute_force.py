@@ -16,6 +16,7 @@ from proplake.functions.graph import connected_components
 from proplake.functions.hull import farthest_pair, hull
 from proplake.functions import ranks
 from proplake.functions.ranks import spearman
+from proplake.functions.text import normal_postcode
 from proplake.operators import enrich, evaluate, gate, lifecycle, merge, resolve, views
 
 LISTING = ("uid string, portal string, postcode string, bedrooms int, price_numeric long, latitude double, longitude double")
@@ -373,3 +374,38 @@ def test_columns_travel_to_clusters(spark, listings):
     assert found.columns == ["uid", "cluster_id", "portal", "price_numeric", "latitude"]
     joined = df.select("uid", "portal", "price_numeric", "latitude").join(resolve.dup_clusters(df), "uid").select(*found.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_clusters_read_all_listings_in_one_grouping(spark, listings, monkeypatch):
+    """Of the steps that write a table, one alone reads the listings' keys; the rest work on their distinct places and prices."""
+    real, cuts = resolve.cut_lineage, []
+
+    def kept(df):
+        out = real(df)
+        cuts.append((set(df.inputFiles()), set(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(resolve, "cut_lineage", kept)
+    df = spark.createDataFrame(listings, LISTING)
+    names = {r["uid"]: r["cluster_id"] for r in resolve.dup_clusters(df).collect()}
+    keys = cuts[0][1]
+    assert sum(bool(keys & read) for read, _ in cuts[1:]) == 1
+    labels = {r["uid"]: r["cluster_id"] for r in resolve.cluster_labels(df).collect()}
+    assert labels.keys() == names.keys()
+    assert len(set(labels.values())) == len(set(names.values())) == len({(labels[u], names[u]) for u in names})
+
+
+def test_price_lines_are_not_walked_again_for_every_price(spark):
+    points = spark.createDataFrame([(1, 1, "P", 2, 1000), (1, 1, "G", 1, 1001), (1, 1, "P", 3, 1002), (1, 1, "P", 5, 1500), (1, 1, "G", 4, 1510)],
+                                   "bedrooms int, cube int, kind string, node long, pcm long")
+    near = spark.createDataFrame([(1, 1, 1)], "bedrooms int, u int, v int")
+    found = resolve._on_lines(points, near, "cube")
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 1), (5, 4)]
+    assert "unboundedfollowing$" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postcodes_that_are_ready_and_not(spark):
+    ready = {"N1 1AA": "N1 1AA", "SW1A 1AA": "SW1A 1AA"}
+    others = {"n1 1aa": "N1 1AA", " N1 1AA\t": "N1 1AA", "N1 1AA\n": "N1 1AA", "N11AA": "N1 1AA", "N 11AA": "N1 1AA", "N1 11AA": "N11 1AA", "N1 1AA B": None, "": None, None: None}
+    df = spark.createDataFrame([(g,) for g in [*ready, *others]], "given string")
+    assert {r[0]: r[1] for r in df.select("given", normal_postcode(F.col("given"))).collect()} == {**ready, **others}
